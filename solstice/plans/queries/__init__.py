@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills the registry."""
 
-from solstice.plans.queries import calendar, grid  # noqa: F401
+from solstice.plans.queries import calendar, cube, grid, series  # noqa: F401
 from solstice.plans.registry import ORACLES, QUERIES  # noqa: F401
