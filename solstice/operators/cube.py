@@ -69,11 +69,18 @@ def coverage(cube: DataFrame, first_months: int = 24) -> DataFrame:
     return early.groupBy("source", "cell").agg(F.bool_or(F.col("value").isNotNull()).alias("covered"))
 
 
-def choose_source(clim: DataFrame, cells: DataFrame, primary: str, fallback: str, covered: DataFrame | None = None) -> DataFrame:
-    """``cell, source``: the primary source where it is covered and has all twelve normals."""
-    full = clim.where(F.col("source") == primary).groupBy("cell").agg((F.count("clim") == 12).alias("_full"))
-    out = cells.join(full, "cell", "left")
-    use = F.coalesce("_full", F.lit(False))
+def choose_source(
+    clim: DataFrame, primary: str, fallback: str, cells: DataFrame | None = None, covered: DataFrame | None = None
+) -> DataFrame:
+    """``cell, source``: the primary source where it is covered and has all twelve normals.
+
+    ``cells`` adds cells that have no climatology at all.
+    """
+    full = F.count(F.when(F.col("source") == primary, F.col("clim"))) == 12
+    out = clim.groupBy("cell").agg(full.alias("_use"))
+    if cells is not None:
+        out = cells.join(out, "cell", "left")
+    use = F.coalesce("_use", F.lit(False))
     if covered is not None:
         seen = covered.where(F.col("source") == primary).select("cell", F.col("covered").alias("_covered"))
         out = out.join(seen, "cell", "left")
@@ -141,6 +148,29 @@ def event_vectors(anomalies: DataFrame, events: DataFrame, by: Sequence[str] = (
     return rows.withColumn("recent", F.slice("events", F.greatest(F.size("events") - 2, F.lit(1)), F.lit(3)))
 
 
+def cell_normals(clim: DataFrame, primary: str, fallback: str, month_shift: int = 0) -> DataFrame:
+    """``cell, source, normals``: the chosen source and its twelve season normals, one row per cell.
+
+    The months are pivoted by plain aggregates, so the row stays partitioned by cell alone
+    and joins back to the season totals without another shuffle.
+    """
+
+    def month(source: str, m: int) -> Column:
+        return F.max(F.when((F.col("source") == source) & (F.col("month") == m), F.col("clim")))
+
+    wide = clim.groupBy("cell").agg(
+        F.array(*[month(primary, m) for m in range(1, 13)]).alias("_p"), F.array(*[month(fallback, m) for m in range(1, 13)]).alias("_f")
+    )
+    use = F.forall("_p", lambda x: x.isNotNull())
+    chosen = wide.select("cell", F.when(use, primary).otherwise(fallback).alias("source"), F.when(use, F.col("_p")).otherwise(F.col("_f")).alias("_c"))
+
+    def normal(k: Column) -> Column:
+        # position in the year of the three months of season k, counted from zero
+        return sum((F.get("_c", F.pmod(k - 1 + month_shift + p, F.lit(12))) for p in (1, 2)), F.get("_c", F.pmod(k - 1 + month_shift, F.lit(12))))
+
+    return chosen.select("cell", "source", F.transform(F.sequence(F.lit(0), F.lit(11)), normal).alias("normals"))
+
+
 def composite_fact(
     cube: DataFrame,
     events: DataFrame,
@@ -152,17 +182,25 @@ def composite_fact(
     digits: int | None = 0,
     with_vectors: bool = False,
 ) -> DataFrame:
-    """Composite per cell, phase and season from the source chosen for each cell."""
-    spark = cube.sparkSession
+    """Composite per cell, phase and season from the source chosen for each cell.
+
+    One shuffle of the cube, by cell: climatology, season totals, the join of the two and the
+    final composite all run inside that partitioning.
+    """
     placed = by_cell(cube)
-    clim = climatology(placed, first_year, last_year)
-    cells = placed.groupBy("cell").agg(F.count("*").alias("_rows")).select("cell")
-    source = choose_source(clim, cells, primary, fallback)
-    anomalies = event_anomalies(placed, clim, event_months(spark, events, month_shift), month_shift)
-    chosen = anomalies.join(source, ["cell", "source"])
-    fact = composite(chosen, ("cell", "source", "phase", "k"), digits=digits)
+    normals = cell_normals(climatology(placed, first_year, last_year), primary, fallback, month_shift)
+    totals = season_totals(placed, event_months(cube.sparkSession, events, month_shift)).withColumnRenamed("source", "_source")
+    anomalies = (
+        totals.join(normals, "cell")
+        # not written as an equality, which would become a second join key and force a new shuffle
+        .where(F.array_contains(F.array("source"), F.col("_source")))
+        .select("cell", "source", "phase", "ord", "k", percent_anomaly(F.col("total"), F.get("normals", F.col("k"))).alias("pct"))
+        .where(F.get("normals", F.col("k")).isNotNull())
+    )
+    by = ("cell", "source", "phase", "k")
+    fact = composite(anomalies, by, digits=digits)
     if with_vectors:
-        fact = fact.join(event_vectors(chosen, events, ("cell", "source", "phase", "k")), ["cell", "source", "phase", "k"])
+        fact = fact.join(event_vectors(anomalies, events, by), list(by))
     return fact
 
 

@@ -41,7 +41,7 @@ def anomaly_sql(shift: int = 0) -> str:
 
 
 def fact_sql(anomaly: str, digits: int = 4) -> str:
-    return f"""SELECT a.cell, a.source, phase, k, CASE WHEN count(pct) >= 3 THEN round(avg(pct), {digits}) END AS pct, CASE WHEN count(pct) >= 3 THEN round(100 * avg(CASE WHEN pct > 0 THEN 1.0::DOUBLE WHEN pct IS NOT NULL THEN 0 END), {digits}) END AS wetter_frac,
+    return f"""SELECT a.cell, a.source, phase, k, CASE WHEN count(pct) >= 3 THEN round(avg(pct), {digits}) + 0.0::DOUBLE END AS pct, CASE WHEN count(pct) >= 3 THEN round(100 * avg(CASE WHEN pct > 0 THEN 1.0::DOUBLE WHEN pct IS NOT NULL THEN 0 END), {digits}) END AS wetter_frac,
   CASE WHEN count(pct) >= 3 THEN round(stddev_pop(pct), {digits}) END AS std, count(pct) AS n FROM ({anomaly}) a JOIN ({CHOICE}) c ON c.cell = a.cell AND c.source = a.source GROUP BY 1,2,3,4"""
 
 
@@ -134,9 +134,8 @@ def d5(t):
 
 @query("d6_source_selection", CHOICE)
 def d6(t):
-    cube = placed(t)
-    cells = cube.groupBy("cell").agg(F.count("*").alias("n")).select("cell")
-    return op.choose_source(op.climatology(cube, *BASE), cells, "a", "b")
+    cells = placed(t).select("cell").distinct()
+    return op.choose_source(clim(t), "a", "b", cells=cells)
 
 
 @query("d7_season_totals", f"SELECT source, cell, phase, ord, CAST(k AS INT) AS k, CASE WHEN n = 3 THEN tot END AS total, n FROM ({totals_sql()})")
@@ -244,7 +243,7 @@ def d15(t):
 
 
 LEAD_SQL = """SELECT l_linenumber AS lead, CAST(floor(((l_partkey*7919) % 18000) / 1000) AS INT) AS si, CAST(floor(((l_suppkey*104729 + l_orderkey) % 36000) / 1000) AS INT) AS sj,
-  CASE WHEN sum(CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END) > 0 THEN (sum(l_quantity) / count(*) - 25) / 1000 END AS value FROM lineitem GROUP BY 1, 2, 3"""
+  CASE WHEN sum(CASE WHEN l_quantity > 10 THEN 1 ELSE 0 END) > 0 THEN (sum(l_quantity) / count(*) - 25) / 997 END AS value FROM lineitem GROUP BY 1, 2, 3"""
 
 
 def lead_slices(t):
@@ -253,7 +252,7 @@ def lead_slices(t):
         F.col("l_linenumber").alias("lead"),
         F.floor((F.col("l_partkey") * 7919) % 18000 / 1000).cast("int").alias("si"),
         F.floor((F.col("l_suppkey") * 104729 + F.col("l_orderkey")) % 36000 / 1000).cast("int").alias("sj"),
-    ).agg(F.when(F.max(q) > 10, (F.sum(q) / F.count("*") - 25) / 1000).alias("value"))
+    ).agg(F.when(F.max(q) > 10, (F.sum(q) / F.count("*") - 25) / 997).alias("value"))
 
 
 @query(
