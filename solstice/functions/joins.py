@@ -21,6 +21,7 @@ def dim_join(
     how: str = "inner",
     *,
     bounded: bool = False,
+    size_of: DataFrame | None = None,
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -29,10 +30,11 @@ def dim_join(
     ``bounded=True`` is for lookups whose row count is fixed by construction (months,
     seasons, rule rows, grid cells). Anything else is counted first: up to ``max_rows``
     it is broadcast, beyond that both sides are shuffled with the fact side salted, so
-    that one hot key is spread over ``salts`` tasks.
+    that one hot key is spread over ``salts`` tasks. ``size_of`` is counted instead of ``dim``
+    when it is cheaper to compute and never shorter.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if bounded or is_small(dim, max_rows):
+    if bounded or is_small(dim if size_of is None else size_of, max_rows):
         return fact.join(F.broadcast(dim), on, how)
     return salted_join(fact, dim, on, how, salts)
 

@@ -18,3 +18,13 @@ def slice_quality(slices: DataFrame, keys: Sequence[str], min_share: float = 0.5
 
 def usable_slices(slices: DataFrame, keys: Sequence[str], min_share: float = 0.5, max_abs: float = 1.0) -> DataFrame:
     return slice_quality(slices, keys, min_share, max_abs).where("ok").select(*keys)
+
+
+def count_drop(current: DataFrame, previous: DataFrame, gate: str, keep_share: float = 0.9) -> DataFrame:
+    """Gate row that fails when the row count fell below a share of the previous build's ``count``."""
+    now = current.agg(F.count("*").cast("double").alias("value"))
+    before = previous.select((F.col("count") * keep_share).cast("double").alias("lo"))
+    # both sides are single rows
+    return now.join(F.broadcast(before), how="cross").select(
+        F.lit(gate).alias("gate"), "value", "lo", F.lit(None).cast("double").alias("hi"), (F.col("value") >= F.col("lo")).alias("ok")
+    )

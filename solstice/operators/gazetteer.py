@@ -93,7 +93,9 @@ def assign_shards(keys: DataFrame, max_rows: int = MAX_SHARD, max_depth: int = M
         .agg(F.min(F.when(fits, F.struct(F.col("_d").alias("depth"), F.col("_p").alias("shard")))).alias("_c"))
         .select("_stem", "_c.shard", "_c.depth")
     )
-    return dim_join(keys.withColumn("_stem", stem), chosen, "_stem").drop("_stem")
+    # the stem table is as costly as this join, so its size is left to the adaptive planner, which
+    # broadcasts it when it turns out small and splits the tasks of a hot stem otherwise
+    return keys.withColumn("_stem", stem).join(chosen, "_stem").drop("_stem")
 
 
 def shard_payloads(keyed: DataFrame, places: DataFrame, max_rows: int = MAX_SHARD) -> DataFrame:
@@ -103,7 +105,7 @@ def shard_payloads(keyed: DataFrame, places: DataFrame, max_rows: int = MAX_SHAR
     grows past that size.
     """
     sizes = keyed.groupBy("shard").agg(F.ceil(F.count("*") / max_rows).alias("_parts"))
-    parted = dim_join(keyed, sizes, "shard").withColumn("part", F.pmod(F.xxhash64("k", "id"), F.col("_parts")).cast("int"))
+    parted = keyed.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("k", "id"), F.col("_parts")).cast("int"))
     full = parted.join(places.select("id", "name", "cc", "a1", "a2", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "pop"), "id")
     row = F.struct((-F.col("pop")).alias("o"), "id", "k", F.struct("name", "cc", "a1", "a2", "lat", "lon", "pop").alias("p"))
     docs = full.groupBy("shard", "part").agg(F.array_sort(F.collect_list(row)).alias("rows"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solstice.functions.joins import dim_join
+from solstice.functions.joins import dim_join, is_small, salted_join
 from solstice.functions.text import deletions, norm_text, osa_distance
 from solstice.operators.gazetteer import MAJOR_POP, search_keys, shard_key, top_shard, with_place_key
 
@@ -18,6 +18,8 @@ from solstice.operators.gazetteer import MAJOR_POP, search_keys, shard_key, top_
 MIN_QUERY = 2
 PER_COUNTRY, LIMIT = 3, 8
 
+MAX_BROADCAST_QUERIES = 5_000
+
 
 def prepare_queries(raw: DataFrame, text: str = "raw") -> DataFrame:
     """Add the search form ``q``; queries shorter than two characters are dropped."""
@@ -36,11 +38,11 @@ def pick_shard(queries: DataFrame, shards: DataFrame, max_depth: int = 6) -> Dat
 def expand_payloads(payloads: DataFrame) -> DataFrame:
     """Flat rows of shard documents; ids without a place are dropped."""
     schema = (
-        "p MAP<BIGINT, STRUCT<name: STRING, cc: STRING, a1: STRING, a2: STRING, lat: DOUBLE, lon: DOUBLE, pop: BIGINT>>,"
+        "p MAP<STRING, STRUCT<name: STRING, cc: STRING, a1: STRING, a2: STRING, lat: DOUBLE, lon: DOUBLE, pop: BIGINT>>,"
         " k ARRAY<STRUCT<k: STRING, id: BIGINT>>"
     )
     docs = payloads.withColumn("d", F.from_json("doc", schema)).select("shard", "d.p", F.explode("d.k").alias("e"))
-    rows = docs.select("shard", F.col("e.k").alias("k"), F.col("e.id").alias("id"), F.element_at("p", F.col("e.id")).alias("pl"))
+    rows = docs.select("shard", F.col("e.k").alias("k"), F.col("e.id").alias("id"), F.element_at("p", F.col("e.id").cast("string")).alias("pl"))
     return rows.where("pl IS NOT NULL").select("shard", "k", "id", "pl.*")
 
 
@@ -63,6 +65,10 @@ def _variants(df: DataFrame, text: Column, length: Column, edits: Column, kind:
     return df.select("*", block.alias("_block"), length.alias("_len"), F.explode(forms).alias("_form"))
 
 
+def _join(keys: DataFrame, queries: DataFrame, on: list[str], small: bool) -> DataFrame:
+    return dim_join(keys, queries, on, bounded=True) if small else salted_join(keys, queries, on)
+
+
 def match_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """``q, k, score, via``: keys that start with the query (score 0) or are within its edit allowance.
 
@@ -70,10 +76,12 @@ def match_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
     character, large places only).
     """
     q = queries.select("q").distinct()
+    # a query has at most some forty variants, so this also bounds the variant table
+    small = is_small(q, MAX_BROADCAST_QUERIES)
     k = keys.groupBy("k").agg(F.bool_or("major").alias("major"))
 
     starts = k.withColumn("q", F.explode(F.transform(F.sequence(F.lit(MIN_QUERY), F.char_length("k")), lambda n: F.substring("k", F.lit(1), n))))
-    prefix = dim_join(starts, q, "q").select("q", "k", F.lit(0).alias("score"), F.lit("shard").alias("via"))
+    prefix = _join(starts, q, ["q"], small).select("q", "k", F.lit(0).alias("score"), F.lit("shard").alias("via"))
 
     # key side: every query length this key can answer; a key one shorter than the query is compared whole
     klen = F.char_length("k")
@@ -90,7 +98,7 @@ def match_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
         mine = sides if kind == "shard" else sides.where("major")
         key_forms = _variants(mine, F.col("_kp"), F.col("_l"), F.col("_e"), kind).select("k", "_kp", "_e", "_block", "_len", "_form")
         query_forms = _variants(asked, F.col("q"), F.col("_l"), F.col("_e"), kind).select("q", "_block", "_len", "_form")
-        pairs = dim_join(key_forms, query_forms, ["_block", "_len", "_form"]).select("q", "k", "_kp", "_e").distinct()
+        pairs = _join(key_forms, query_forms, ["_block", "_len", "_form"], small).select("q", "k", "_kp", "_e").distinct()
         found.append(pairs.withColumn("via", F.lit(kind)))
     fuzzy = score_pairs(found[0].unionByName(found[1]))
     return prefix.unionByName(fuzzy).groupBy("q", "k", "via").agg(F.min("score").alias("score"))
@@ -131,7 +139,7 @@ def rank_weight(score: Column, pop: Column, a1: Column, name_norm: Column, key:
 
 def weighted(best: DataFrame, places: DataFrame) -> DataFrame:
     named = with_place_key(places).withColumn("name_norm", norm_text(F.col("name")))
-    rows = dim_join(best, named, "id")
+    rows = dim_join(best, named, "id", size_of=places)
     return rows.withColumn("w", F.round(rank_weight(*[F.col(c) for c in ("score", "pop", "a1", "name_norm", "k", "q")]), 9))
 
 
