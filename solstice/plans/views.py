@@ -117,6 +117,22 @@ class Tables:
             (F.sum(F.floor("o_totalprice")) / 1024 - 250).alias("anomaly"), (F.sum(F.floor("o_totalprice")) / 512).alias("mean")
         )
 
+    @cached_property
+    def rule(self) -> DataFrame:
+        """Inputs of the decision rules: phrases, percentages, skill scores and probabilities per order."""
+        return self.orders.selectExpr(
+            "o_orderkey AS id",
+            "CASE o_orderpriority WHEN '1-URGENT' THEN 'wetter than usual' WHEN '2-HIGH' THEN 'Much drier' WHEN '3-MEDIUM' THEN 'Drier, then wetter' ELSE 'mixed' END AS rain",
+            "CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'medium' ELSE 'low' END AS curated",
+            "CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 1000) - 250 AS DOUBLE) END AS pct",
+            "CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0D ELSE CAST(o_custkey % 90 AS DOUBLE) END AS std",
+            "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 120 - 60 AS INT) END AS fpct",
+            "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) / 100 END AS corr",
+            "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 97 AS DOUBLE) / 97 END AS roc",
+            "CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS INT) END AS prob",
+            "CAST(o_custkey % 101 AS DOUBLE) AS wet", "CAST(1 + o_custkey % 8 AS INT) AS n",
+        )
+
     @cached_property
     def target(self) -> DataFrame:
         """A translated catalog: present, changed and stale keys against ``documents``."""
@@ -164,3 +180,9 @@ SQL: dict[str, str] = {
     "v_grid": """SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, i*2 - 89.0::DOUBLE AS lat, j*2 - 179.0::DOUBLE AS lon,
   format('{:+06.1f}_{:+07.1f}', i*2 - 89.0::DOUBLE, j*2 - 179.0::DOUBLE) AS cell_id FROM range(90) a(i), range(180) b(j)""",
 }
+
+SQL["v_rule"] = """SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'wetter than usual' WHEN '2-HIGH' THEN 'Much drier' WHEN '3-MEDIUM' THEN 'Drier, then wetter' ELSE 'mixed' END AS rain,
+  CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'medium' ELSE 'low' END AS curated, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE floor(o_totalprice / 1000) - 250 END AS pct,
+  CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE CAST(o_custkey % 90 AS DOUBLE) END AS std, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 120 - 60 AS INT) END AS fpct,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) / 100 END AS corr, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 97 AS DOUBLE) / 97 END AS roc,
+  CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS INT) END AS prob, CAST(o_custkey % 101 AS DOUBLE) AS wet, CAST(1 + o_custkey % 8 AS INT) AS n FROM orders"""
