@@ -154,6 +154,7 @@ def is_rural(pop: Column) -> Column:
 
 def with_farming_context(places: DataFrame, crops: DataFrame) -> DataFrame:
     """Add ``farmer``; ``places`` has ``cc, months, rain_sign, livelihood, pop``."""
-    joined = dim_join(places, crops.select(F.col("iso2").alias("cc"), "crops"), "cc", "left")
+    # one row per country
+    joined = dim_join(places, crops.select(F.col("iso2").alias("cc"), "crops"), "cc", "left", bounded=True)
     wanted = (F.col("livelihood") == "farmer") | is_rural(F.col("pop"))
     return joined.withColumn("farmer", F.when(wanted, farming_context(F.col("crops"), F.col("months"), F.col("rain_sign")))).drop("crops")

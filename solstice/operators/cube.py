@@ -278,32 +278,49 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def forecast_reduction(rows: DataFrame, keys: Sequence[str], of_months: Column | int) -> DataFrame:
-    """Season forecast from monthly ``ym, anomaly, mean`` rows already limited to the wanted months."""
-    finite = rows.where(
-        F.col("anomaly").isNotNull() & F.col("mean").isNotNull() & ~F.isnan("anomaly") & ~F.isnan("mean")
-        & (F.abs("anomaly") < float("inf")) & (F.abs("mean") < float("inf"))
-    )
-    normal = F.col("_mean") - F.col("_anomaly")
-    raw = half_up(100 * F.col("_anomaly") / normal)
-    of = F.lit(of_months) if isinstance(of_months, int) else of_months
-    month_normal = F.col("mean") - F.col("anomaly")
-    month_pct = F.when(month_normal >= 5, clip(half_up(100 * F.col("anomaly") / month_normal).cast("double"), PCT_LOW, PCT_HIGH)).cast("int")
-    return (
-        finite.groupBy(*keys)
-        .agg(
-            F.sum("anomaly").alias("_anomaly"), F.sum("mean").alias("_mean"), F.count("*").alias("n_months"),
-            F.array_sort(F.collect_list(F.struct("ym", month_pct.alias("pct")))).alias("monthly"),
-        )
-        .where(normal >= 10)
-        .select(
-            *keys,
-            clip(raw.cast("double"), PCT_LOW, PCT_HIGH).cast("int").alias("pct"),
-            (raw > 300).alias("capped"),
-            "n_months",
-            of.alias("of_months"),
+def season_forecast(months: Column, of_months: Column) -> Column:
+    """Struct of a season forecast from an array of monthly ``ym, anomaly, mean`` structs.
+
+    Null when no month is usable or the normal is too dry for a percentage.
+    """
+
+    def finite(x: Column) -> Column:
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    rows = F.array_sort(F.filter(months, lambda m: finite(m["anomaly"]) & finite(m["mean"])))
+
+    def total(name: str) -> Column:
+        return F.aggregate(rows, F.lit(0.0), lambda acc, m: acc + m[name])
+
+    def pct(anomaly: Column, normal: Column) -> Column:
+        return half_up(100 * anomaly / normal).cast("double")
+
+    def month(m: Column) -> Column:
+        normal = m["mean"] - m["anomaly"]
+        return F.struct(m["ym"].alias("ym"), F.when(normal >= 5, clip(pct(m["anomaly"], normal), PCT_LOW, PCT_HIGH)).cast("int").alias("pct"))
+
+    anomaly = total("anomaly")
+    normal = total("mean") - anomaly
+    return F.when(
+        (F.size(rows) > 0) & (normal >= 10),
+        F.struct(
+            clip(pct(anomaly, normal), PCT_LOW, PCT_HIGH).cast("int").alias("pct"),
+            (pct(anomaly, normal) > 300).alias("capped"),
+            F.size(rows).alias("n_months"),
+            of_months.cast("int").alias("of_months"),
             half_up(normal).alias("normal_mm"),
-            half_up(F.col("_anomaly")).alias("anomaly_mm"),
-            "monthly",
-        )
+            half_up(anomaly).alias("anomaly_mm"),
+            F.transform(rows, month).alias("monthly"),
+        ),
     )
+
+
+def forecast_months(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Monthly forecast rows nested per place; a forecast run has a handful of months."""
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct("ym", "anomaly", "mean")).alias("months"))
+
+
+def forecast_reduction(rows: DataFrame, keys: Sequence[str], of_months: int) -> DataFrame:
+    """Season forecast from monthly ``ym, anomaly, mean`` rows already limited to the wanted months."""
+    reduced = forecast_months(rows, keys).withColumn("_f", season_forecast(F.col("months"), F.lit(of_months)))
+    return reduced.where("_f IS NOT NULL").select(*keys, "_f.*")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solstice.functions import grid
-from solstice.functions.joins import dim_join
+from solstice.functions.joins import dim_join, is_small
 
 BUCKET = 10.0  # degrees; a shape covers at most 18 x 36 buckets
 
@@ -47,6 +47,34 @@ def ranked_regions(hits: DataFrame, point_keys: Sequence[str], keep: int | None
     return out if keep is None else out.where(F.col("rank") <= keep)
 
 
+MAX_NESTED_BOXES = 10_000
+
+
+def with_regions(
+    points: DataFrame, boxes: DataFrame, regions: DataFrame, point_keys: Sequence[str], nested: bool | None = None
+) -> DataFrame:
+    """Add ``regions``: every region whose boxes hold the point, by falling priority, then declared order.
+
+    ``regions`` has ``region_id, name, priority, ord``. A curated box list is nested per bucket and
+    looked up in the row, so the points are not shuffled; a larger list takes the join. ``nested``
+    tells that the list was already found short or long.
+    """
+    named = boxes.select("region_id", "lat0", "lat1", "lon0", "lon1").join(regions.select("region_id", "name", "priority", "ord"), "region_id")
+    entry = F.struct((-F.col("priority")).alias("rank"), "ord", "region_id", "name")
+    if is_small(boxes, MAX_NESTED_BOXES) if nested is None else nested:
+        lists = _covered(named).groupBy("_bi", "_bj").agg(F.collect_list(F.struct("lat0", "lat1", "lon0", "lon1", entry.alias("r"))).alias("_boxes"))
+        joined = _placed(points).join(F.broadcast(lists), ["_bi", "_bj"], "left")
+        inside = F.filter(
+            "_boxes", lambda b: F.col("lat").between(b["lat0"], b["lat1"]) & F.col("lon").between(b["lon0"], b["lon1"])
+        )
+        found = F.array_sort(F.array_distinct(F.transform(inside, lambda b: b["r"])))
+        none = F.array().cast(named.select(F.array(entry).alias("a")).schema["a"].dataType)
+        return joined.select(*points.columns, F.coalesce(found, none).alias("regions"))
+    hits = dim_join(points_in_boxes(points, boxes, point_keys), regions.select("region_id", "name", "priority", "ord"), "region_id")
+    lists = hits.groupBy(*point_keys).agg(F.array_sort(F.collect_list(entry)).alias("regions"))
+    return points.join(lists, list(point_keys), "left")
+
+
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_keys: Sequence[str], band: float = 2.0) -> DataFrame:
     """One row per point and polygon that strictly contains it.
 

@@ -1,4 +1,4 @@
 """All registered queries; importing this package fills the registry."""
 
-from solstice.plans.queries import calendar, crops, cube, gazetteer, grid, search, series, spatial, tracks  # noqa: F401
+from solstice.plans.queries import calendar, crops, cube, gazetteer, grid, rules, search, series, spatial, tracks  # noqa: F401
 from solstice.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -225,7 +225,7 @@ def seasonal_forecast(t):
 
 @query(
     "d14_forecast_reduction",
-    f"""SELECT place, season_year, CAST(greatest(-100, least(300, raw)) AS INT) AS pct, raw > 300 AS capped, n_months, CAST(3 AS INT) AS of_months, CAST(floor(normal + 0.5) AS BIGINT) AS normal_mm, CAST(floor(anom + 0.5) AS BIGINT) AS anomaly_mm
+    f"""SELECT place, season_year, CAST(greatest(-100, least(300, raw)) AS INT) AS pct, raw > 300 AS capped, CAST(n_months AS INT) AS n_months, CAST(3 AS INT) AS of_months, CAST(floor(normal + 0.5) AS BIGINT) AS normal_mm, CAST(floor(anom + 0.5) AS BIGINT) AS anomaly_mm
     FROM (SELECT *, floor(100 * anom / normal + 0.5) AS raw FROM (SELECT place, season_year, sum(anomaly) AS anom, sum(mean) - sum(anomaly) AS normal, count(*) AS n_months FROM ({FORECAST_ROWS}) GROUP BY 1, 2) WHERE normal >= 10)""",
 )
 def d14(t):
