@@ -13,3 +13,8 @@ def decode_cube(rows: DataFrame, base_year: int, base_month: int, time: str = "t
     idx = cal.months_since(F.col(time), base_year, base_month, rule)
     value = F.when(~F.isnan("value"), F.col("value"))
     return rows.withColumns({"year": cal.index_year(idx), "month": cal.index_month(idx), "value": value}).drop(time)
+
+
+def read_pages(spark, path: str) -> DataFrame:
+    """Landed web pages: ``page_id, url, html``."""
+    return spark.read.schema("page_id BIGINT, url STRING, html STRING").parquet(path)
