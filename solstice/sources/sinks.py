@@ -1,11 +1,133 @@
-"""Writers and publication."""
+"""Writers and gated publication."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solstice.sources.readers import path_exists
+
+
+# --- value preparation -------------------------------------------------------------------------
+def whole(x: Column) -> Column:
+    """Whole number, ties to even."""
+    return F.bround(x, 0)
+
+
+def decimals(x: Column, digits: int) -> Column:
+    return F.bround(x, digits)
+
 
 def significant(x: Column, digits: int) -> Column:
     """Keep ``digits`` decimals of the scientific notation, as a double."""
     return F.format_string(f"%.{digits}e", x).cast("double")
+
+
+def provenance_struct(name: str, version, retrieved_at, url: str, licence: str, **extra: str) -> Column:
+    """Struct stamped on an artefact; ``version`` and ``retrieved_at`` may be columns."""
+
+    def text(v) -> Column:
+        return v if isinstance(v, Column) else F.lit(v).cast("string")
+
+    fields = {"name": name, "version": version, "retrieved_at": retrieved_at, "url": url, "licence": licence, **extra}
+    return F.struct(*[text(v).alias(k) for k, v in fields.items()])
+
+
+# --- documents ---------------------------------------------------------------------------------
+def documents_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None) -> DataFrame:
+    """``keys, part, doc``: one JSON document per key with its rows in order.
+
+    ``max_rows`` splits keys without a natural bound into parts of about that size.
+    """
+    body = [c for c in rows.columns if c not in keys]
+    if max_rows is None:
+        parted = rows.withColumn("part", F.lit(0))
+    else:
+        sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / max_rows).alias("_parts"))
+        parted = rows.join(sizes, list(keys)).withColumn("part", F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int"))
+    entry = F.struct(*order, *[c for c in body if c not in order])
+    docs = parted.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    return docs.select(*keys, "part", F.to_json(F.struct("rows")).alias("doc"))
+
+
+def write_documents(docs: DataFrame, keys: Sequence[str], path: str) -> None:
+    """One folder per key with the documents as text."""
+    docs.select(*keys, F.col("doc").alias("value")).write.mode("overwrite").partitionBy(*keys).text(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Every field quoted, doubled quotes, header."""
+    df.write.mode("overwrite").options(header=True, quoteAll=True, quote='"', escape='"').csv(path)
+
+
+def manifest(rows: DataFrame, key: str, built: str, sources: Sequence[str]) -> DataFrame:
+    """One row: sorted distinct keys, row count, build date and sources."""
+    names = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return names.agg(F.array_sort(F.collect_list(key)).alias("keys"), F.sum("_n").alias("count")).select(
+        "keys", "count", F.lit(built).alias("built"), F.array(*[F.lit(s) for s in sources]).alias("sources")
+    )
+
+
+def size_report(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    return docs.agg(F.count("*").alias("n"), F.max(F.octet_length(doc)).cast("bigint").alias("largest"), F.sum(F.octet_length(doc)).alias("total"))
+
+
+# --- publication -------------------------------------------------------------------------------
+class GateFailed(RuntimeError):
+    """A quality gate refused the new build; the last good one stays current."""
+
+
+@dataclass
+class Published:
+    run_id: str
+    path: str
+    rows: int
+
+
+def publish(df: DataFrame, root: str, gates=None, run_id: str | None = None) -> Published:
+    """Write to a new run folder, check it, then move the pointer ``current.json``.
+
+    ``gates`` is called with the staged table and returns gate rows ``gate, ok, …``. The pointer moves
+    only when all are ok; otherwise readers keep the last good run and ``GateFailed`` is raised.
+    """
+    spark = df.sparkSession
+    run_id = run_id or uuid.uuid4().hex[:12]
+    path = f"{root.rstrip('/')}/runs/{run_id}"
+    df.write.mode("errorifexists").parquet(path)
+    staged = spark.read.parquet(path)
+    if gates is not None:
+        # gate rows are one per check
+        failed = [r["gate"] for r in gates(staged).where(~F.coalesce("ok", F.lit(False))).select("gate").collect()]
+        if failed:
+            raise GateFailed(", ".join(failed))
+    _replace_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"run_id": run_id, "path": path}))
+    return Published(run_id, path, staged.count())
+
+
+def current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The table the pointer names, or None before the first publication."""
+    pointer = f"{root.rstrip('/')}/current.json"
+    if not path_exists(spark, pointer):
+        return None
+    row = spark.read.schema("run_id STRING, path STRING").json(pointer).first()
+    return spark.read.parquet(row["path"])
+
+
+def _replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file next to the target and rename it over, through the Hadoop file system."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(staged, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(staged, target, overwrite)
