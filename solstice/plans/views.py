@@ -55,15 +55,17 @@ class Tables:
             .withColumn("pos", (F.col("year") * 12 + F.col("month") - 1).cast("bigint"))
         )
 
+    FIX_COLUMNS = (
+        "l_orderkey AS sid", "CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS fix_id", "l_shipdate AS ts",
+        "l_returnflag AS basin", "CASE WHEN l_linenumber = 3 THEN ' ' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS wmo_wind",
+        "CASE WHEN l_discount = 0 THEN '' ELSE CAST(CAST(l_quantity * 2 AS INT) AS STRING) END AS usa_wind",
+        "CAST((l_partkey*7919 + l_orderkey) % 12000 AS DOUBLE)/100 - 60 AS lat",
+        "CAST((l_suppkey*104729 + l_orderkey*37) % 36000 AS DOUBLE)/100 - 180 AS lon",
+    )
+
     @cached_property
     def fix(self) -> DataFrame:
-        return self.lineitem.selectExpr(
-            "l_orderkey AS sid", "CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS fix_id", "l_shipdate AS ts",
-            "l_returnflag AS basin", "CASE WHEN l_linenumber = 3 THEN ' ' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS wmo_wind",
-            "CASE WHEN l_discount = 0 THEN '' ELSE CAST(CAST(l_quantity * 2 AS INT) AS STRING) END AS usa_wind",
-            "CAST((l_partkey*7919 + l_orderkey) % 12000 AS DOUBLE)/100 - 60 AS lat",
-            "CAST((l_suppkey*104729 + l_orderkey*37) % 36000 AS DOUBLE)/100 - 180 AS lon",
-        )
+        return self.lineitem.selectExpr(*self.FIX_COLUMNS)
 
     @cached_property
     def place(self) -> DataFrame:

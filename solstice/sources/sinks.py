@@ -24,8 +24,10 @@ def decimals(x: Column, digits: int) -> Column:
 
 
 def significant(x: Column, digits: int) -> Column:
-    """Keep ``digits`` decimals of the scientific notation, as a double."""
-    return F.format_string(f"%.{digits}e", x).cast("double")
+    """Keep ``digits`` decimals of the scientific notation, ties to even, as a double."""
+    scale = F.pow(F.lit(10.0), F.lit(digits) - F.floor(F.log10(F.abs(x))))
+    # the text form removes the noise of scaling back
+    return F.when(x == 0, 0.0).otherwise(F.format_string(f"%.{digits}e", F.bround(x * scale, 0) / scale).cast("double"))
 
 
 def provenance_struct(name: str, version, retrieved_at, url: str, licence: str, **extra: str) -> Column:
@@ -62,7 +64,8 @@ def write_documents(docs: DataFrame, keys: Sequence[str], path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Every field quoted, doubled quotes, header."""
-    df.write.mode("overwrite").options(header=True, quoteAll=True, quote='"', escape='"').csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, quoteAll=True, quote='"', escape='"', **kept).csv(path)
 
 
 def manifest(rows: DataFrame, key: str, built: str, sources: Sequence[str]) -> DataFrame:
@@ -85,37 +88,44 @@ class GateFailed(RuntimeError):
 @dataclass
 class Published:
     run_id: str
-    path: str
-    rows: int
+    paths: list[str]
 
 
-def publish(df: DataFrame, root: str, gates=None, run_id: str | None = None) -> Published:
+def publish(df: DataFrame, root: str, gates=None, run_id: str | None = None, append: bool = False) -> Published:
     """Write to a new run folder, check it, then move the pointer ``current.json``.
 
     ``gates`` is called with the staged table and returns gate rows ``gate, ok, …``. The pointer moves
     only when all are ok; otherwise readers keep the last good run and ``GateFailed`` is raised.
+    ``append`` keeps the earlier runs current too, so that they are never rewritten.
     """
     spark = df.sparkSession
     run_id = run_id or uuid.uuid4().hex[:12]
-    path = f"{root.rstrip('/')}/runs/{run_id}"
+    path = f"{root.rstrip('/')}/runs/{run_id}-{uuid.uuid4().hex[:6]}"
     df.write.mode("errorifexists").parquet(path)
-    staged = spark.read.parquet(path)
     if gates is not None:
         # gate rows are one per check
-        failed = [r["gate"] for r in gates(staged).where(~F.coalesce("ok", F.lit(False))).select("gate").collect()]
+        failed = [r["gate"] for r in gates(spark.read.parquet(path)).where(~F.coalesce("ok", F.lit(False))).select("gate").collect()]
         if failed:
             raise GateFailed(", ".join(failed))
-    _replace_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"run_id": run_id, "path": path}))
-    return Published(run_id, path, staged.count())
+    earlier = pointer(spark, root)
+    paths = [*(earlier.paths if append and earlier else []), path]
+    _replace_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"run_id": run_id, "paths": paths}))
+    return Published(run_id, paths)
 
 
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The table the pointer names, or None before the first publication."""
-    pointer = f"{root.rstrip('/')}/current.json"
-    if not path_exists(spark, pointer):
+def pointer(spark: SparkSession, root: str) -> Published | None:
+    """What is current, or None before the first publication."""
+    path = f"{root.rstrip('/')}/current.json"
+    if not path_exists(spark, path):
         return None
-    row = spark.read.schema("run_id STRING, path STRING").json(pointer).first()
-    return spark.read.parquet(row["path"])
+    row = spark.read.schema("run_id STRING, paths ARRAY<STRING>").json(path).first()
+    return Published(row["run_id"], list(row["paths"]))
+
+
+def current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The table the pointer names."""
+    now = pointer(spark, root)
+    return None if now is None else spark.read.parquet(*now.paths)
 
 
 def _replace_text(spark: SparkSession, path: str, text: str) -> None:
