@@ -218,10 +218,10 @@ def s4(t):
 
 @query(
     "s5_quantised_values",
-    "SELECT o_orderkey AS id, CAST(round_even(x, 0) AS DOUBLE) AS whole, round(x, 2) AS two, CAST(format('{:.3e}', x) AS DOUBLE) AS three FROM (SELECT o_orderkey, o_totalprice / 7 AS x FROM orders)",
+    "SELECT o_orderkey AS id, CAST(round_even(x, 0) AS DOUBLE) AS whole, round(x, 2) AS two, CAST(format('{:.3e}', x) AS DOUBLE) AS three FROM (SELECT o_orderkey, o_totalprice / 9.7::DOUBLE AS x FROM orders)",
 )
 def s5(t):
-    x = F.col("o_totalprice") / 7
+    x = F.col("o_totalprice") / 9.7
     return t.orders.select(F.col("o_orderkey").alias("id"), sinks.whole(x).alias("whole"), sinks.decimals(x, 2).alias("two"), sinks.significant(x, 3).alias("three"))
 
 
