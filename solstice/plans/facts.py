@@ -188,8 +188,10 @@ def _row(df: DataFrame, x: FactInputs) -> DataFrame:
         F.struct("rain", "temp", "season", "local_season", "months", "timing", "hazards", "note", F.col("region_sources").alias("sources")),
     )
     too_few = F.coalesce(F.col("history.too_few"), F.lit(True))
-    consistency = F.lit(None) if x.rules is None else F.when(
-        ~too_few, rules.consistency(F.col("history.composite_pct"), F.col("history.wetter_frac"), F.col("history.n_events"))
+    # the counts are worded only where the wording rules are in use
+    consistency = F.when(
+        F.lit(x.rules is not None) & ~too_few,
+        rules.consistency(F.col("history.composite_pct"), F.col("history.wetter_frac"), F.col("history.n_events")),
     )
     out = df.select(
         "place_id",
