@@ -106,7 +106,12 @@ def season_normals(clim: DataFrame, month_shift: int = 0) -> DataFrame:
     """``source, cell, k, normal``: sum of the three monthly normals, null when one is missing."""
     table = cal.season_month_table(clim.sparkSession, month_shift).select("k", "month")
     out = clim.join(F.broadcast(table), "month").groupBy("source", "cell", "k").agg(F.sum("clim").alias("_s"), F.count("clim").alias("_n"))
-    return out.select("source", "cell", "k", F.when(F.col("_n") == 3, F.col("_s")).alias("normal"))
+    return out.select("source", "cell", "k", F.when(F.col("_n") == 3, steady(F.col("_s"))).alias("normal"))
+
+
+def steady(x: Column) -> Column:
+    """Drop the digits that depend on the order in which a sum was added up."""
+    return F.round(x, 9)
 
 
 def percent_anomaly(total: Column, normal: Column) -> Column:
@@ -166,7 +171,8 @@ def cell_normals(clim: DataFrame, primary: str, fallback: str, month_shift: int
 
     def normal(k: Column) -> Column:
         # position in the year of the three months of season k, counted from zero
-        return sum((F.get("_c", F.pmod(k - 1 + month_shift + p, F.lit(12))) for p in (1, 2)), F.get("_c", F.pmod(k - 1 + month_shift, F.lit(12))))
+        first, second, third = (F.get("_c", F.pmod(k - 1 + month_shift + p, F.lit(12))) for p in range(3))
+        return steady(first + second + third)
 
     return chosen.select("cell", "source", F.transform(F.sequence(F.lit(0), F.lit(11)), normal).alias("normals"))
 

@@ -32,7 +32,7 @@ def totals_sql(shift: int = 0) -> str:
 
 def normals_sql(shift: int = 0) -> str:
     season = "v_season" if shift == 0 else "(SELECT k, (k+p+10)%12+1 AS month FROM range(12) a(k), range(3) b(p))"
-    return f"SELECT source, cell, s.k, sum(clim) AS normal, count(*) AS n FROM ({CLIM}) c JOIN {season} s ON s.month = c.month GROUP BY 1,2,3 HAVING count(*) = 3"
+    return f"SELECT source, cell, s.k, round(sum(clim), 9) AS normal, count(*) AS n FROM ({CLIM}) c JOIN {season} s ON s.month = c.month GROUP BY 1,2,3 HAVING count(*) = 3"
 
 
 def anomaly_sql(shift: int = 0) -> str:
