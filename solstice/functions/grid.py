@@ -32,8 +32,12 @@ def cell_lon(lon: Column, tie: str = "half_up") -> Column:
 
 
 def format_cell(lat: Column, lon: Column) -> Column:
-    """``-001.0_+0037.0``; adding 0.0 turns a negative zero into zero."""
-    return F.format_string("%+06.1f_%+07.1f", lat.cast("double") + F.lit(0.0), lon.cast("double") + F.lit(0.0))
+    """``-001.0_+0037.0``; built from casts, which cost far less per row than a format call."""
+
+    def signed(x: Column, width: int) -> Column:
+        return F.concat(F.when(x < 0, "-").otherwise("+"), F.lpad(F.abs(x).cast("decimal(5,1)").cast("string"), width, "0"))
+
+    return F.concat(signed(lat, 5), F.lit("_"), signed(lon, 6))
 
 
 def parse_cell(cell: Column) -> tuple[Column, Column]:

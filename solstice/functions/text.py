@@ -39,14 +39,15 @@ def _norm_unicode(values: pd.Series) -> pd.Series:
 
 
 def is_ascii(text: Column) -> Column:
-    return ~text.rlike(r"[^\x00-\x7F]")
+    return F.octet_length(text) == F.char_length(text)
 
 
 def norm_ascii(text: Column) -> Column:
     """``norm_text`` for strings known to be ASCII; stays in the JVM."""
-    low = F.regexp_replace(F.lower(text), r"^\s+|\s+$", "")
-    plain = F.regexp_replace(low, "[^a-z0-9 ]+", " ")
-    return F.trim(F.regexp_replace(F.when(low.rlike("^[a-z0-9]"), plain).otherwise(low), r"\s+", " "))
+    low = F.btrim(F.lower(text), F.lit(" \t\r\n\f\x0b\x1c\x1d\x1e\x1f"))
+    first = F.substring(low, 1, 1)
+    plain = first.between("a", "z") | first.between("0", "9")
+    return F.trim(F.when(plain, F.regexp_replace(low, "[^a-z0-9]+", " ")).otherwise(F.regexp_replace(low, r"\s+", " ")))
 
 
 def norm_text(text: Column) -> Column:
@@ -189,23 +190,27 @@ def sentences(text: Column, marks: str = ".!?") -> Column:
     return F.filter(parts, lambda x: F.char_length(F.btrim(x, F.lit(BLANKS))) > 0)
 
 
-def words(sentence: Column) -> Column:
-    return F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
-def syllables(word: Column) -> Column:
-    """Vowel groups of the letters, a final e not counted; at least one, none without letters."""
-    letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    groups = F.regexp_count(F.regexp_replace(letters, "e$", ""), F.lit("[aeiouy]+"))
-    return F.when(letters == "", 0).otherwise(F.greatest(F.lit(1), groups))
+def syllables(text: Column) -> Column:
+    """Vowel groups of all words, a final e not counted; at least one per word that has letters.
+
+    Counted over the whole text at once instead of word by word.
+    """
+    letters = F.regexp_replace(F.lower(text), r"[^a-z\s]+", "")
+    spoken = F.regexp_replace(letters, r"e(?=\s|$)", "")
+    groups = F.regexp_count(spoken, F.lit("[aeiouy]+"))
+    silent = F.regexp_count(letters, F.lit(r"\S+")) - F.regexp_count(spoken, F.lit(r"[^\saeiouy]*[aeiouy]\S*"))
+    return groups + silent
 
 
 def reading_counts(text: Column) -> Column:
     """Struct ``sentences, words, syllables`` over the sentences longer than two characters."""
     kept = F.filter(sentences(text), lambda x: F.char_length(F.btrim(x, F.lit(BLANKS))) > 2)
-    all_words = F.flatten(F.transform(kept, words))
-    spoken = F.aggregate(F.transform(all_words, syllables), F.lit(0), lambda acc, n: acc + n)
-    return F.struct(F.size(kept).alias("sentences"), F.size(all_words).alias("words"), spoken.alias("syllables"))
+    joined = F.array_join(kept, "\n")
+    return F.struct(F.size(kept).alias("sentences"), word_count(joined).alias("words"), syllables(joined).alias("syllables"))
 
 
 def reading_grade(n_sentences: Column, n_words: Column, n_syllables: Column) -> Column:

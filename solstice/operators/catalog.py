@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solstice.functions.joins import dim_join
+from solstice.functions.joins import dim_join, is_small
 from solstice.functions.text import slot_signature
 
 MAX_DEPTH = 5
@@ -118,7 +118,9 @@ def language_status(target: DataFrame) -> DataFrame:
 
 
 def review_sheet(source: DataFrame, target: DataFrame, languages: DataFrame) -> DataFrame:
-    """Every key in every language with its translation and status; languages are a short list."""
+    """Every key in every language with its translation and status; the language list is refused beyond 10 000 rows."""
+    if not is_small(languages, 10_000):
+        raise ValueError("a language list has at most 10 000 rows")
     grid = source.select("k", F.col("value").alias("english")).join(F.broadcast(languages.select("lang")), how="cross")
     rows = grid.join(target.select("lang", "k", F.col("value").alias("translation"), "mt"), ["lang", "k"], "left")
     status = F.when(F.col("mt").isNull(), "pending").when(F.col("mt"), "machine").otherwise("reviewed")

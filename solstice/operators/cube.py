@@ -65,7 +65,8 @@ def coverage(cube: DataFrame, first_months: int = 24) -> DataFrame:
         cube.select("source", index.alias("idx"), "year", "month").distinct()
         .withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= first_months).select("source", "year", "month")
     )
-    early = dim_join(cube, months, ["source", "year", "month"])
+    # at most ``first_months`` rows per source
+    early = dim_join(cube, months, ["source", "year", "month"], bounded=True)
     return early.groupBy("source", "cell").agg(F.bool_or(F.col("value").isNotNull()).alias("covered"))
 
 
@@ -267,9 +268,10 @@ def recent_share(cube: DataFrame, clim: DataFrame, n_months: int = 3, min_normal
         cube.select("source", index.alias("idx"), "year", "month").distinct()
         .withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n_months).select("source", "year", "month")
     )
-    recent = dim_join(cube, months, ["source", "year", "month"]).groupBy("source", "cell").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    # at most ``n_months`` rows per source
+    recent = dim_join(cube, months, ["source", "year", "month"], bounded=True).groupBy("source", "cell").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
     normals = (
-        dim_join(clim, months.select("source", "month").distinct(), ["source", "month"])
+        dim_join(clim, months.select("source", "month").distinct(), ["source", "month"], bounded=True)
         .groupBy("source", "cell").agg(F.sum("clim").alias("normal"), F.count("clim").alias("n_normal"))
     )
     rows = recent.join(normals, ["source", "cell"])
@@ -322,7 +324,7 @@ def season_forecast(months: Column, of_months: Column) -> Column:
 
 
 def forecast_months(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Monthly forecast rows nested per place; a forecast run has a handful of months."""
+    """Monthly forecast rows nested per place; one row per place and month, a handful of months per run."""
     return rows.groupBy(*keys).agg(F.collect_list(F.struct("ym", "anomaly", "mean")).alias("months"))
 
 

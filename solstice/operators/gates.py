@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solstice.functions.joins import dim_join
+
 
 def slice_quality(slices: DataFrame, keys: Sequence[str], min_share: float = 0.5, max_abs: float = 1.0) -> DataFrame:
     """Share of present values and largest magnitude of every slice of a cube."""
@@ -56,9 +58,9 @@ def union_gates(*gates: DataFrame) -> DataFrame:
 def direction_checks(fact: DataFrame, checks: DataFrame, on: Sequence[str], value: str = "pct") -> DataFrame:
     """Known signs against a fact table: ``checks`` has ``name, expect`` (wetter, drier), ``required`` and the join columns.
 
-    The checks are a hand-made list and are broadcast; a check without a value fails.
+    A check without a value fails.
     """
-    matched = fact.join(F.broadcast(checks.select("name", *on)), list(on)).select("name", *on, F.col(value).alias("_v"))
+    matched = dim_join(fact, checks.select("name", *on), on).select("name", *on, F.col(value).alias("_v"))
     rows = checks.join(matched, ["name", *on], "left")
     right = F.coalesce((F.col("_v") > 0) == (F.col("expect") == "wetter"), F.lit(False))
     return rows.select(*checks.columns, F.col("_v").alias("value"), right.alias("ok"))

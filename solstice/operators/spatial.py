@@ -176,7 +176,8 @@ def nearest_listed(points: DataFrame, listed: DataFrame) -> DataFrame:
     ``listed`` holds ``cell_id, places`` with a short array per cell (see
     ``gazetteer.places_per_cell``), so each point looks at no more than that many places.
     """
-    joined = dim_join(points.withColumn("cell_id", grid.cell_id(F.col("lat"), F.col("lon"))), listed, "cell_id", "left")
+    # one row per grid cell
+    joined = dim_join(points.withColumn("cell_id", grid.cell_id(F.col("lat"), F.col("lon"))), listed, "cell_id", "left", bounded=True)
     ranked = F.transform(
         "places",
         lambda p: F.struct(grid.haversine_km(F.col("lat"), F.col("lon"), p["lat"], p["lon"]).alias("km"), p["rank"].alias("rank"), p.alias("place")),
@@ -186,11 +187,15 @@ def nearest_listed(points: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def zonal_sum(pixels: DataFrame, nodata: float | None = None, tie: str = "half_even") -> DataFrame:
-    """``cell_id, value``: clean pixel values summed per grid cell, cells of at least one kept."""
-    value = clean_pixel(F.col("value"), nodata)
-    total = F.sum(value)
-    out = pixels.groupBy(grid.cell_id(F.col("lat"), F.col("lon"), tie).alias("cell_id")).agg(total.alias("total"))
-    return out.where("total >= 1").select("cell_id", F.bround("total", 0).cast("bigint").alias("value"))
+    """``cell_id, value``: clean pixel values summed per grid cell, cells of at least one kept.
+
+    Groups by the numeric cell centre; only the result rows are formatted.
+    """
+    cells = pixels.select(
+        grid.cell_lat(F.col("lat"), tie).alias("_lat"), grid.cell_lon(F.col("lon"), tie).alias("_lon"), clean_pixel(F.col("value"), nodata).alias("v")
+    )
+    out = cells.groupBy("_lat", "_lon").agg(F.sum("v").alias("total")).where("total >= 1")
+    return out.select(grid.format_cell(F.col("_lat"), F.col("_lon")).alias("cell_id"), F.bround("total", 0).cast("bigint").alias("value"))
 
 
 def clean_pixel(value: Column, nodata: float | None = None) -> Column:

@@ -40,7 +40,9 @@ def storms(fixes: DataFrame) -> DataFrame:
 
 def storm_cells(fixes: DataFrame) -> DataFrame:
     """Distinct grid cells visited by each storm."""
-    return fixes.select("sid", grid.cell_id(F.col("lat"), F.col("lon"), "half_even").alias("cell_id")).distinct()
+    lat, lon = grid.cell_lat(F.col("lat"), "half_even"), grid.cell_lon(F.col("lon"), "half_even")
+    cells = fixes.select("sid", lat.alias("_lat"), lon.alias("_lon")).distinct()
+    return cells.select("sid", grid.format_cell(F.col("_lat"), F.col("_lon")).alias("cell_id"))
 
 
 def classed_storms(storm: DataFrame, years: DataFrame, basins: Sequence[str] = BASINS) -> DataFrame:

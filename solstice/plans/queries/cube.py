@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from solstice.functions import grid as g
+from solstice.functions.joins import dim_join
 from solstice.operators import cube as op
 from solstice.plans import sqltext as s
 from solstice.plans.registry import query
@@ -267,7 +268,7 @@ def d16(t):
 
     slices = lead_slices(t)
     cells = g.target_grid(t.spark).withColumn("lon", g.lon_360(F.col("lon")))
-    passed = slices.join(F.broadcast(gates.usable_slices(slices, ["lead"])), "lead", "left_semi")
+    passed = dim_join(slices, gates.usable_slices(slices, ["lead"]), "lead", "left_semi")
     return op.nearest_regrid(passed, cells, *COARSE).select("lead", "cell_id", significant(F.col("value"), 3).alias("anomaly"))
 
 

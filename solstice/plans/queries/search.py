@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from solstice.functions.joins import dim_join
 from solstice.functions.text import osa_distance
 from solstice.operators import gazetteer, search as op, spatial
 from solstice.plans import sqltext as s
@@ -114,7 +115,8 @@ def h8(t):
 def h9(t):
     countries = t.nation.selectExpr("concat('Brand#', n_nationkey) AS cc", "n_name AS country")
     # some districts carry the name of their province and must show it once
-    rows = t.place.withColumn("a2", F.expr("CASE WHEN a2 > '4' THEN a1 ELSE a2 END")).join(F.broadcast(countries), "cc", "left")
+    rows = t.place.withColumn("a2", F.expr("CASE WHEN a2 > '4' THEN a1 ELSE a2 END"))
+    rows = dim_join(rows, countries, "cc", "left")
     return rows.select("id", op.result_label(F.col("a2"), F.col("a1"), F.coalesce("country", "cc")).alias("label"))
 
 

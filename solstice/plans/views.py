@@ -21,7 +21,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self.__dict__[name] = table  # later uses skip the file listing
+        return table
 
     @cached_property
     def point(self) -> DataFrame:
@@ -50,7 +52,7 @@ class Tables:
         ).agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("n"))
         whole = month.groupBy("key").agg((F.sum("s") / F.sum("n")).alias("mean"))
         return (
-            month.join(F.broadcast(whole), "key")
+            month.join(whole, "key")
             .select("key", "year", "month", F.round((F.col("s") / F.col("n") - F.col("mean")) / 10000, 4).alias("v"))
             .withColumn("pos", (F.col("year") * 12 + F.col("month") - 1).cast("bigint"))
         )
