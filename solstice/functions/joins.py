@@ -59,5 +59,14 @@ def row_salt(df: DataFrame, salts: int = SALTS):
     return F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give costly per-row work on a small table one partition per core.
+
+    For plain scans: a table that already has as many partitions (any large one) is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]

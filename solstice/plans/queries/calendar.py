@@ -23,7 +23,7 @@ def season_rows(t):
         .when(F.col("o_orderkey") % 11 == 10, "spring")
         .otherwise(F.concat(F.get(names, month - 1), F.lit("-"), F.get(names, ((month - 1 + F.col("o_orderkey") % 11) % 12).cast("int"))))
     )
-    rows = t.orders.select(
+    rows = t.spread("orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus").select(
         F.col("o_orderkey").alias("id"),
         text.alias("season"),
         F.make_date(F.year("o_orderdate"), ((F.col("o_custkey") + F.col("o_orderkey")) % 12 + 1).cast("int"), F.lit(15)).alias("now"),

@@ -40,7 +40,7 @@ def text(col):
 
 @query("k1_keyword_class", f"SELECT doc_id, {staple_sql('text')} AS staple FROM documents")
 def k1(t):
-    return t.documents.select("doc_id", op.first_keyword_class(F.col("text")).alias("staple"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", op.first_keyword_class(F.col("text")).alias("staple"))
 
 
 @query("k2_window_months", f"SELECT iso AS iso2, crop, sowing, harvest FROM ({WINDOW_SQL})")

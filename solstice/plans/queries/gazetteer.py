@@ -47,7 +47,7 @@ def g3(t):
     FROM (SELECT doc_id, lower(regexp_replace(nfc_normalize(text), '^\\s+', '')) AS t FROM documents)""",
 )
 def g3_texts(t):
-    return t.documents.select("doc_id", F.sha1(norm_text(F.col("text")).cast("binary")).alias("norm_hash"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", F.sha1(norm_text(F.col("text")).cast("binary")).alias("norm_hash"))
 
 
 ALT_SQL = """SELECT l_orderkey * 8 + l_linenumber AS alt_id, l_partkey AS id, CASE l_returnflag WHEN 'R' THEN '' WHEN 'A' THEN 'en' ELSE 'xx' END AS lang,
@@ -90,7 +90,7 @@ WORD_SQL = "SELECT lower(w) AS k, count(*) AS n FROM (SELECT unnest(regexp_split
 def words(t):
     """Distinct lower-case words of all documents: mixed scripts and accents."""
     word = F.explode(F.split("text", r"\s+"))
-    return t.documents.select(word.alias("w")).select(F.lower("w").alias("k")).where("k <> ''").groupBy("k").agg(F.count("*").alias("n"))
+    return t.spread("documents", "text").select(word.alias("w")).select(F.lower("w").alias("k")).where("k <> ''").groupBy("k").agg(F.count("*").alias("n"))
 
 
 @query("g6_shard_keys", f"SELECT k, {shard_sql(2)} AS shard2, {shard_sql(4)} AS shard4 FROM ({WORD_SQL})")

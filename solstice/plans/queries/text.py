@@ -20,7 +20,7 @@ def lines_sql(html: str) -> str:
 
 @query("j1_html_lines", f"SELECT page_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS line FROM (SELECT page_id, {lines_sql('html')} AS l FROM pages)")
 def j1(t):
-    return t.pages.select("page_id", F.posexplode(tx.html_lines(F.col("html"))).alias("pos", "line"))
+    return t.spread("pages", "page_id", "html").select("page_id", F.posexplode(tx.html_lines(F.col("html"))).alias("pos", "line"))
 
 
 @query("a15_html_pages", "SELECT page_id, url, length(html) AS n_chars, sha1(html) AS html_hash FROM pages")
@@ -47,7 +47,7 @@ ENUM_SQL = f"""SELECT id, CASE WHEN regexp_matches(st, '(?i)El Niño') THEN 'el_
 
 
 def bulletins(t):
-    return op.parse_bulletin(t.orders.select(F.col("o_orderkey").alias("id"), F.expr(BULLETIN).alias("html")))
+    return op.parse_bulletin(t.spread("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").select(F.col("o_orderkey").alias("id"), F.expr(BULLETIN).alias("html")))
 
 
 @query("j2_bulletin_fields", PARSED_SQL)
@@ -120,7 +120,7 @@ SENTENCES_SQL = "list_filter(string_split(regexp_replace({0}, '([.!?])\\s+', '\\
 
 @query("j10_sentences", f"SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS sentence FROM (SELECT doc_id, {SENTENCES_SQL.format('text', BLANK, 0)} AS l FROM documents)")
 def j10(t):
-    return t.documents.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 STRIP = "regexp_replace(regexp_replace(text, '\\{\\w+\\}', 'X', 'g'), '[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}]', '', 'g')"
@@ -131,13 +131,13 @@ COUNTS_SQL = f"""SELECT doc_id, any_value(ns) AS ns, count(w) AS nw, sum(CASE WH
 
 @query("j11_reading_grade_per_text", f"SELECT doc_id, CAST(ns AS INT) AS sentences, CAST(nw AS INT) AS words, CAST(ny AS INT) AS syllables, round(0.39::DOUBLE * (nw::DOUBLE / greatest(1, ns)) + 11.8::DOUBLE * (ny::DOUBLE / greatest(1, nw)) - 15.59, 6) AS grade FROM ({COUNTS_SQL})")
 def j11(t):
-    rows = t.documents.select("doc_id", tx.reading_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+    rows = t.spread("documents", "doc_id", "text").select("doc_id", tx.reading_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
     return rows.withColumn("grade", F.round(tx.reading_grade(F.col("sentences"), F.col("words"), F.col("syllables")), 6))
 
 
 @query("j11_reading_grade_of_corpus", f"SELECT CAST(sum(ns) AS BIGINT) AS sentences, CAST(sum(nw) AS BIGINT) AS words, CAST(sum(ny) AS BIGINT) AS syllables, round(0.39::DOUBLE * (sum(nw)::DOUBLE / sum(ns)) + 11.8::DOUBLE * (sum(ny)::DOUBLE / sum(nw)) - 15.59, 6) AS grade FROM ({COUNTS_SQL})")
 def j11_corpus(t):
-    rows = t.documents.select(tx.reading_counts(F.col("text")).alias("c")).select("c.*")
+    rows = t.spread("documents", "text").select(tx.reading_counts(F.col("text")).alias("c")).select("c.*")
     total = rows.agg(*[F.sum(c).alias(c) for c in ("sentences", "words", "syllables")])
     return total.withColumn("grade", F.round(tx.reading_grade(F.col("sentences"), F.col("words"), F.col("syllables")), 6))
 
@@ -154,7 +154,7 @@ LINT_SQL = f"""WITH c AS (SELECT doc_id AS key, text, {STRIP} AS c FROM document
 
 @query("j12_editorial_lint", LINT_SQL)
 def j12(t):
-    return op.lint(t.documents, key="doc_id")
+    return op.lint(t.spread("documents", "doc_id", "text"), key="doc_id")
 
 
 @query("j13_strip_slots_and_emoji", f"SELECT id, {STRIP} AS clean FROM (SELECT p_partkey AS id, '🌧️ {{' || replace(p_name, ' ', '_') || '}} in ☀' || p_type || ' {{a b}}' AS text FROM part)")

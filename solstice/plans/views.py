@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solstice.functions.joins import spread
+
 
 class Tables:
     """Driver tables and derived views of one data folder."""
@@ -25,6 +27,10 @@ class Tables:
         self.__dict__[name] = table  # later uses skip the file listing
         return table
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Some columns of a driver table, cut for costly per-row work when it is small."""
+        return spread(getattr(self, name).select(*columns))
+
     @cached_property
     def point(self) -> DataFrame:
         return self.customer.selectExpr(
