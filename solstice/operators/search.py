@@ -50,19 +50,22 @@ def allowed_edits(length: Column) -> Column:
     return F.when(length >= 7, 2).when(length >= 4, 1).otherwise(0)
 
 
-def _block_columns(text: Column, kind: str) -> tuple[Column, Column]:
-    """Block name and the number of leading characters every member of the block shares."""
-    if kind == "major":
-        return F.concat(F.lit("m:"), top_shard(text)), F.lit(1)
-    return F.concat(F.lit("s:"), shard_key(text, 2)), F.when(text.rlike("^[a-z0-9]"), 2).otherwise(1)
+def _blocks(text: Column, major: Column) -> Column:
+    """Blocks of a string: ``via``, name and the number of leading characters all members share."""
+    shard = F.struct(F.lit("shard").alias("via"), F.concat(F.lit("s:"), shard_key(text, 2)).alias("block"), F.when(text.rlike("^[a-z0-9]"), 2).otherwise(1).alias("shared"))
+    top = F.struct(F.lit("major").alias("via"), F.concat(F.lit("m:"), top_shard(text)).alias("block"), F.lit(1).alias("shared"))
+    return F.when(major, F.array(shard, top)).otherwise(F.array(shard))
 
 
-def _variants(df: DataFrame, text: Column, length: Column, edits: Column, kind: str) -> DataFrame:
-    """One row per block and deletion variant of the part of ``text`` behind the block's shared start."""
-    block, shared = _block_columns(text, kind)
-    rest = F.substring(text, shared + 1, F.char_length(text))
-    forms = F.when(edits == 2, deletions(rest, 2)).otherwise(deletions(rest, 1))
-    return df.select("*", block.alias("_block"), length.alias("_len"), F.explode(forms).alias("_form"))
+def _variants(df: DataFrame, text: str) -> DataFrame:
+    """One row per block and deletion variant of the part of ``text`` behind the block's shared start.
+
+    ``df`` has ``_e`` (edits) and ``major``.
+    """
+    blocked = df.withColumn("_b", F.explode(_blocks(F.col(text), F.col("major"))))
+    rest = F.substring(F.col(text), F.col("_b.shared") + 1, F.char_length(text))
+    forms = F.when(F.col("_e") == 2, deletions(rest, 2)).otherwise(deletions(rest, 1))
+    return blocked.select(*df.columns, F.col("_b.via").alias("via"), F.col("_b.block").alias("_block"), F.explode(forms).alias("_form"))
 
 
 def _join(keys: DataFrame, queries: DataFrame, on: list[str], small: bool) -> DataFrame:
@@ -92,16 +95,11 @@ def match_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
         .where((F.abs(klen - F.col("_l")) <= allowed_edits(F.col("_l")) + 3) & (F.col("_l") - klen <= 1))
         .withColumn("_kp", F.substring("k", F.lit(1), F.col("_l")))
     )
-    asked = q.withColumn("_l", F.char_length("q")).where("_l >= 4").withColumn("_e", allowed_edits(F.col("_l")))
-    found = []
-    for kind in ("shard", "major"):
-        mine = sides if kind == "shard" else sides.where("major")
-        key_forms = _variants(mine, F.col("_kp"), F.col("_l"), F.col("_e"), kind).select("k", "_kp", "_e", "_block", "_len", "_form")
-        query_forms = _variants(asked, F.col("q"), F.col("_l"), F.col("_e"), kind).select("q", "_block", "_len", "_form")
-        pairs = _join(key_forms, query_forms, ["_block", "_len", "_form"], small).select("q", "k", "_kp", "_e").distinct()
-        found.append(pairs.withColumn("via", F.lit(kind)))
-    fuzzy = score_pairs(found[0].unionByName(found[1]))
-    return prefix.unionByName(fuzzy).groupBy("q", "k", "via").agg(F.min("score").alias("score"))
+    asked = q.withColumns({"_l": F.char_length("q"), "major": F.lit(True)}).where("_l >= 4").withColumn("_e", allowed_edits(F.col("_l")))
+    key_forms = _variants(sides, "_kp").select("k", "_kp", "_e", "via", "_block", "_l", "_form")
+    query_forms = _variants(asked, "q").select("q", "_block", "_l", "_form")
+    pairs = _join(key_forms, query_forms, ["_block", "_l", "_form"], small).select("q", "k", "_kp", "_e", "via").distinct()
+    return prefix.unionByName(score_pairs(pairs)).groupBy("q", "k", "via").agg(F.min("score").alias("score"))
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
