@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from solstice.llm import length_buckets, token_counts
+from pyspark.sql import functions as F
+
+from solstice.llm import length_buckets, pii, token_counts, url_rules
 from solstice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +34,14 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op6_url_rules")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_rules.judge_urls(table(spark, folder, "pages"), labels)
+
+
+@query("op10_pii_spans")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.counts(pii.find_pii(table(spark, folder, "documents")))
