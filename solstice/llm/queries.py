@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from solstice.llm import length_buckets, pii, token_counts, url_rules
+from solstice.llm import divergence, length_buckets, pii, token_counts, url_rules
 from solstice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +44,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_pii_spans")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pii.counts(pii.find_pii(table(spark, folder, "documents")))
+
+
+@query("op1_divergence")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.judge(table(spark, folder, "documents"))
