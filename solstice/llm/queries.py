@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm import divergence, length_buckets, pii, token_counts, url_rules
+from solstice.llm import divergence, kneser_ney, length_buckets, pii, token_counts, url_rules
 from solstice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_divergence")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.judge(table(spark, folder, "documents"))
+
+
+def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+
+
+@query("op5_kneser_ney")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.judge(table(spark, folder, "documents"), trusted_ids(spark, folder))
