@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm import divergence, kneser_ney, length_buckets, pii, token_counts, url_rules
+from solstice.llm import divergence, kneser_ney, length_buckets, minhash_forest, pii, token_counts, url_rules
 from solstice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_kneser_ney")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.judge(table(spark, folder, "documents"), trusted_ids(spark, folder))
+
+
+@query("op2_minhash_forest")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, folder, "documents")).drop("key")
