@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm import divergence, kneser_ney, length_buckets, minhash_forest, pii, token_counts, url_rules
+from solstice.llm import bm25_wand, divergence, kneser_ney, length_buckets, minhash_forest, pii, token_counts, url_rules
 from solstice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_minhash_forest")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, folder, "documents")).drop("key")
+
+
+@query("op7_bm25_wand")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25_wand.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
