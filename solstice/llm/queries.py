@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm import bm25_wand, divergence, kneser_ney, length_buckets, minhash_forest, pii, token_counts, url_rules
+from solstice.llm import bm25_wand, divergence, kneser_ney, length_buckets, minhash_forest, pii, rans, token_counts, url_rules
 from solstice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_bm25_wand")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return bm25_wand.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_rans_tokens")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return rans.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -10,19 +10,26 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-#: A space beside other white space: such a text is not cut at plain spaces only.
-_UNSAFE = re.compile(r" \s|\s ")
+#: White space other than the plain space and the line feed.
+_OTHER_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces longer than this are not worth remembering.
 _LONG = 200
 
 
+def _plain(text: str) -> bool:
+    """Whether every space stands between characters that are not white space, as far as a quick look can tell."""
+    if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
+        return False
+    return not any(c in text for c in _OTHER_ASCII) if text.isascii() else not _OTHER_SPACE.search(text)
+
+
 def pieces_of(text: str) -> list[str]:
     """Cut before every space that has no white space beside it. The pieces put together give the text."""
-    if not _UNSAFE.search(text) and text[:1] != " " and text[-1:] != " ":
+    if _plain(text):
         first, *rest = text.split(" ")
         return [first, *[" " + p for p in rest]]
     at = [0, *(m.start() for m in _SAFE_SPACE.finditer(text)), len(text)]
@@ -39,24 +46,41 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.keep, self.seen = keep, {}
-        self.value = len if counts else (lambda e: np.asarray(e.ids, "<u4").tobytes())
+        #: Pieces as they stand, and pieces after a space, without it.
+        self.keep, self.bare, self.spaced = keep, {}, {}
+        self.value = len if counts else (lambda e: array("I", e.ids).tobytes())
+
+    def _learn(self, known: dict, misses: set, before: str) -> dict:
+        order = list(misses)
+        new = dict(zip(order, map(self.value, self.library.encode_batch_fast([before + p for p in order], add_special_tokens=False)), strict=True))
+        known.update((k, v) for k, v in new.items() if len(k) <= _LONG)
+        return new
 
     def encode(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces: counts, or ids as little-endian bytes."""
-        if len(self.seen) > self.keep:
-            self.seen.clear()
-        get, cut = self.seen.get, [pieces_of(t) for t in texts]
-        found = [list(map(get, p)) for p in cut]
-        miss = {p for pieces, values in zip(cut, found, strict=True) if None in values for p, v in zip(pieces, values, strict=True) if v is None}
-        if miss:
-            order = list(miss)
-            new = dict(zip(order, map(self.value, self.library.encode_batch_fast(order, add_special_tokens=False)), strict=True))
-            for pieces, values in zip(cut, found, strict=True):
-                if None in values:
-                    values[:] = [new[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
-            self.seen.update((k, v) for k, v in new.items() if len(k) <= _LONG)
-        return found
+        """For each text the values of its pieces: counts, or ids as 32-bit integers in bytes."""
+        if len(self.bare) + len(self.spaced) > self.keep:
+            self.bare.clear()
+            self.spaced.clear()
+        heads, tails = [], []
+        for text in texts:
+            if _plain(text):
+                first, *rest = text.split(" ")
+                heads.append([first])
+                tails.append(rest)
+            else:
+                heads.append(pieces_of(text))
+                tails.append([])
+        out = []
+        for known, before, cut in ((self.bare, "", heads), (self.spaced, " ", tails)):
+            get = known.get
+            found = [list(map(get, p)) for p in cut]
+            missing = [i for i, v in enumerate(found) if None in v]
+            if missing:
+                new = self._learn(known, {p for i in missing for p, v in zip(cut[i], found[i], strict=True) if v is None}, before)
+                for i in missing:
+                    found[i] = [new[p] if v is None else v for p, v in zip(cut[i], found[i], strict=True)]
+            out.append(found)
+        return [a + b for a, b in zip(*out, strict=True)]
 
     def boundaries(self, text: str) -> list[tuple[int, int]]:
         """(start, number of ids before it) of the pre-tokens that start a piece, or lie inside a long piece."""
