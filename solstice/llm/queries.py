@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm import bm25_wand, divergence, kneser_ney, length_buckets, minhash_forest, pii, rans, token_counts, url_rules
+from solstice.llm import bm25_wand, bwt_repeats, divergence, kneser_ney, length_buckets, minhash_forest, pii, rans, token_counts, url_rules
 from solstice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_rans_tokens")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return rans.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_bwt_repeats")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return bwt_repeats.cut_repeats(table(spark, folder, "documents"))
