@@ -251,10 +251,13 @@ def contaminated(docs: DataFrame, items: DataFrame, answer_col: str | None = Non
         index = Index(mine.drop("shard").toArrow(), rare_share)
         wanted = texts.join(mine.select(F.col("item_id").alias("doc_id")).distinct(), "doc_id", "left_semi").collect()
         parts = {r["doc_id"]: question_and_answer(r["text"], r["answer"]) for r in wanted}
-        held = spark.sparkContext.broadcast((index, parts))
+        held = spark.sparkContext.broadcast((vars(index), parts))
 
         def search(batches: Iterator[pa.RecordBatch], held: object = held) -> Iterator[pa.RecordBatch]:
-            return _search(*held.value, passage, threshold, overlap, batches)
+            state, parts = held.value
+            index = Index.__new__(Index)
+            vars(index).update(state)
+            return _search(index, parts, passage, threshold, overlap, batches)
 
         found = rows.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionAll(found)

@@ -38,8 +38,7 @@ from solstice.llm.common import id_and_text, rows_of, shared_root
 from solstice.llm.tokens import PieceEncoder
 
 _MAGIC = b"RANSEG01"
-_HEAD = struct.Struct("<8sBHIIQI")
-_SIZES = struct.Struct("<III")
+_HEAD, _SIZES = "<8sBHIIQI", "<III"
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 SCALE, LANES, BLOCK = 20, 32, 1 << 16
@@ -102,7 +101,7 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
     docs = zlib.compress(known.tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes(), 1)
     table = zlib.compress(present.astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 1)
     marks = np.stack([sizes, np.cumsum(n_words) - n_words, n_words, np.array(crcs)], axis=1).astype("<u8").tobytes() + state.astype("<u8").tobytes() if blocks else b""
-    body = b"".join([_HEAD.pack(_MAGIC, SCALE, LANES, BLOCK, len(doc_ids), len(ids), blocks), _SIZES.pack(len(docs), len(table), len(marks)), docs, table, marks, stream])
+    body = b"".join([struct.pack(_HEAD, _MAGIC, SCALE, LANES, BLOCK, len(doc_ids), len(ids), blocks), struct.pack(_SIZES, len(docs), len(table), len(marks)), docs, table, marks, stream])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
@@ -112,12 +111,12 @@ class Segment:
     def __init__(self, blob: bytes):
         if zlib.crc32(blob[:-4]) != struct.unpack("<I", blob[-4:])[0]:
             raise ValueError("segment is damaged")
-        magic, self.scale, self.lanes, self.block, n_docs, self.n_ids, self.blocks = _HEAD.unpack_from(blob)
+        magic, self.scale, self.lanes, self.block, n_docs, self.n_ids, self.blocks = struct.unpack_from(_HEAD, blob)
         if magic != _MAGIC:
             raise ValueError("not a segment")
-        at = _HEAD.size
-        sizes = _SIZES.unpack_from(blob, at)
-        at += _SIZES.size
+        at = struct.calcsize(_HEAD)
+        sizes = struct.unpack_from(_SIZES, blob, at)
+        at += struct.calcsize(_SIZES)
         docs, table, marks = (blob[at + sum(sizes[:i]) : at + sum(sizes[: i + 1])] for i in range(3))
         docs = zlib.decompress(docs)
         known = np.frombuffer(docs, np.uint8, n_docs)
