@@ -57,7 +57,7 @@ def trusted_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_kneser_ney")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return kneser_ney.judge(table(spark, folder, "documents"), trusted_ids(spark, folder))
+    return kneser_ney.judge(table(spark, folder, "documents"), trusted_ids(spark, folder)).drop("hash")
 
 
 @query("op2_minhash_forest")
