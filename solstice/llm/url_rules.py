@@ -71,7 +71,7 @@ def matches(sets: DataFrame, index: DataFrame) -> DataFrame:
     return found.filter(F.size(F.array_except("rule", "tokens")) == 0).select("tokens", "rule", "confidence")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", min_support: float = 0.0005, min_count: int = 20, min_confidence: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", min_support: float = 0.0005, min_count: int = 20, min_confidence: float = 0.8) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_tokens (the mined rule that fits best) for every row.
 
     `labels` is (id, bad). Ties between mined rules go to the higher confidence, then the longer and the greater rule.
