@@ -1,62 +1,20 @@
-"""Join helpers that prove a side is small before broadcasting it."""
+"""Join helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-SALTS = 16
 
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def dim_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    on,
-    how: str = "inner",
-    *,
-    bounded: bool = False,
-    size_of: DataFrame | None = None,
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def dim_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner", *, bounded: bool = False) -> DataFrame:
     """Join a large side to a lookup side on named columns.
 
-    ``bounded=True`` is for lookups whose row count is fixed by construction (months,
-    seasons, rule rows, grid cells). Anything else is counted first: up to ``max_rows``
-    it is broadcast, beyond that both sides are shuffled with the fact side salted, so
-    that one hot key is spread over ``salts`` tasks. ``size_of`` is counted instead of ``dim``
-    when it is cheaper to compute and never shorter.
+    ``bounded=True`` is for lookups whose row count is fixed by construction (months, seasons, grid
+    cells, countries); these are broadcast. Anything else is a plain join: the adaptive planner
+    broadcasts a side that turns out small and splits the tasks of a hot key.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if bounded or is_small(dim if size_of is None else size_of, max_rows):
-        return fact.join(F.broadcast(dim), on, how)
-    return salted_join(fact, dim, on, how, salts)
-
-
-def salted_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Equi join with the fact side salted; valid for inner, left, left_semi and left_anti."""
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"a salted join cannot be {how}")
-    on = [on] if isinstance(on, str) else list(on)
-    salted = fact.withColumn("_salt", row_salt(fact, salts))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def row_salt(df: DataFrame, salts: int = SALTS):
-    """Salt from the row content and its partition.
-
-    A recomputed task gives a row the same salt again, and equal copies of a row still
-    spread, because they sit in different partitions.
-    """
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(df)])
-    return F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int")
+    return fact.join(F.broadcast(dim) if bounded else dim, on, how)
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -66,7 +24,3 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]

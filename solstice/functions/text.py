@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import unicodedata
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -12,30 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# executors receive the two UDFs by value and need no copy of this package
+# executors receive the UDF by value and need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_NOT_PLAIN = re.compile(r"[^a-z0-9 ]+")
-_SPACES = re.compile(r"\s+")
-_MARKS = re.compile("[̀-ͯ]")
-
-
 @F.pandas_udf(T.StringType())
 def _norm_unicode(values: pd.Series) -> pd.Series:
     """Normalise the strings that need Unicode tables; nulls (plain ASCII rows) pass through."""
-
-    def one(text):
-        if text is None:
-            return None
-        text = unicodedata.normalize("NFKC", text).strip().lower()
-        if text[:1].isascii() and text[:1].isalnum():
-            text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
-            text = _NOT_PLAIN.sub(" ", text)
-        else:
-            text = _MARKS.sub("", text)
-        return _SPACES.sub(" ", text).strip()
-
-    return values.map(one, na_action="ignore")
+    low = values.str.normalize("NFKC").str.strip().str.lower()
+    latin = low.str.match("[a-z0-9]", na=False)
+    folded = low.where(latin).str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii").str.replace("[^a-z0-9 ]+", " ", regex=True)
+    unmarked = low.mask(latin).str.replace("[\u0300-\u036f]", "", regex=True)
+    return folded.fillna(unmarked).str.replace(r"\s+", " ", regex=True).str.strip()
 
 
 def is_ascii(text: Column) -> Column:
@@ -58,28 +43,37 @@ def norm_text(text: Column) -> Column:
     return F.when(is_ascii(text), norm_ascii(text)).otherwise(_norm_unicode(F.when(~is_ascii(text), text)))
 
 
-@F.pandas_udf(T.IntegerType())
-def osa_distance(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
-    """Edit distance with adjacent swaps (each letter edited once); ``limit + 1`` when larger."""
-    return pd.Series([_osa(x, y, m) if x is not None and y is not None else None for x, y, m in zip(a, b, limit)], dtype="Int32")
-
-
-def _osa(a: str, b: str, limit: int) -> int:
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
-    older: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            best = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            new.append(best)
-        if min(new) > limit:
-            return limit + 1
-        older, row = row, new
-    return min(row[-1], limit + 1)
+def swap_distance(a: Column, b: Column) -> Column:
+    """Least number of edits that turn ``a`` into ``b`` with one or two of them swaps of neighbours; large when that takes more than two.
+
+    A swap at one place leaves the parts before and after it, whose plain edit distances add up. Two
+    swaps and nothing else show as two pairs of neighbours that stand crosswise.
+    """
+
+    def letter(text: Column, at: Column) -> Column:
+        return F.substring(text, at, F.lit(1))
+
+    def around(i: Column, j: Column) -> Column:
+        before = F.levenshtein(F.substring(a, F.lit(1), i - 1), F.substring(b, F.lit(1), j - 1))
+        after = F.levenshtein(F.substring(a, i + 2, F.char_length(a)), F.substring(b, j + 2, F.char_length(b)))
+        crossed = (letter(a, i) == letter(b, j + 1)) & (letter(a, i + 1) == letter(b, j)) & (letter(a, i) != letter(a, i + 1))
+        return F.when((j >= 1) & (j < F.char_length(b)) & crossed, before + after + 1).otherwise(99)
+
+    places = F.when(F.char_length(a) > 1, F.sequence(F.lit(1), F.char_length(a) - 1)).otherwise(F.array().cast("array<int>"))
+    one = F.array_min(F.transform(places, lambda i: F.least(*[around(i, i + d) for d in (-1, 0, 1)])))
+    differ = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(a), F.lit(1))), lambda i: letter(a, i) != letter(b, i))
+
+    def crosswise(n: int) -> Column:
+        x, y = F.get(differ, F.lit(n)), F.get(differ, F.lit(n + 1))
+        return (y == x + 1) & (letter(a, x) == letter(b, y)) & (letter(a, y) == letter(b, x))
+
+    two = (F.char_length(a) == F.char_length(b)) & (F.size(differ) == 4) & crosswise(0) & crosswise(2)
+    return F.least(F.coalesce(one, F.lit(99)), F.when(two, 2).otherwise(99))
+
+
+def edit_distance(a: Column, b: Column, limit: int = 2) -> Column:
+    """Edit distance up to ``limit`` (at most 2), swaps of neighbours counting once; ``limit + 1`` when larger."""
+    return F.least(F.levenshtein(a, b), swap_distance(a, b), F.lit(limit + 1))
 
 
 def deletions(text: Column, depth: int) -> Column:

@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solstice.functions.joins import dim_join, is_small
+from solstice.functions.joins import dim_join
 from solstice.functions.text import slot_signature
 
-MAX_DEPTH = 5
 BATCH_KEYS = 60
 
 
@@ -22,12 +21,17 @@ def source_hash(value: Column) -> Column:
     return F.substring(F.sha1(value.cast("binary")), 1, 10)
 
 
-def flatten(docs: DataFrame, keys: Sequence[str], doc: str = "doc", join_lists: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten(docs: DataFrame, keys: Sequence[str], doc: str = "doc", join_lists: bool = False) -> DataFrame:
     """Nested JSON documents to ``keys, k, value`` with dotted paths; keys that start with ``_`` are skipped.
 
     Lists are leaves: JSON text, or joined with `` | ``. Every level replaces an object by its
-    entries and passes leaves through, so the documents are read once and never shuffled.
+    entries and passes leaves through, so the documents are never shuffled. The number of levels is
+    that of the deepest document, read off the brackets outside of strings in a first pass.
     """
+    brackets = F.regexp_replace(F.regexp_replace(doc, r'"(?:[^"\\]|\\.)*"', ""), r"[^{}\[\]]", "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    deepest = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, x: F.struct((s["now"] + x).alias("now"), F.greatest(s["most"], s["now"] + x).alias("most")))["most"]
+    max_depth = docs.agg(F.max(deepest)).first()[0] or 0
     level = docs.select(*keys, F.lit("").alias("k"), F.parse_json(doc).alias("v"))
     for _ in range(max_depth):
         entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
@@ -41,12 +45,14 @@ def flatten(docs: DataFrame, keys: Sequence[str], doc: str = "doc", join_lists:
     return level.select(*keys, "k", F.when(is_list, listed).otherwise(F.try_variant_get("v", "$", "string")).alias("value"))
 
 
-def unflatten(rows: DataFrame, keys: Sequence[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+def unflatten(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, doc``: dotted paths back to one nested JSON document per group.
 
     Every level folds the deepest paths into objects of their parents and passes the rest
-    through; a document holds as many entries as its catalog has keys.
+    through; a document holds as many entries as its catalog has keys. A first pass finds the
+    longest path.
     """
+    max_depth = rows.agg(F.max(F.size(F.split("k", r"\.")))).first()[0] or 0
     text = F.variant_get(F.parse_json(F.to_json(F.struct(F.col("value").alias("x")))), "$.x", "variant")
     level = rows.select(*keys, F.split("k", r"\.").alias("p"), text.alias("v"))
     for depth in range(max_depth, 0, -1):
@@ -118,18 +124,22 @@ def language_status(target: DataFrame) -> DataFrame:
 
 
 def review_sheet(source: DataFrame, target: DataFrame, languages: DataFrame) -> DataFrame:
-    """Every key in every language with its translation and status; the language list is refused beyond 10 000 rows."""
-    if not is_small(languages, 10_000):
-        raise ValueError("a language list has at most 10 000 rows")
-    grid = source.select("k", F.col("value").alias("english")).join(F.broadcast(languages.select("lang")), how="cross")
+    """Every key in every language with its translation and status: the product is what is asked for."""
+    grid = source.select("k", F.col("value").alias("english")).crossJoin(languages.select("lang"))
     rows = grid.join(target.select("lang", "k", F.col("value").alias("translation"), "mt"), ["lang", "k"], "left")
     status = F.when(F.col("mt").isNull(), "pending").when(F.col("mt"), "machine").otherwise("reviewed")
     return rows.select("lang", "k", "english", F.coalesce("translation", F.lit("")).alias("translation"), status.alias("status"))
 
 
-def language_rollup(sheet: DataFrame, source_lang: str = "en", max_pending: float = 0.25) -> DataFrame:
-    """Pending keys per language, the source language first, and whether coverage is enough to ship."""
-    counts = sheet.groupBy("lang").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count("*").alias("keys"))
+def language_rollup(source: DataFrame, target: DataFrame, languages: DataFrame, source_lang: str = "en", max_pending: float = 0.25) -> DataFrame:
+    """Pending keys per language, the source language first, and whether coverage is enough to ship.
+
+    Pending is what is left of all keys after those that a language has, so no row per key and language is made.
+    """
+    total = source.agg(F.count("*").alias("keys"))
+    done = target.where("mt IS NOT NULL").join(source.select("k"), "k", "left_semi").groupBy("lang").agg(F.count("*").alias("_done"))
+    counts = languages.select("lang").join(done, "lang", "left").join(F.broadcast(total), how="cross")
+    counts = counts.select("lang", (F.col("keys") - F.coalesce("_done", F.lit(0))).alias("pending"), "keys")
     out = counts.withColumn("ships", F.col("pending") < F.col("keys") * max_pending)
     return out.orderBy((F.col("lang") != source_lang).cast("int"), "lang")
 

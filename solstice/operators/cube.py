@@ -126,19 +126,23 @@ def event_anomalies(cube: DataFrame, clim: DataFrame, event_month: DataFrame, mo
     return joined.select("source", "cell", "phase", "ord", "k", percent_anomaly(F.col("total"), F.col("normal")).alias("pct"))
 
 
-def composite(anomalies: DataFrame, by: Sequence[str] = ("cell", "phase", "k"), min_events: int = MIN_EVENTS, digits: int | None = 0) -> DataFrame:
+def composite_columns(min_events: int = MIN_EVENTS, digits: int | None = 0) -> list[Column]:
     """Mean, share above zero, population spread and count across events; null below ``min_events``."""
     n = F.count("pct")
 
     def tidy(x: Column) -> Column:
         return F.when(n >= min_events, x if digits is None else F.bround(x, digits))
 
-    return anomalies.groupBy(*by).agg(
+    return [
         tidy(F.avg("pct")).alias("pct"),
         tidy(100.0 * F.avg((F.col("pct") > 0).cast("double"))).alias("wetter_frac"),
         tidy(F.stddev_pop("pct")).alias("std"),
         n.alias("n"),
-    )
+    ]
+
+
+def composite(anomalies: DataFrame, by: Sequence[str] = ("cell", "phase", "k"), min_events: int = MIN_EVENTS, digits: int | None = 0) -> DataFrame:
+    return anomalies.groupBy(*by).agg(*composite_columns(min_events, digits))
 
 
 def event_vectors(anomalies: DataFrame, events: DataFrame, by: Sequence[str] = ("cell", "phase", "k")) -> DataFrame:
@@ -154,11 +158,21 @@ def event_vectors(anomalies: DataFrame, events: DataFrame, by: Sequence[str] = (
     return rows.withColumn("recent", F.slice("events", F.greatest(F.size("events") - 2, F.lit(1)), F.lit(3)))
 
 
-def cell_normals(clim: DataFrame, primary: str, fallback: str, month_shift: int = 0) -> DataFrame:
+def covered_cells(cube: DataFrame, primary: str, first_months: int = 24) -> DataFrame:
+    """``cell, covered`` for every cell: whether the primary source has a value in its first months."""
+    index = cal.month_index(F.col("year"), F.col("month"))
+    months = cube.where(F.col("source") == primary).select("year", "month", index.alias("_i")).distinct().orderBy("_i").limit(first_months)
+    early = dim_join(cube, months.select("year", "month", F.lit(True).alias("_early")), ["year", "month"], "left", bounded=True)
+    seen = F.col("_early") & (F.col("source") == primary) & F.col("value").isNotNull()
+    return early.groupBy("cell").agg(F.coalesce(F.bool_or(seen), F.lit(False)).alias("covered"))
+
+
+def cell_normals(clim: DataFrame, covered: DataFrame, primary: str, fallback: str, month_shift: int = 0) -> DataFrame:
     """``cell, source, normals``: the chosen source and its twelve season normals, one row per cell.
 
-    The months are pivoted by plain aggregates, so the row stays partitioned by cell alone
-    and joins back to the season totals without another shuffle.
+    The primary source is chosen where ``covered`` says so and all twelve monthly normals exist. The
+    months are pivoted by plain aggregates, so the row stays partitioned by cell alone and joins back
+    to the season totals without another shuffle.
     """
 
     def month(source: str, m: int) -> Column:
@@ -167,8 +181,10 @@ def cell_normals(clim: DataFrame, primary: str, fallback: str, month_shift: int
     wide = clim.groupBy("cell").agg(
         F.array(*[month(primary, m) for m in range(1, 13)]).alias("_p"), F.array(*[month(fallback, m) for m in range(1, 13)]).alias("_f")
     )
-    use = F.forall("_p", lambda x: x.isNotNull())
-    chosen = wide.select("cell", F.when(use, primary).otherwise(fallback).alias("source"), F.when(use, F.col("_p")).otherwise(F.col("_f")).alias("_c"))
+    use = F.col("covered") & F.coalesce(F.forall("_p", lambda x: x.isNotNull()), F.lit(False))
+    chosen = covered.join(wide, "cell", "left").select(
+        "cell", F.when(use, primary).otherwise(fallback).alias("source"), F.when(use, F.col("_p")).otherwise(F.col("_f")).alias("_c")
+    )
 
     def normal(k: Column) -> Column:
         # position in the year of the three months of season k, counted from zero
@@ -189,26 +205,34 @@ def composite_fact(
     digits: int | None = 0,
     with_vectors: bool = False,
 ) -> DataFrame:
-    """Composite per cell, phase and season from the source chosen for each cell.
+    """Composite of every cell, phase and season from the source chosen for the cell, with nulls and ``n`` = 0 where no event counts.
 
-    One shuffle of the cube, by cell: climatology, season totals, the join of the two and the
-    final composite all run inside that partitioning.
+    One shuffle of the cube, by cell: coverage, climatology, season totals, their join and the
+    composite all run inside that partitioning. The event vectors come out of the same aggregate.
     """
     placed = by_cell(cube)
-    normals = cell_normals(climatology(placed, first_year, last_year), primary, fallback, month_shift)
+    normals = cell_normals(climatology(placed, first_year, last_year), covered_cells(placed, primary), primary, fallback, month_shift)
     totals = season_totals(placed, event_months(cube.sparkSession, events, month_shift)).withColumnRenamed("source", "_source")
     anomalies = (
         totals.join(normals, "cell")
         # not written as an equality, which would become a second join key and force a new shuffle
         .where(F.array_contains(F.array("source"), F.col("_source")))
-        .select("cell", "source", "phase", "ord", "k", percent_anomaly(F.col("total"), F.get("normals", F.col("k"))).alias("pct"))
-        .where(F.get("normals", F.col("k")).isNotNull())
+        .select("cell", "phase", "ord", "k", percent_anomaly(F.col("total"), F.get("normals", F.col("k"))).alias("pct"))
+    )
+    by_event = [F.map_from_entries(F.collect_list(F.struct("ord", F.bround("pct", 0).alias("pct")))).alias("by_event")] if with_vectors else []
+    fact = anomalies.groupBy("cell", "phase", "k").agg(*composite_columns(digits=digits), *by_event)
+    # a cell has one entry per phase and season; the slots bring in those without any event
+    per_cell = fact.groupBy("cell").agg(F.collect_list(F.struct(*fact.columns[1:])).alias("_facts"))
+    phases = events.groupBy("phase").agg(F.max("ord").alias("n_events")).select("phase", "n_events", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
+    slots = phases.agg(F.collect_list(F.struct("phase", "k", "n_events")).alias("_slots"))
+    rows = normals.select("cell", "source").join(per_cell, "cell", "left").join(F.broadcast(slots), how="cross").select("cell", "source", "_facts", F.explode("_slots").alias("s"))
+    own = F.get(F.filter("_facts", lambda f: (f["phase"] == F.col("s.phase")) & (f["k"] == F.col("s.k"))), F.lit(0))
+    rows = rows.select("cell", "source", "s", own.alias("f"))
+    out = rows.select(
+        "cell", "source", "s.phase", "s.k", "f.pct", "f.wetter_frac", "f.std", F.coalesce("f.n", F.lit(0)).cast("bigint").alias("n"),
+        *([F.transform(F.sequence(F.lit(1), F.col("s.n_events")), lambda o: F.element_at("f.by_event", o)).alias("events")] if with_vectors else []),
     )
-    by = ("cell", "source", "phase", "k")
-    fact = composite(anomalies, by, digits=digits)
-    if with_vectors:
-        fact = fact.join(event_vectors(anomalies, events, by), list(by))
-    return fact
+    return out.withColumn("recent", F.slice("events", F.greatest(F.size("events") - 2, F.lit(1)), F.lit(3))) if with_vectors else out
 
 
 def bilinear_weights(target: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.functions.joins import is_small
 
 # Skill class, probability band, confidence word, template, what to lean on.
 RULES = [
@@ -156,32 +155,28 @@ def hazard_list(region: Column, added: Column) -> Column:
     return F.array_union(F.array_distinct(F.coalesce(region, empty)), F.coalesce(added, empty))
 
 
-def step_catalog(steps: DataFrame) -> DataFrame:
-    """One row: ``by_hazard`` map and ``always`` list from ``hazard, ord, id, icon, text, why, minutes, for`` rows.
-
-    The curated list has some dozens of rows; a larger table than 10 000 rows is refused.
-    """
-    if not is_small(steps, 10_000):
-        raise ValueError("the step catalog is a curated list of at most 10 000 rows")
-    one = F.struct("ord", *[c for c in ("id", "icon", "text", "why", "minutes", "for") if c in steps.columns])
-    lists = steps.groupBy("hazard").agg(F.array_sort(F.collect_list(one)).alias("list"))
-    as_map = F.map_from_entries(F.collect_list(F.struct("hazard", "list")))
-    return lists.groupBy().agg(as_map.alias("by_hazard")).select("by_hazard", F.element_at("by_hazard", F.lit("always")).alias("always"))
-
-
-def chosen_steps(hazards: Column, livelihood: Column, limit: int = MAX_STEPS) -> Column:
-    """Steps of the hazards in order, then the always-steps, that fit the livelihood; each id once."""
-    per_hazard = F.transform(hazards, lambda h: F.element_at("by_hazard", h))
-    listed = F.flatten(F.filter(F.array_append(per_hazard, F.col("always")), lambda x: x.isNotNull()))
+def chosen_steps(listed: Column, livelihood: Column, limit: int = MAX_STEPS) -> Column:
+    """Steps in order that fit the livelihood; each id once."""
     fitting = F.filter(listed, lambda s: F.array_contains(s["for"], "all") | F.array_contains(s["for"], livelihood))
     ids = F.transform(fitting, lambda s: s["id"])
     return F.slice(F.filter(fitting, lambda s, i: F.array_position(ids, s["id"]) == i + 1), 1, limit)
 
 
 def with_steps(places: DataFrame, steps: DataFrame) -> DataFrame:
-    """Add ``steps``; ``places`` has ``hazards, livelihood``. The catalog is a single row."""
-    joined = places.join(F.broadcast(step_catalog(steps)), how="cross")
-    return joined.withColumn("steps", chosen_steps(F.col("hazards"), F.col("livelihood"))).drop("by_hazard", "always")
+    """Add ``steps``: those of the hazards in order, then the always-steps.
+
+    ``places`` has ``hazards, livelihood``; ``steps`` has ``hazard, ord, id, icon, text, why, minutes, for``. The
+    list of steps is put together once per distinct hazard list, by equi joins.
+    """
+    one = F.struct("ord", *[c for c in ("id", "icon", "text", "why", "minutes", "for") if c in steps.columns])
+    lists = steps.groupBy("hazard").agg(F.array_sort(F.collect_list(one)).alias("list"))
+    asked = places.select(F.col("hazards").alias("_h")).distinct()
+    wanted = F.array_append(F.coalesce("_h", F.array().cast("array<string>")), F.lit("always"))
+    parts = asked.select("_h", F.posexplode(wanted).alias("pos", "hazard")).join(lists, "hazard")
+    listed = parts.groupBy("_h").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "list"))), lambda p: p["list"])).alias("_listed"))
+    joined = places.join(listed, F.col("hazards").eqNullSafe(F.col("_h")), "left")
+    none = F.array().cast(listed.schema["_listed"].dataType)
+    return joined.withColumn("steps", chosen_steps(F.coalesce("_listed", none), F.col("livelihood"))).drop("_h", "_listed")
 
 
 def conditions(recent_pct: Column, category: Column) -> Column:

@@ -10,16 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solstice.functions.joins import dim_join, is_small, salted_join
-from solstice.functions.text import deletions, norm_text, osa_distance
+from solstice.functions.joins import dim_join
+from solstice.functions.text import deletions, edit_distance, norm_text
 from solstice.operators.gazetteer import MAJOR_POP, search_keys, shard_key, top_shard, with_place_key
 
 # Fixed values of the ranking.
 MIN_QUERY = 2
 PER_COUNTRY, LIMIT = 3, 8
 
-MAX_BROADCAST_QUERIES = 5_000
-
 
 def prepare_queries(raw: DataFrame, text: str = "raw") -> DataFrame:
     """Add the search form ``q``; queries shorter than two characters are dropped."""
@@ -68,10 +66,6 @@ def _variants(df: DataFrame, text: str) -> DataFrame:
     return blocked.select(*df.columns, F.col("_b.via").alias("via"), F.col("_b.block").alias("_block"), F.explode(forms).alias("_form"))
 
 
-def _join(keys: DataFrame, queries: DataFrame, on: list[str], small: bool) -> DataFrame:
-    return dim_join(keys, queries, on, bounded=True) if small else salted_join(keys, queries, on)
-
-
 def match_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """``q, k, score, via``: keys that start with the query (score 0) or are within its edit allowance.
 
@@ -79,12 +73,10 @@ def match_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
     character, large places only).
     """
     q = queries.select("q").distinct()
-    # a query has at most some forty variants, so this also bounds the variant table
-    small = is_small(q, MAX_BROADCAST_QUERIES)
     k = keys.groupBy("k").agg(F.bool_or("major").alias("major"))
 
     starts = k.withColumn("q", F.explode(F.transform(F.sequence(F.lit(MIN_QUERY), F.char_length("k")), lambda n: F.substring("k", F.lit(1), n))))
-    prefix = _join(starts, q, ["q"], small).select("q", "k", F.lit(0).alias("score"), F.lit("shard").alias("via"))
+    prefix = dim_join(starts, q, ["q"]).select("q", "k", F.lit(0).alias("score"), F.lit("shard").alias("via"))
 
     # key side: every query length this key can answer; a key one shorter than the query is compared whole
     klen = F.char_length("k")
@@ -98,22 +90,19 @@ def match_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
     asked = q.withColumns({"_l": F.char_length("q"), "major": F.lit(True)}).where("_l >= 4").withColumn("_e", allowed_edits(F.col("_l")))
     key_forms = _variants(sides, "_kp").select("k", "_kp", "_e", "via", "_block", "_l", "_form")
     query_forms = _variants(asked, "q").select("q", "_block", "_l", "_form")
-    pairs = _join(key_forms, query_forms, ["_block", "_l", "_form"], small).select("q", "k", "_kp", "_e", "via").distinct()
+    pairs = dim_join(key_forms, query_forms, ["_block", "_l", "_form"]).select("q", "k", "_kp", "_e", "via").distinct()
     return prefix.unionByName(score_pairs(pairs)).groupBy("q", "k", "via").agg(F.min("score").alias("score"))
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Distance of ``q`` and ``_kp`` where it is at most ``_e``.
+    """Distance of ``q`` and ``_kp``, swaps of neighbours counting once, where it is at most ``_e`` (0..2).
 
-    Plain edit distance decides all pairs but those where a swap could save an edit; only these
-    reach Python.
+    Plain edit distance decides all pairs but those where a swap could save an edit.
     """
     plain = F.levenshtein("q", "_kp")
     pairs = pairs.withColumn("_plain", plain).where(F.col("_plain") <= 2 * F.col("_e"))
-    open_case = F.col("_plain") >= 2
-    swapped = osa_distance(F.when(open_case, F.col("q")), F.when(open_case, F.col("_kp")), F.col("_e"))
-    scored = pairs.withColumn("_swap", swapped).withColumn("score", F.when(open_case, F.col("_swap")).otherwise(F.col("_plain")))
-    return scored.where(F.col("score") <= F.col("_e")).select("q", "k", "score", "via")
+    score = F.when(F.col("_plain") >= 2, edit_distance(F.col("q"), F.col("_kp"))).otherwise(F.col("_plain"))
+    return pairs.withColumn("score", score).where(F.col("score") <= F.col("_e")).select("q", "k", "score", "via")
 
 
 def best_per_place(matches: DataFrame, keys: DataFrame) -> DataFrame:
@@ -137,7 +126,7 @@ def rank_weight(score: Column, pop: Column, a1: Column, name_norm: Column, key:
 
 def weighted(best: DataFrame, places: DataFrame) -> DataFrame:
     named = with_place_key(places).withColumn("name_norm", norm_text(F.col("name")))
-    rows = dim_join(best, named, "id", size_of=places)
+    rows = dim_join(best, named, "id")
     return rows.withColumn("w", F.round(rank_weight(*[F.col(c) for c in ("score", "pop", "a1", "name_norm", "k", "q")]), 9))
 
 

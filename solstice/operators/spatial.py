@@ -1,7 +1,7 @@
 """Spatial joins on plain latitude and longitude columns.
 
 Shapes are cut into fixed buckets first, so that every spatial join is an equi join with an
-exact test behind it; the shape side is broadcast only after its size was checked.
+exact test behind it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solstice.functions import grid
-from solstice.functions.joins import dim_join, is_small
+from solstice.functions.joins import dim_join
 
 BUCKET = 10.0  # degrees; a shape covers at most 18 x 36 buckets
 
@@ -47,32 +47,20 @@ def ranked_regions(hits: DataFrame, point_keys: Sequence[str], keep: int | None
     return out if keep is None else out.where(F.col("rank") <= keep)
 
 
-MAX_NESTED_BOXES = 10_000
-
-
-def with_regions(
-    points: DataFrame, boxes: DataFrame, regions: DataFrame, point_keys: Sequence[str], nested: bool | None = None
-) -> DataFrame:
+def with_regions(points: DataFrame, boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """Add ``regions``: every region whose boxes hold the point, by falling priority, then declared order.
 
-    ``regions`` has ``region_id, name, priority, ord``. A curated box list is nested per bucket and
-    looked up in the row, so the points are not shuffled; a larger list takes the join. ``nested``
-    tells that the list was already found short or long.
+    ``regions`` has ``region_id, name, priority, ord``. The boxes are nested per bucket and looked up in
+    the row, so a point outside all boxes gets an empty list and equal points keep their rows.
     """
     named = boxes.select("region_id", "lat0", "lat1", "lon0", "lon1").join(regions.select("region_id", "name", "priority", "ord"), "region_id")
     entry = F.struct((-F.col("priority")).alias("rank"), "ord", "region_id", "name")
-    if is_small(boxes, MAX_NESTED_BOXES) if nested is None else nested:
-        lists = _covered(named).groupBy("_bi", "_bj").agg(F.collect_list(F.struct("lat0", "lat1", "lon0", "lon1", entry.alias("r"))).alias("_boxes"))
-        joined = _placed(points).join(F.broadcast(lists), ["_bi", "_bj"], "left")
-        inside = F.filter(
-            "_boxes", lambda b: F.col("lat").between(b["lat0"], b["lat1"]) & F.col("lon").between(b["lon0"], b["lon1"])
-        )
-        found = F.array_sort(F.array_distinct(F.transform(inside, lambda b: b["r"])))
-        none = F.array().cast(named.select(F.array(entry).alias("a")).schema["a"].dataType)
-        return joined.select(*points.columns, F.coalesce(found, none).alias("regions"))
-    hits = dim_join(points_in_boxes(points, boxes, point_keys), regions.select("region_id", "name", "priority", "ord"), "region_id")
-    lists = hits.groupBy(*point_keys).agg(F.array_sort(F.collect_list(entry)).alias("regions"))
-    return points.join(lists, list(point_keys), "left")
+    lists = _covered(named).groupBy("_bi", "_bj").agg(F.collect_list(F.struct("lat0", "lat1", "lon0", "lon1", entry.alias("r"))).alias("_boxes"))
+    joined = _placed(points).join(lists, ["_bi", "_bj"], "left")
+    inside = F.filter("_boxes", lambda b: F.col("lat").between(b["lat0"], b["lat1"]) & F.col("lon").between(b["lon0"], b["lon1"]))
+    found = F.array_sort(F.array_distinct(F.transform(inside, lambda b: b["r"])))
+    none = F.array().cast(named.select(F.array(entry).alias("a")).schema["a"].dataType)
+    return joined.select(*points.columns, F.coalesce(found, none).alias("regions"))
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_keys: Sequence[str], band: float = 2.0) -> DataFrame:
@@ -83,6 +71,8 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_keys: Sequence
     in its own latitude band and is inside when an odd number of them lies to its east.
     """
     keys = list(point_keys)
+    # rows with equal keys and place are one point, or their crossings would add up
+    points = points.select(*keys, "lat", "lon").distinct()
     frame = edges.groupBy("poly_id").agg(
         F.min(F.least("y1", "y2")).alias("lat0"), F.max(F.greatest("y1", "y2")).alias("lat1"),
         F.min(F.least("x1", "x2")).alias("lon0"), F.max(F.greatest("x1", "x2")).alias("lon1"),
@@ -96,7 +86,8 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_keys: Sequence
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     crossing_lon = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     met = dim_join(candidates, sides, ["poly_id", "_band"]).where(spans & (F.col("lon") < crossing_lon))
-    return met.groupBy(*keys, "poly_id").agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1).select(*keys, "poly_id")
+    odd = met.groupBy(*keys, "lat", "lon", "poly_id").agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1)
+    return odd.select(*keys, "poly_id").distinct()
 
 
 def first_polygon(hits: DataFrame, attributes: DataFrame, point_keys: Sequence[str]) -> DataFrame:
@@ -162,7 +153,7 @@ def snap_to_land(points: DataFrame, land: DataFrame, reach: int = 2) -> DataFram
     best = F.array_min(ranked)
     use_own = F.col("near_land").isNull() | own_is_land
     cell = F.when(use_own, grid.format_cell(own_lat, own_lon)).otherwise(grid.format_cell(best["lat"], best["lon"]))
-    return joined.select(*points.columns, cell.alias("cell_id"), F.coalesce(own_is_land, F.lit(False)).alias("own_is_land"))
+    return joined.select(*points.columns, cell.alias("cell_id"), F.coalesce(own_is_land, F.lit(False)).alias("own_is_land"), F.col("near_land").isNotNull().alias("on_land"))
 
 
 def cells_near_land(cells: DataFrame, land: DataFrame, reach: int = 2) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solstice.functions import text as tx
-from solstice.functions.joins import is_small
 
 # Markers and patterns of the bulletin page.
 STATUS_MARK = "(?i)ENSO Alert System Status"
@@ -96,8 +95,13 @@ def external_resources(pages: DataFrame, html: str = "html", own_hosts: Sequence
 
 
 def disallowed_urls(urls: DataFrame, allowed_prefixes: DataFrame, url: str = "url") -> DataFrame:
-    """URLs that start with none of the listed prefixes; the allow-list is hand-made and refused beyond 10 000 rows."""
-    if not is_small(allowed_prefixes, 10_000):
-        raise ValueError("an allow-list of prefixes has at most 10 000 rows")
-    test = F.col(url).startswith(F.col("prefix"))
-    return urls.join(F.broadcast(allowed_prefixes.select("prefix")), test, "left_anti")
+    """URLs that start with none of the listed prefixes.
+
+    Every distinct URL is cut to each length that occurs among the prefixes (as many as the longest has
+    characters, at most) and meets them by equality.
+    """
+    allowed = allowed_prefixes.select("prefix").where("prefix IS NOT NULL").distinct()
+    lengths = allowed.agg(F.array_sort(F.collect_set(F.char_length("prefix"))).alias("_n"))
+    starts = urls.select(F.col(url).alias("_url")).distinct().join(F.broadcast(lengths), how="cross").select("_url", F.explode("_n").alias("_n"))
+    listed = starts.where(F.char_length("_url") >= F.col("_n")).withColumn("prefix", F.substring(F.col("_url"), F.lit(1), F.col("_n"))).join(allowed, "prefix", "left_semi")
+    return urls.join(listed.select("_url").distinct(), F.col(url) == F.col("_url"), "left_anti")

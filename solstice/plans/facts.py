@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from solstice.functions import calendar as cal
 from solstice.functions import grid
-from solstice.functions.joins import dim_join, is_small
+from solstice.functions.joins import dim_join
 from solstice.operators import crops as crop_ops
 from solstice.operators import cube, rules, spatial
 
@@ -71,12 +71,12 @@ def _optional(df: DataFrame, layer: DataFrame | None, on, **nulls: str) -> DataF
 
 def build_facts(x: FactInputs) -> DataFrame:
     now = F.to_date(F.lit(x.now))
-    # every region has a box, so a short box list bounds the region tables too
-    curated = is_small(x.region_boxes, spatial.MAX_NESTED_BOXES)
     # place, cell, status, regions
-    df = spatial.snap_to_land(x.places, x.land).withColumnRenamed("own_is_land", "_own_land")
-    df = spatial.with_regions(df, x.region_boxes, x.regions, ["place_id"], nested=curated)
-    df = df.join(F.broadcast(x.status.select(F.struct(*x.status.columns).alias("status")).limit(1)), how="cross")
+    df = spatial.snap_to_land(x.places, x.land).withColumnsRenamed({"on_land": "_on_land"}).drop("own_is_land")
+    df = spatial.with_regions(df, x.region_boxes, x.regions)
+    # the newest status; an aggregate without groups is one row
+    newest = x.status.agg(F.max(F.struct(F.col("issued").alias("at"), F.struct(*x.status.columns).alias("row"))).alias("s"))
+    df = df.join(F.broadcast(newest.select(F.col("s.row").alias("status"))), how="cross")
     df = df.withColumns(
         {
             "region_id": F.get("regions", F.lit(0))["region_id"],
@@ -87,9 +87,9 @@ def build_facts(x: FactInputs) -> DataFrame:
     )
     # signal of the active phase
     signal = x.region_phases.withColumn("has_signal", F.lit(True))
-    df = dim_join(df, signal, ["region_id", "phase"], "left", bounded=curated)
+    df = dim_join(df, signal, ["region_id", "phase"], "left")
     region_sources = x.regions.select("region_id", F.col("sources").alias("region_sources"))
-    df = dim_join(df, region_sources, "region_id", "left", bounded=curated)
+    df = dim_join(df, region_sources, "region_id", "left")
     df = df.withColumn("has_signal", F.coalesce("has_signal", F.lit(False)))
     months = F.when(F.col("has_signal"), cal.parse_season(F.col("season"))).otherwise(F.array().cast("array<int>"))
     df = df.withColumns({"months": months, "sign": F.when(F.col("has_signal"), rules.rain_sign(F.col("rain"))).otherwise(0)})
@@ -196,7 +196,7 @@ def _row(df: DataFrame, x: FactInputs) -> DataFrame:
     out = df.select(
         "place_id",
         F.lit(x.now).alias("generated_at"),
-        F.struct("lat", "lon", "cc", "cell_id", (F.col("_own_land") | F.col("_n").isNotNull()).alias("on_land")).alias("place"),
+        F.struct("lat", "lon", "cc", "cell_id", F.col("_on_land").alias("on_land")).alias("place"),
         "status",
         F.when(F.col("region_id").isNotNull(), F.struct(F.col("region_id").alias("id"), F.col("region_name").alias("name"), "confidence")).alias("region"),
         signal.alias("signal"),

@@ -142,7 +142,7 @@ def v9(t):
 
 @query("v10_language_rollup", f"SELECT lang, count(*) FILTER (status = 'pending') AS pending, count(*) AS keys, count(*) FILTER (status = 'pending') < count(*) * 0.25 AS ships FROM ({SHEET_SQL}) GROUP BY 1")
 def v10(t):
-    return op.language_rollup(sheet(t))
+    return op.language_rollup(source(t), lang_target(t), t.documents.select("lang").distinct())
 
 
 @query("v11_overlay", f"SELECT d.doc_id AS k, sha1(coalesce(t.value, d.text)) AS text_hash FROM documents d LEFT JOIN ({TARGET_SQL}) t ON t.k = d.doc_id")

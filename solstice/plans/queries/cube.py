@@ -18,8 +18,10 @@ def event_rows(t):
 
 
 CLIM = "SELECT source, cell, month, avg(value) AS clim, count(*) AS n FROM v_cube WHERE year BETWEEN 1996 AND 2000 GROUP BY 1,2,3"
-CHOICE = f"""SELECT c.cell, CASE WHEN f.n = 12 THEN 'a' ELSE 'b' END AS source FROM (SELECT DISTINCT cell FROM v_cube) c
-  LEFT JOIN (SELECT cell, count(*) AS n FROM ({CLIM}) WHERE source = 'a' GROUP BY 1) f ON f.cell = c.cell"""
+EARLY = "SELECT DISTINCT year, month FROM v_cube WHERE source = 'a' ORDER BY year, month LIMIT 24"
+CHOICE = f"""SELECT c.cell, CASE WHEN f.n = 12 AND v.cell IS NOT NULL THEN 'a' ELSE 'b' END AS source FROM (SELECT DISTINCT cell FROM v_cube) c
+  LEFT JOIN (SELECT cell, count(*) AS n FROM ({CLIM}) WHERE source = 'a' GROUP BY 1) f ON f.cell = c.cell
+  LEFT JOIN (SELECT DISTINCT x.cell FROM v_cube x JOIN ({EARLY}) e ON e.year = x.year AND e.month = x.month WHERE x.source = 'a' AND x.value IS NOT NULL) v ON v.cell = c.cell"""
 
 
 def totals_sql(shift: int = 0) -> str:
@@ -46,6 +48,12 @@ def fact_sql(anomaly: str, digits: int = 4) -> str:
   CASE WHEN count(pct) >= 3 THEN round(stddev_pop(pct), {digits}) END AS std, count(pct) AS n FROM ({anomaly}) a JOIN ({CHOICE}) c ON c.cell = a.cell AND c.source = a.source GROUP BY 1,2,3,4"""
 
 
+def dense_sql(anomaly: str) -> str:
+    """Every cell with its source, phase and season."""
+    return f"""SELECT c.cell, c.source, p.phase, CAST(q.k AS INT) AS k, f.pct, f.wetter_frac, f.std, coalesce(f.n, 0) AS n FROM ({CHOICE}) c CROSS JOIN (SELECT DISTINCT phase FROM v_event) p CROSS JOIN range(12) q(k)
+  LEFT JOIN ({fact_sql(anomaly)}) f ON f.cell = c.cell AND f.source = c.source AND f.phase = p.phase AND f.k = q.k"""
+
+
 def placed(t):
     return op.by_cell(t.cube)
 
@@ -136,7 +144,7 @@ def d5(t):
 @query("d6_source_selection", CHOICE)
 def d6(t):
     cells = placed(t).select("cell").distinct()
-    return op.choose_source(clim(t), "a", "b", cells=cells)
+    return op.choose_source(clim(t), "a", "b", cells=cells, covered=op.coverage(t.cube))
 
 
 @query("d7_season_totals", f"SELECT source, cell, phase, ord, CAST(k AS INT) AS k, CASE WHEN n = 3 THEN tot END AS total, n FROM ({totals_sql()})")
@@ -181,13 +189,13 @@ def d11(t):
     return _vectors(t).select("source", "cell", "phase", "k", joined("recent").alias("recent"))
 
 
-@query("d12_composite_fact", fact_sql(anomaly_sql()))
+@query("d12_composite_fact", dense_sql(anomaly_sql()))
 def d12(t):
     fact = op.composite_fact(t.cube, event_rows(t), *BASE, primary="a", fallback="b", digits=None)
     return rounded(fact, "pct", "wetter_frac", "std")
 
 
-@query("d12_composite_fact_shifted_months", fact_sql(anomaly_sql(-1)))
+@query("d12_composite_fact_shifted_months", dense_sql(anomaly_sql(-1)))
 def d12_shifted(t):
     """Seasons that start one month before their label, as the published figures do."""
     fact = op.composite_fact(t.cube, event_rows(t), *BASE, primary="a", fallback="b", month_shift=-1, digits=None)

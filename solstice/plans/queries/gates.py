@@ -54,14 +54,14 @@ def l4(t):
 
 @query(
     "l5_named_event_checks",
-    f"""SELECT c.name, e.label, c.expect, f.pct IS NOT NULL AND (f.pct > 0) = (c.expect = 'wetter') AS ok FROM ({CHECK_SQL}) c CROSS JOIN (VALUES (1, '1996-97'), (2, '1998-99')) e(ord, label)
-    LEFT JOIN (SELECT * FROM ({cube_q.anomaly_sql()}) WHERE source = 'a') f ON f.cell = c.cell AND f.phase = c.phase AND f.k = c.k AND f.ord = e.ord""",
+    f"""SELECT c.name, s.source, e.label, c.expect, f.pct IS NOT NULL AND (f.pct > 0) = (c.expect = 'wetter') AS ok FROM ({CHECK_SQL}) c CROSS JOIN (VALUES (1, '1996-97'), (2, '1998-99')) e(ord, label)
+    CROSS JOIN (VALUES ('a'), ('b')) s(source) LEFT JOIN ({cube_q.anomaly_sql()}) f ON f.source = s.source AND f.cell = c.cell AND f.phase = c.phase AND f.k = c.k AND f.ord = e.ord""",
 )
 def l5(t):
     label = F.when(F.col("ord") == 1, "1996-97").when(F.col("ord") == 2, "1998-99")
-    events = cube_q.anomalies(t).where("source = 'a'").withColumn("label", label).where("label IS NOT NULL")
-    named = checks(t).withColumn("label", F.explode(F.array(F.lit("1996-97"), F.lit("1998-99"))))
-    return op.direction_checks(events, named, ["cell", "phase", "k", "label"]).select("name", "label", "expect", "ok")
+    events = cube_q.anomalies(t).withColumn("label", label).where("label IS NOT NULL")
+    named = checks(t).withColumn("label", F.explode(F.array(F.lit("1996-97"), F.lit("1998-99")))).withColumn("source", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    return op.direction_checks(events, named, ["source", "cell", "phase", "k", "label"]).select("name", "source", "label", "expect", "ok")
 
 
 @query("l6_label_uniqueness", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

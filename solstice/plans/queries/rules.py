@@ -239,13 +239,13 @@ RECENT_SQL = f"SELECT {SUPPLIER_CELL} AS cell_id, max(floor(s_acctbal / 50)) AS
 DROUGHT_SQL = f"SELECT {SUPPLIER_CELL} AS cell_id, CAST(max(s_nationkey % 5) AS INT) AS usdm FROM supplier WHERE s_acctbal > 5000 GROUP BY 1"
 SKILL_SQL = f"SELECT {SUPPLIER_CELL} AS cell_id, max(s_suppkey % 10) / 10.0::DOUBLE AS corr, max(s_suppkey % 7) / 7.0::DOUBLE AS roc FROM supplier GROUP BY 1"
 RANKED_SQL = f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority DESC, region_id) AS rn FROM ({REGIONS_SQL})"
-PLACES_SQL = f"""SELECT pt.id, 'N' || pt.nk AS cc, pt.nk, c.cell_id, c.own_is_land AS own, r.region_id, r.name AS region_name, ph.rain, ph.season, ph.curated, ph.h1, ph.h2, n.n_regionkey AS cr,
+PLACES_SQL = f"""SELECT pt.id, 'N' || pt.nk AS cc, pt.nk, c.cell_id, c.own_is_land AS own, c.on_land, r.region_id, r.name AS region_name, ph.rain, ph.season, ph.curated, ph.h1, ph.h2, n.n_regionkey AS cr,
   CASE pt.seg WHEN 'MACHINERY' THEN 'farmer' WHEN 'BUILDING' THEN 'urban' WHEN 'HOUSEHOLD' THEN 'coastal' ELSE 'all' END AS livelihood,
   CASE season WHEN 'Oct-Dec' THEN 10 WHEN 'Dec-Mar' THEN 0 WHEN 'Jun-Aug' THEN 6 WHEN 'All year' THEN 5 END AS k, CASE season WHEN 'Oct-Dec' THEN 'coming' WHEN 'Dec-Mar' THEN 'coming' WHEN 'Jun-Aug' THEN 'passed' WHEN 'All year' THEN 'now' ELSE 'unknown' END AS state,
   CASE season WHEN 'Oct-Dec' THEN [199810, 199811, 199812] WHEN 'Dec-Mar' THEN [199812, 199901, 199902, 199903] WHEN 'Jun-Aug' THEN [199906, 199907, 199908] WHEN 'All year' THEN [199801 + q FOR q IN range(12)] ELSE [] END AS wanted
   FROM v_point pt JOIN ({snap_sql(LAND)}) c ON c.id = pt.id LEFT JOIN ({RANKED_SQL}) r ON r.id = pt.id AND r.rn = 1 LEFT JOIN ({PHASE_SQL}) ph ON ph.region_id = r.region_id LEFT JOIN nation n ON n.n_nationkey = pt.nk"""
 CELL_CUBE = f"SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'a' ELSE 'b' END AS source, {SUPPLIER_CELL.replace('s_suppkey', 'l_suppkey')} AS cell, CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, sum(l_quantity) AS value FROM lineitem GROUP BY 1,2,3,4"
-HISTORY_SQL = cube_q.fact_sql(cube_q.anomaly_sql()).replace("v_cube", f"({CELL_CUBE})").replace("round(avg(pct), 4)", "CAST(round_even(avg(pct), 0) AS DOUBLE)").replace(
+HISTORY_SQL = cube_q.dense_sql(cube_q.anomaly_sql()).replace("v_cube", f"({CELL_CUBE})").replace("round(avg(pct), 4)", "CAST(round_even(avg(pct), 0) AS DOUBLE)").replace(
     "round(stddev_pop(pct), 4)", "CAST(round_even(stddev_pop(pct), 0) AS DOUBLE)"
 )
 FORECAST_SQL = """SELECT p.id, sum(anomaly) AS an, sum(mean) - sum(anomaly) AS nr, count(*) AS nm FROM p JOIN v_forecast f ON f.place = p.id AND list_contains(p.wanted, f.ym) GROUP BY 1 HAVING sum(mean) - sum(anomaly) >= 10"""
@@ -268,7 +268,7 @@ def hazards_sql(p: str = "b") -> str:
 
 @query("r2_phase_signal", f"SELECT p.id AS place_id, p.region_id, p.rain, p.season FROM ({PLACES_SQL}) p WHERE p.region_id IS NOT NULL")
 def r2(t):
-    found = spatial.with_regions(places(t), t.box.drop("name", "priority"), region_table(t), ["place_id"])
+    found = spatial.with_regions(places(t), t.box.drop("name", "priority"), region_table(t))
     top = found.select("place_id", F.get("regions", F.lit(0))["region_id"].alias("region_id"), F.lit("el_nino").alias("phase")).where("region_id IS NOT NULL")
     return dim_join(top, region_phases(t), ["region_id", "phase"]).select("place_id", "region_id", "rain", "season")
 
@@ -287,7 +287,7 @@ def r13(t):
 
 
 def with_hazards(t):
-    found = spatial.with_regions(places(t), t.box.drop("name", "priority"), region_table(t), ["place_id"])
+    found = spatial.with_regions(places(t), t.box.drop("name", "priority"), region_table(t))
     top = found.withColumns({"region_id": F.get("regions", F.lit(0))["region_id"], "phase": F.lit("el_nino")})
     rows = dim_join(top, region_phases(t).select("region_id", "phase", F.col("hazards").alias("own")), ["region_id", "phase"], "left")
     rows = dim_join(rows, country_hazards(t), ["cc", "phase"], "left")
@@ -322,7 +322,7 @@ def fact_services(t):
     f"SELECT p.id AS place_id, 'rains of ' || n.n_name AS local_season FROM ({PLACES_SQL}) p LEFT JOIN nation n ON n.n_nationkey = p.nk AND (p.nk + 1) % 25 = p.region_id",
 )
 def r16(t):
-    found = spatial.with_regions(places(t), t.box.drop("name", "priority"), region_table(t), ["place_id"])
+    found = spatial.with_regions(places(t), t.box.drop("name", "priority"), region_table(t))
     names = t.nation.selectExpr("concat('N', n_nationkey) AS cc", "map((n_nationkey + 1) % 25, concat('rains of ', n_name)) AS season_names")
     joined = dim_join(found.withColumn("region_id", F.get("regions", F.lit(0))["region_id"]), names, "cc", "left")
     return joined.select("place_id", F.element_at("season_names", F.col("region_id")).alias("local_season"))
@@ -353,20 +353,20 @@ def r18(t):
 
 @query("r19_other_regions", f"SELECT id AS place_id, string_agg(name, ',' ORDER BY rn) AS other_regions FROM ({RANKED_SQL}) WHERE rn IN (2, 3) GROUP BY 1")
 def r19(t):
-    found = spatial.with_regions(places(t), t.box.drop("name", "priority"), region_table(t), ["place_id"])
+    found = spatial.with_regions(places(t), t.box.drop("name", "priority"), region_table(t))
     names = F.transform(F.slice("regions", 2, 2), lambda r: r["name"])
     return found.select("place_id", F.array_join(names, ",").alias("other_regions")).where("other_regions <> ''")
 
 
 @query(
     "r20_facts_row",
-    f"""{JOINED} SELECT b.id AS place_id, cell_id, region_id, state AS timing, agree AS agreement, pct AS composite_pct, fpct AS forecast_pct, fagree AS forecast_agreement, skill AS skill_class, template,
+    f"""{JOINED} SELECT b.id AS place_id, cell_id, on_land, region_id, state AS timing, agree AS agreement, pct AS composite_pct, fpct AS forecast_pct, fagree AS forecast_agreement, skill AS skill_class, template,
     CASE WHEN fagree = 'disagree' AND rule_confidence IS NOT NULL THEN {CLASH} END AS disagreement, CASE WHEN rain IS NULL THEN 'uncertain' ELSE {MERGED} END AS confidence, rr AS recent_rain_pct, usdm, s.steps,
     coalesce('Service ' || n.n_name, 'World directory of weather services') AS service FROM b LEFT JOIN ({STEPS_FOR}) s ON s.id = b.id LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 4) n ON n.n_nationkey = b.nk""",
 )
 def r20(t):
     return facts(t).select(
-        "place_id", "place.cell_id", F.col("region.id").alias("region_id"), F.coalesce("signal.timing.state", F.lit("unknown")).alias("timing"), "agreement", "history.composite_pct",
+        "place_id", "place.cell_id", "place.on_land", F.col("region.id").alias("region_id"), F.coalesce("signal.timing.state", F.lit("unknown")).alias("timing"), "agreement", "history.composite_pct",
         F.col("forecast.pct").alias("forecast_pct"), "forecast_agreement", "skill_class", "forecast_rule.template", "forecast.disagreement", "confidence",
         "conditions.recent_rain_pct", "conditions.usdm", F.array_join(F.transform("steps", lambda x: x["id"]), ",").alias("steps"), F.col("met_service.name").alias("service"),
     )

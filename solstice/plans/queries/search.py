@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from solstice.functions.joins import dim_join
-from solstice.functions.text import osa_distance
+from solstice.functions.text import edit_distance
 from solstice.operators import gazetteer, search as op, spatial
 from solstice.plans import sqltext as s
 from solstice.plans.queries.gazetteer import norm_sql
@@ -75,7 +75,7 @@ def h3(t):
     swapped = t.customer.selectExpr("substr(c_name, 10) AS a", "concat(substr(c_name, 10, 6), substr(c_name, 17, 1), substr(c_name, 16, 1), substr(c_name, 18)) AS b")
     lost = t.part.selectExpr("p_name AS a", "replace(p_name, 'l', '') AS b")
     pairs = swapped.distinct().unionByName(lost.distinct())
-    return pairs.select("a", "b", osa_distance("a", "b", F.lit(2)).alias("d"))
+    return pairs.select("a", "b", edit_distance(F.col("a"), F.col("b"), 2).alias("d"))
 
 
 @query("h4_prefix_and_fuzzy_scores", f"WITH {WITH_MATCH} SELECT q, k, via, CAST(score AS INT) AS score FROM m")

@@ -92,6 +92,15 @@ def a7(t):
     return found.unionByName(rd.read_json(t.spark, f"{path}-absent", "id INT, name STRING"))
 
 
+@query("a8_country_overrides", "SELECT 'N' || c_nationkey AS cc, c_mktsegment AS region_id, 'rains ' || count(*) AS local_season FROM customer GROUP BY c_nationkey, c_mktsegment")
+def a8(t):
+    path = scratch_dir(t.spark, "overrides")
+    seasons = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.concat(F.lit("rains "), F.count("*").cast("string")).alias("s"))
+    rows = seasons.groupBy(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("iso2")).agg(F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "s"))).alias("season_names"))
+    rows.repartition("iso2").write.partitionBy("iso2").json(path)
+    return rd.override_seasons(rd.read_country_overrides(t.spark, path))
+
+
 @query("a9_polygon_features", "SELECT poly_id, CAST(category AS INT) AS category, x1, y1, x2, y2 FROM v_edge")
 def a9(t):
     corners = t.edge.groupBy("poly_id", "category").agg(F.array_sort(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("e"))

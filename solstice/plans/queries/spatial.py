@@ -70,14 +70,14 @@ def e4(t):
 def snap_sql(land: str) -> str:
     near = f"""SELECT p.*, l.i AS li, l.j AS lj FROM (SELECT id, lat, lon, {s.lat_index('lat')} AS i, {s.lon_index('lon')} AS j FROM v_point) p CROSS JOIN range(-2, 3) a(di) CROSS JOIN range(-2, 3) b(dj)
       JOIN ({land}) l ON l.i = p.i + di AND l.j = (p.j + dj + 180) % 180"""
-    return f"""SELECT p.id, {s.cell_text('coalesce(n.i, p.i) * 2 - 89', 'coalesce(n.j, p.j) * 2 - 179')} AS cell_id, p.own AS own_is_land FROM
+    return f"""SELECT p.id, {s.cell_text('coalesce(n.i, p.i) * 2 - 89', 'coalesce(n.j, p.j) * 2 - 179')} AS cell_id, p.own AS own_is_land, p.own OR n.i IS NOT NULL AS on_land FROM
       (SELECT q.id, q.i, q.j, l.i IS NOT NULL AS own FROM (SELECT id, {s.lat_index('lat')} AS i, {s.lon_index('lon')} AS j FROM v_point) q LEFT JOIN ({land}) l ON l.i = q.i AND l.j = q.j) p
       LEFT JOIN (SELECT id, li AS i, lj AS j FROM ({near}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY {s.haversine('lat', 'lon', '(li * 2 - 89)', '(lj * 2 - 179)')}, li, lj) = 1) n ON n.id = p.id AND NOT p.own"""
 
 
 @query("e5_snap_to_land", snap_sql(LAND_SQL))
 def e5(t):
-    return spatial.snap_to_land(t.point.select("id", "lat", "lon"), land(t)).select("id", "cell_id", "own_is_land")
+    return spatial.snap_to_land(t.point.select("id", "lat", "lon"), land(t)).select("id", "cell_id", "own_is_land", "on_land")
 
 
 @query(

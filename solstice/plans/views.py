@@ -114,7 +114,7 @@ class Tables:
 
     @cached_property
     def indicator(self) -> DataFrame:
-        return self.lineitem.where("l_linenumber <= 4").groupBy(F.col("l_suppkey").alias("iso"), F.col("l_linenumber").alias("ind")).agg(
+        return self.lineitem.groupBy(F.col("l_suppkey").alias("iso"), F.col("l_linenumber").alias("ind")).agg(
             (F.avg("l_quantity") / 5).alias("score")
         )
 
@@ -177,7 +177,7 @@ SQL: dict[str, str] = {
     "v_window": """SELECT c_nationkey AS iso, o_orderpriority AS crop, o_orderstatus AS zone, CAST(month(o_orderdate) AS INT) AS a,
   CASE WHEN o_orderstatus = 'F' THEN NULL ELSE CAST((month(o_orderdate) - 1 + o_orderkey % 4) % 12 + 1 AS INT) END AS b,
   CASE WHEN c_acctbal > 0 THEN c_nationkey % 12 + 1 ELSE NULL END AS h FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "v_indicator": """SELECT l_suppkey AS iso, l_linenumber AS ind, avg(l_quantity)/5 AS score FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1,2""",
+    "v_indicator": """SELECT l_suppkey AS iso, l_linenumber AS ind, avg(l_quantity)/5 AS score FROM lineitem GROUP BY 1,2""",
     "v_forecast": """SELECT o_custkey AS place, CAST(year(o_orderdate)*100 + month(o_orderdate) AS INT) AS ym, sum(floor(o_totalprice))/1024.0::DOUBLE - 250 AS anomaly,
   sum(floor(o_totalprice))/512.0::DOUBLE AS mean FROM orders GROUP BY 1,2""",
     "v_target": """SELECT l.doc_id AS k, CASE WHEN quality = 1 THEN substr(sha1(d.text),1,10) ELSE 'changed000' END AS src_hash, toxic = 1 AS mt

@@ -106,9 +106,11 @@ OVERRIDE_SCHEMA = "season_names MAP<STRING, STRING>, hazards_add MAP<STRING, ARR
 
 
 def read_country_overrides(spark: SparkSession, folder: str) -> DataFrame:
-    """One JSON file per country, keyed by its file name."""
-    rows = spark.read.schema(OVERRIDE_SCHEMA).json(f"{folder}/*.json", multiLine=True)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)\.", 1).alias("iso2"), "season_names", "hazards_add")
+    """One JSON document per country, keyed by its folder ``iso2=…``, as Spark writes it, or else by its file name."""
+    rows = spark.read.schema(OVERRIDE_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder, multiLine=True)
+    by_folder = F.regexp_extract(F.col("_metadata.file_path"), r"/iso2=([^/]+)/", 1)
+    key = F.when(by_folder != "", by_folder).otherwise(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)\.", 1))
+    return rows.select(key.alias("iso2"), "season_names", "hazards_add")
 
 
 def override_seasons(overrides: DataFrame) -> DataFrame:

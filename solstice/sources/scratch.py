@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder path under the cluster's shared checkpoint folder; a temporary one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A fresh folder path under the shared folder that the cluster names in ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/solstice/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -7,11 +7,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from solstice.session import local_session
 
     session = local_session(4, shuffle_partitions=4, memory="4g")
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir("file://" + str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -108,10 +108,9 @@ def test_polygons_with_hole(spark):
     assert got == {(1, 1), (3, 1), (3, 2), (4, 2)}
 
 
-def test_boxes_nested_and_joined_agree(spark):
-    boxes = spark.createDataFrame([(1, -10.0, 10.0, -10.0, 10.0), (1, 0.0, 30.0, 0.0, 30.0), (2, 5.0, 5.0, 5.0, 60.0), (3, -90.0, 90.0, -180.0, 180.0)], "region_id INT, lat0 DOUBLE, lat1 DOUBLE, lon0 DOUBLE, lon1 DOUBLE")
+def test_regions_of_points_also_outside_all_boxes(spark):
+    boxes = spark.createDataFrame([(1, -10.0, 10.0, -10.0, 10.0), (1, 0.0, 30.0, 0.0, 30.0), (2, 5.0, 5.0, 5.0, 60.0), (3, -20.0, 90.0, -180.0, 180.0)], "region_id INT, lat0 DOUBLE, lat1 DOUBLE, lon0 DOUBLE, lon1 DOUBLE")
     regions = spark.createDataFrame([(1, "A", 1, 0), (2, "B", 5, 1), (3, "C", 1, 2)], "region_id INT, name STRING, priority INT, ord INT")
     pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 10.0, -10.0), (3, -50.0, 100.0)], "id INT, lat DOUBLE, lon DOUBLE")
-    for nested in (True, False):
-        got = {r.id: [x.name for x in r.regions] for r in spatial.with_regions(pts, boxes, regions, ["id"], nested=nested).collect()}
-        assert got == {1: ["B", "A", "C"], 2: ["A", "C"], 3: ["C"]}
+    got = {r.id: [x.name for x in r.regions] for r in spatial.with_regions(pts, boxes, regions).collect()}
+    assert got == {1: ["B", "A", "C"], 2: ["A", "C"], 3: []}

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from solstice.functions.text import _osa, deletions, norm_text
+from solstice.functions.text import deletions, edit_distance, norm_text
 from solstice.operators import gazetteer as gz
 from solstice.operators import search as se
 
@@ -20,12 +20,18 @@ def brute_osa(a, b):
     return d[len(a), len(b)]
 
 
-def test_distance():
-    assert _osa("ca", "abc", 3) == 3 and _osa("nairobi", "nariobi", 2) == 1
+def test_distance(spark):
     rnd = random.Random(1)
+    pairs = [("ca", "abc"), ("nairobi", "nariobi"), ("abcdef", "badcfe"), ("abxcd", "bacd")]
     for _ in range(3000):
-        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 7))) for _ in "12")
-        assert _osa(a, b, 2) == min(brute_osa(a, b), 3)
+        a = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 7)))
+        b = list(a) if rnd.random() < 0.6 else [rnd.choice("abc") for _ in range(rnd.randint(0, 7))]
+        for _ in range(rnd.randint(0, 2)):
+            i = rnd.randrange(max(1, len(b)))
+            b[i : i + 2] = b[i : i + 2][::-1] if rnd.random() < 0.6 else [rnd.choice("abc")]
+        pairs.append((a, "".join(b)))
+    rows = spark.createDataFrame(pairs, "a STRING, b STRING").select("a", "b", edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r for r in rows if r.d != min(brute_osa(r.a, r.b), 3)] == []
 
 
 def test_names_of_many_scripts(spark):

@@ -85,6 +85,8 @@ def test_composite_needs_every_month_and_three_events(spark):
     assert fact["x", 10].n == 3 and fact["x", 10].wetter_frac == 100.0 and fact["x", 10].std == 0.0
     assert fact["y", 10].n == 2 and fact["y", 10].pct is None and fact["y", 10].events[1] is None
     assert fact["y", 4].n == 3
+    # every cell, phase and season has a row
+    assert len(fact) == 24 and fact["y", 10].wetter_frac is None
     full = fact["x", 0]
     assert full.pct == fact["x", 10].pct and full.recent == full.events
 
@@ -95,6 +97,18 @@ def test_source_choice_is_per_cell(spark):
     assert {r.cell: r.source for r in cube.choose_source(clim, "a", "b").collect()} == {"full": "a", "part": "b"}
 
 
+def test_uncovered_source_is_not_chosen(spark):
+    rows = [("a", c, y, m, 1.0 if c == "early" or y > 1992 else None) for c in ("early", "late") for y in range(1991, 1996) for m in range(1, 13)]
+    rows += [("b", c, y, m, 2.0) for c in ("late", "only_b") for y in range(1991, 1996) for m in range(1, 13)]
+    df = spark.createDataFrame(rows, "source STRING, cell STRING, year INT, month INT, value DOUBLE")
+    events = spark.createDataFrame([(1, "en", 1992), (1, "ln", 1993)], "ord INT, phase STRING, anchor INT")
+    fact = cube.composite_fact(df, events, 1991, 1995, "a", "b").collect()
+    assert {(r.cell, r.source) for r in fact} == {("early", "a"), ("late", "b"), ("only_b", "b")} and len(fact) == 3 * 2 * 12
+    want = {"early": "a", "late": "b", "only_b": "b"}
+    clim = cube.climatology(df, 1991, 1995)
+    assert {r.cell: r.source for r in cube.choose_source(clim, "a", "b", covered=cube.coverage(df)).collect()} == want
+
+
 def test_forecast_reduction_goldens(spark):
     rows = [
         ("ok", "2026-10", 40.0, 140.0), ("ok", "2026-11", 50.0, 170.0), ("ok", "2026-12", 20.0, 80.0), ("desert", "2026-10", 60.0, 66.0), ("cap", "2026-10", 200.0, 220.0),

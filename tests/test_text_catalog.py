@@ -91,3 +91,12 @@ def test_freshness(spark):
     rep = gates.freshness(layers, limits, "2026-10-01 00:00:00")
     assert {r.layer: r.stale for r in rep.collect()} == {"status": True, "forecast": None, "conditions": True, "composites": True}
     assert gates.any_stale(rep).first() == (True, 3)
+
+
+def test_documents_of_any_depth_come_back(spark):
+    deep = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":"x{[\\"","_p":"y"}}},"l":["1","2"]}}}},"z":"w"}'
+    docs = spark.createDataFrame([(1, deep), (2, '{"k":"v"}')], "id INT, doc STRING")
+    want = {(1, "a.b.c.d.e.f.g.h", 'x{["'), (1, "a.b.c.d.l", "1 | 2"), (1, "z", "w"), (2, "k", "v")}
+    flat = ct.flatten(docs, ["id"], join_lists=True)
+    assert {tuple(r) for r in flat.collect()} == want
+    assert {tuple(r) for r in ct.flatten(ct.unflatten(flat, ["id"]), ["id"]).collect()} == want
