@@ -56,6 +56,7 @@ class FactInputs:
     cyclones: DataFrame | None = None  # cell_id, en_rate, neutral_rate
     cyclone_years: tuple[int, int] | None = None  # strong warm years, neutral years
     cyclone_period: str = "1980-2025"
+    source_names: DataFrame | None = None  # id, label, url of the regions' own sources
     provenance: dict[str, Provenance] = field(default_factory=dict)  # history source name or layer name
 
 
@@ -88,7 +89,7 @@ def build_facts(x: FactInputs) -> DataFrame:
     # signal of the active phase
     signal = x.region_phases.withColumn("has_signal", F.lit(True))
     df = dim_join(df, signal, ["region_id", "phase"], "left")
-    region_sources = x.regions.select("region_id", F.col("sources").alias("region_sources"))
+    region_sources = x.regions.select("region_id", F.col("sources").alias("region_sources")).join(_own_sources(x), "region_id", "left")
     df = dim_join(df, region_sources, "region_id", "left")
     df = df.withColumn("has_signal", F.coalesce("has_signal", F.lit(False)))
     months = F.when(F.col("has_signal"), cal.parse_season(F.col("season"))).otherwise(F.array().cast("array<int>"))
@@ -215,9 +216,21 @@ def _row(df: DataFrame, x: FactInputs) -> DataFrame:
         F.struct(
             F.coalesce("_service", F.lit(x.service_fallback[0])).alias("name"), F.coalesce("_service_url", F.lit(x.service_fallback[1])).alias("url")
         ).alias("met_service"),
-        "other_regions",
+        "other_regions", "_own_sources",
     )
-    return out.withColumns({"sources": source_list(x), "provenance": provenance_chips(x)})
+    return out.withColumns({"sources": source_list(x), "provenance": provenance_chips(x)}).drop("_own_sources")
+
+
+def _own_sources(x: FactInputs) -> DataFrame:
+    """``region_id, _own_sources``: id, label and URL of a region's own sources, in order; a source without a name is its id."""
+    listed = x.regions.select("region_id", F.posexplode("sources").alias("pos", "id"))
+    if x.source_names is None:
+        listed = listed.withColumns({"label": F.lit(None).cast("string"), "url": F.lit(None).cast("string")})
+    else:
+        listed = listed.join(x.source_names.select("id", "label", "url"), "id", "left")
+    one = F.struct("pos", F.struct("id", F.coalesce("label", "id").alias("label"), "url").alias("s"))
+    ordered = F.transform(F.array_sort(F.collect_list(one)), lambda e: e["s"])
+    return listed.groupBy("region_id").agg(ordered.alias("_own_sources"))
 
 
 def _meta(x: FactInputs, layer: str, *fields: tuple[str, str]) -> list[Column]:
@@ -239,10 +252,8 @@ def source_list(x: FactInputs) -> Column:
     fixed = [source("oni", p["oni"].name, p["oni"].url)] if "oni" in p else []
     status = source("cpc", F.col("status.source"), F.col("status.source_url"))
     forecast = [source("forecast", p["forecast"].name, p["forecast"].url, F.col("forecast").isNotNull())] if "forecast" in p else []
-    own = F.transform(
-        F.coalesce(F.col("signal.sources"), F.array().cast("array<string>")),
-        lambda key: F.struct(key.alias("id"), key.alias("label"), F.lit(None).cast("string").alias("url")),
-    )
+    none = F.array().cast("array<struct<id:string,label:string,url:string>>")
+    own = F.coalesce(F.when(F.col("signal").isNotNull(), F.col("_own_sources")), none)
     shown = [
         source("conditions", p[layer].name, p[layer].url, F.col(f"conditions.{value}").isNotNull())
         for layer, value in (("recent_rain", "recent_rain_pct"), ("drought", "usdm")) if layer in p

@@ -216,6 +216,7 @@ def fact_inputs(t, **changes) -> FactInputs:
         "steps": step_rows(t), "services": t.nation.where("n_regionkey <> 4").selectExpr("concat('N', n_nationkey) AS cc", "concat('Service ', n_name) AS name", "concat('https://', n_name) AS url"),
         "now": NOW, "country_seasons": t.nation.selectExpr("concat('N', n_nationkey) AS cc", "(n_nationkey + 1) % 25 AS region_id", "concat('rains of ', n_name) AS local_season"),
         "country_hazards": country_hazards(t),
+        "source_names": t.region.selectExpr("concat('src', r_regionkey) AS id", "r_name AS label", "concat('https://example.org/', r_name) AS url"),
         "forecast": t.forecast.selectExpr("place AS place_id", "concat(ym div 100, '-', lpad(ym % 100, 2, '0')) AS ym", "anomaly", "mean"),
         "skill": skill(t), "rules": op.rule_table(t.spark), "recent_rain": recent_rain(t), "drought": drought(t),
         "crops": crop_ops.country_crops(crop_ops.usable_windows(windows)),
@@ -342,13 +343,15 @@ def r17(t):
 @query(
     "r18_sources",
     f"""{JOINED} SELECT id AS place_id, concat_ws(',', hsrc, 'oni', 'cpc', CASE WHEN rain IS NOT NULL THEN 'src' || (region_id % 5) END, CASE WHEN has_f THEN 'forecast' END, CASE WHEN rr IS NOT NULL THEN 'conditions' END, CASE WHEN usdm IS NOT NULL THEN 'conditions' END) AS sources,
-    concat_ws(',', CASE WHEN has_f THEN 'forecast' END, 'status', CASE WHEN hsrc IS NOT NULL THEN 'history' END, 'events', CASE WHEN rr IS NOT NULL THEN 'conditions' END, CASE WHEN usdm IS NOT NULL THEN 'conditions' END) AS chips FROM b""",
+    concat_ws(',', CASE WHEN has_f THEN 'forecast' END, 'status', CASE WHEN hsrc IS NOT NULL THEN 'history' END, 'events', CASE WHEN rr IS NOT NULL THEN 'conditions' END, CASE WHEN usdm IS NOT NULL THEN 'conditions' END) AS chips,
+    CASE WHEN rain IS NOT NULL THEN (SELECT r_name || ' https://example.org/' || r_name FROM region WHERE r_regionkey = region_id % 5) ELSE '' END AS own FROM b""",
 )
 def r18(t):
     rows = facts(t, crops=None, cyclones=None)
     ids = F.array_join(F.transform("sources", lambda x: x["id"]), ",")
     chips = F.array_join(F.transform("provenance", lambda x: x["layer"]), ",")
-    return rows.select("place_id", ids.alias("sources"), chips.alias("chips"))
+    own = F.filter("sources", lambda x: x["id"].startswith("src"))
+    return rows.select("place_id", ids.alias("sources"), chips.alias("chips"), F.array_join(F.transform(own, lambda x: F.concat_ws(" ", x["label"], x["url"])), ",").alias("own"))
 
 
 @query("r19_other_regions", f"SELECT id AS place_id, string_agg(name, ',' ORDER BY rn) AS other_regions FROM ({RANKED_SQL}) WHERE rn IN (2, 3) GROUP BY 1")
