@@ -281,10 +281,10 @@ def nearest_regrid(source: DataFrame, target: DataFrame, lat0: float, dlat: floa
     return dim_join(source, cells, ["si", "sj"]).drop("si", "sj")
 
 
-def recent_share(cube: DataFrame, clim: DataFrame, n_months: int = 3, min_normal: float = 15.0, skip_missing: bool = False) -> DataFrame:
-    """Total of the last months as a whole percentage of their normal, clipped to 0..500.
+def recent_share(cube: DataFrame, clim: DataFrame, n_months: int = 3, min_normal: float = 15.0) -> DataFrame:
+    """``source, cell, pct_of_normal, pct_complete``: total of the last months as a whole percentage of their normal, clipped to 0..500.
 
-    By default a cell needs a value in every month; ``skip_missing`` counts a missing month as zero.
+    ``pct_of_normal`` counts a missing month as zero; ``pct_complete`` is null unless every month has a value and a normal.
     """
     index = cal.month_index(F.col("year"), F.col("month"))
     order = Window.partitionBy("source").orderBy(F.col("idx").desc())
@@ -299,11 +299,9 @@ def recent_share(cube: DataFrame, clim: DataFrame, n_months: int = 3, min_normal
         .groupBy("source", "cell").agg(F.sum("clim").alias("normal"), F.count("clim").alias("n_normal"))
     )
     rows = recent.join(normals, ["source", "cell"])
-    ready = F.col("normal") > min_normal
-    if not skip_missing:
-        ready = ready & (F.col("n") == n_months) & (F.col("n_normal") == n_months)
-    pct = F.bround(100.0 * F.col("total") / F.col("normal"), 0)
-    return rows.where(ready).select("source", "cell", clip(pct, 0.0, 500.0).alias("pct_of_normal"))
+    complete = (F.col("n") == n_months) & (F.col("n_normal") == n_months)
+    pct = clip(F.bround(100.0 * F.col("total") / F.col("normal"), 0), 0.0, 500.0)
+    return rows.where(F.col("normal") > min_normal).select("source", "cell", pct.alias("pct_of_normal"), F.when(complete, pct).alias("pct_complete"))
 
 
 def half_up(x: Column) -> Column:

@@ -116,9 +116,9 @@ def non_finite(df: DataFrame) -> DataFrame:
 
 def grid_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Grid points that only one of two sources has; empty when the grids are equal."""
-    only_a = a.distinct().exceptAll(b.distinct()).withColumn("only_in", F.lit("first"))
-    only_b = b.distinct().exceptAll(a.distinct()).withColumn("only_in", F.lit("second"))
-    return only_a.unionByName(only_b)
+    both = a.withColumn("only_in", F.lit("first")).unionByName(b.withColumn("only_in", F.lit("second")))
+    sides = both.groupBy(*a.columns).agg(F.min("only_in").alias("only_in"), F.max("only_in").alias("_other"))
+    return sides.where(F.col("only_in") == F.col("_other")).drop("_other")
 
 
 def latest_period_gate(cube: DataFrame, today: str, max_days: int = 120) -> DataFrame:
@@ -148,6 +148,19 @@ def stale_after(issued, now: str, days: int = 45):
     return day + F.make_dt_interval(F.lit(days))
 
 
+class TooFewRows(ValueError):
+    """A run that would publish less than its minimum."""
+
+
+def require_rows(good: DataFrame, minimum: int, unit: str | None = None) -> DataFrame:
+    """``good`` itself, or a failed run when it has fewer rows (or distinct ``unit`` values) than the minimum."""
+    counted = good if unit is None else good.select(unit).distinct()
+    n = counted.limit(minimum).count()
+    if n < minimum:
+        raise TooFewRows(f"{n} of at least {minimum} {unit or 'rows'} are left")
+    return good
+
+
 def quarantine(rows: DataFrame, unit: str, problem) -> tuple[DataFrame, DataFrame]:
     """Split into good rows and one counted row per bad unit, with the first problem found."""
     marked = rows.withColumn("_p", problem)

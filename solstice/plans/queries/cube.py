@@ -217,10 +217,7 @@ def recent_sql(strict: bool) -> str:
 )
 def d13(t):
     cube = placed(t)
-    normals = op.climatology(cube, *BASE)
-    loose = op.recent_share(cube, normals, skip_missing=True)
-    strict = op.recent_share(cube, normals).withColumnRenamed("pct_of_normal", "pct_complete")
-    return loose.join(strict, ["source", "cell"], "left")
+    return op.recent_share(cube, op.climatology(cube, *BASE))
 
 
 FORECAST_ROWS = "SELECT place, ym // 100 AS season_year, ym, anomaly, mean FROM v_forecast WHERE ym % 100 IN (10, 11, 12)"

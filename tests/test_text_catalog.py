@@ -100,3 +100,20 @@ def test_documents_of_any_depth_come_back(spark):
     flat = ct.flatten(docs, ["id"], join_lists=True)
     assert {tuple(r) for r in flat.collect()} == want
     assert {tuple(r) for r in ct.flatten(ct.unflatten(flat, ["id"]), ["id"]).collect()} == want
+
+
+def test_runs_with_too_little_left_fail(spark):
+    good, bad = gates.quarantine(spark.range(10).withColumn("u", F.col("id") % 3), "u", F.when(F.col("id") == 4, "odd"))
+    assert gates.require_rows(good, 2, "u").count() == 7 and bad.count() == 1
+    for args in ((8,), (3, "u")):
+        try:
+            gates.require_rows(good, *args)
+        except gates.TooFewRows:
+            continue
+        raise AssertionError(args)
+
+
+def test_grid_difference_of_repeated_points(spark):
+    a = spark.createDataFrame([(1, 1), (1, 1), (2, 2)], "i INT, j INT")
+    b = spark.createDataFrame([(1, 1), (3, 3), (3, 3)], "i INT, j INT")
+    assert {tuple(r) for r in gates.grid_difference(a, b).collect()} == {(2, 2, "first"), (3, 3, "second")}
