@@ -25,16 +25,16 @@ def translations(t):
 
 TARGET_SQL = "SELECT *, 'T ' || k AS value FROM v_target"
 
-# nested documents: a page per brand with its types, prices as a list and a private key
-NESTED = "to_json(named_struct('_lang', p_brand, 'names', map_from_entries(collect_list(struct(concat('p', p_partkey) AS k, p_name AS v))), 'meta', named_struct('_hash', 'x', 'size', named_struct('max', CAST(max(p_size) AS STRING), 'min', CAST(min(p_size) AS STRING))), 'list', array('a', 'b', p_brand)))"
+# nested documents: one per part, with lists and private keys
+NESTED = "to_json(named_struct('_lang', p_brand, 'names', map(concat('p', p_partkey), p_name), 'meta', named_struct('_hash', 'x', 'size', named_struct('now', CAST(p_size AS STRING), 'type', p_type)), 'list', array('a', 'b', p_brand)))"
 
 
 def nested(t):
-    return t.part.groupBy(F.col("p_brand").alias("lang")).agg(F.expr(NESTED.replace("p_brand", "first(p_brand)")).alias("doc"))
+    return t.part.select(F.col("p_partkey").cast("string").alias("lang"), F.expr(NESTED).alias("doc"))
 
 
-FLAT_SQL = """SELECT p_brand AS lang, 'names.p' || p_partkey AS k, p_name AS value FROM part UNION ALL SELECT p_brand, 'meta.size.max', CAST(max(p_size) AS VARCHAR) FROM part GROUP BY 1
-  UNION ALL SELECT p_brand, 'meta.size.min', CAST(min(p_size) AS VARCHAR) FROM part GROUP BY 1 UNION ALL SELECT DISTINCT p_brand, 'list', 'a | b | ' || p_brand FROM part"""
+FLAT_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS lang, 'names.p' || p_partkey AS k, p_name AS value FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'meta.size.now', CAST(p_size AS VARCHAR) FROM part
+  UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'meta.size.type', p_type FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'list', 'a | b | ' || p_brand FROM part"""
 
 
 @query("v1_flatten_documents", FLAT_SQL)

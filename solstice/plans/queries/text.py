@@ -76,11 +76,11 @@ def j5(t):
 
 @query(
     "j6_list_text",
-    "SELECT p_brand AS brand, CASE WHEN n = 1 THEN l[1] ELSE array_to_string(l[1:n-1], ', ') || ' and ' || l[n] END AS names FROM (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS l, len(list(DISTINCT p_name)) AS n FROM part GROUP BY 1)",
+    "SELECT id, CASE WHEN n = 1 THEN l[1] ELSE array_to_string(l[1:n-1], ', ') || ' and ' || l[n] END AS names FROM (SELECT l_orderkey AS id, list_sort(list(DISTINCT 'S' || l_suppkey)) AS l, len(list(DISTINCT l_suppkey)) AS n FROM lineitem GROUP BY 1)",
 )
 def j6(t):
-    names = t.part.groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_set("p_name")).alias("l"))
-    return names.select("brand", tx.list_text(F.col("l")).alias("names"))
+    names = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))).alias("l"))
+    return names.select("id", tx.list_text(F.col("l")).alias("names"))
 
 
 def rendered(t):
