@@ -82,7 +82,9 @@ def size_report(docs: DataFrame, doc: str = "doc") -> DataFrame:
 
 # --- publication -------------------------------------------------------------------------------
 class GateFailed(RuntimeError):
-    """A quality gate refused the new build; the last good one stays current."""
+    """A quality gate refused the new build; the last good one stays current. ``path`` holds the refused run."""
+
+    path: str = ""
 
 
 @dataclass
@@ -104,15 +106,56 @@ def publish(df: DataFrame, root: str, gates=None, run_id: str | None = None, app
     df.write.mode("errorifexists").parquet(path)
     if gates is not None:
         # gate rows are one per check
-        failed = [r["gate"] for r in gates(spark.read.parquet(path)).where(~F.coalesce("ok", F.lit(False))).select("gate").collect()]
+        failed = _failed(gates, spark.read.parquet(path))
         if failed:
-            raise GateFailed(", ".join(failed))
+            refusal = GateFailed(", ".join(failed))
+            refusal.path = path
+            raise refusal
     earlier = pointer(spark, root)
     paths = [*(earlier.paths if append and earlier else []), path]
     _replace_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"run_id": run_id, "paths": paths}))
     return Published(run_id, paths)
 
 
+def _failed(gates, made: DataFrame) -> list[str]:
+    """Gate rows are one per check."""
+    return [r["gate"] for r in gates(made).where(~F.coalesce("ok", F.lit(False))).select("gate").collect()]
+
+
+def compact(spark: SparkSession, root: str) -> Published | None:
+    """Write what is current as one run and point at it alone; the rows stay, the list of paths becomes one."""
+    now = pointer(spark, root)
+    if now is None or len(now.paths) == 1:
+        return now
+    path = f"{root.rstrip('/')}/runs/{now.run_id}-{uuid.uuid4().hex[:6]}"
+    spark.read.parquet(*now.paths).write.mode("errorifexists").parquet(path)
+    _replace_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"run_id": now.run_id, "paths": [path]}))
+    return Published(now.run_id, [path])
+
+
+def refused(spark: SparkSession, root: str) -> list[str]:
+    """Runs that wait for another try."""
+    path = f"{root.rstrip('/')}/refused.json"
+    return list(spark.read.schema("paths ARRAY<STRING>").json(path).first()["paths"]) if path_exists(spark, path) else []
+
+
+def keep_refused(spark: SparkSession, root: str, paths: list[str]) -> None:
+    _replace_text(spark, f"{root.rstrip('/')}/refused.json", json.dumps({"paths": paths}))
+
+
+def retry_refused(spark: SparkSession, root: str, gates) -> list[str]:
+    """Try the refused runs again; those that pass now become current. Returns the paths still refused."""
+    waiting = refused(spark, root)
+    passed = [p for p in waiting if not _failed(gates, spark.read.parquet(p))]
+    if passed:
+        now = pointer(spark, root)
+        run_id, paths = (now.run_id, now.paths) if now else ("0", [])
+        # a run that is listed already was taken over by a try that stopped before it could say so
+        _replace_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"run_id": run_id, "paths": [*paths, *(p for p in passed if p not in paths)]}))
+        keep_refused(spark, root, [p for p in waiting if p not in passed])
+    return [p for p in waiting if p not in passed]
+
+
 def pointer(spark: SparkSession, root: str) -> Published | None:
     """What is current, or None before the first publication."""
     path = f"{root.rstrip('/')}/current.json"

@@ -31,8 +31,13 @@ def refresh(
     """Process the files that arrived since the last run; returns the refused batches with the reason.
 
     Each batch is published on its own behind the gates; a refused batch is left out and the last
-    good state stays current. A batch that was already published before a restart is skipped.
+    good state stays current. Refused runs are kept and tried again at the next refresh, since the gates
+    or what they compare with may have changed; corrected files arrive as new files. A batch that was
+    already published before a restart is skipped.
     """
+    spark = stream.sparkSession
+    if gates is not None:
+        sinks.retry_refused(spark, root, gates)
     refused: list[tuple[int, str]] = []
 
     def publish_batch(batch: DataFrame, epoch: int) -> None:
@@ -44,6 +49,7 @@ def refresh(
             sinks.publish(made, root, gates, run_id=f"{epoch:09d}", append=True)
         except sinks.GateFailed as failure:
             refused.append((epoch, str(failure)))
+            sinks.keep_refused(spark, root, [*sinks.refused(spark, root), failure.path])
 
     query = stream.writeStream.foreachBatch(publish_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -88,6 +88,14 @@ def test_incremental_refresh(spark, scratch):
     arrive(3)
     assert run() == [] and sinks.current(spark, root).count() == 3
     assert run() == [] and sinks.current(spark, root).count() == 3
+    # a corrected copy arrives, and later the limit that refused the first one is lifted
+    arrive(50)
+    assert run() == [] and sinks.current(spark, root).count() == 4 and len(sinks.refused(spark, root)) == 1
+    check = lambda df: gates.range_gates(df, {"v": (0, 1000)})
+    assert run() == [] and sinks.current(spark, root).count() == 5 and sinks.refused(spark, root) == []
+    assert len(sinks.compact(spark, root).paths) == 1 and sinks.current(spark, root).count() == 5
+    arrive(4)
+    assert run() == [] and sinks.current(spark, root).count() == 6
 
 
 def test_streamed_storms_equal_the_batch(spark, scratch):
