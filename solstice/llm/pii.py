@@ -93,11 +93,13 @@ _RUN = re.compile(rf"(?i)\b{_NUMBER}(?:{_GAP}{_NUMBER})*+\b")
 _LONG_RUN = re.compile(rf"{_NUMBER}(?:{_GAP}{_NUMBER}){{3}}")
 _PLUS = re.compile(r"(?i)\bplus\s{1,3}(?=[0-9])")
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_DOT = re.compile(rf"(?i)(?<=[a-z0-9-])(?:{_OPEN}(?:dot|punto|punkt|point|\.){_CLOSE}|\s{{1,3}}(?:dot|punto)\s{{1,3}})(?=[a-z0-9])")
-_AT = re.compile(rf"(?i)(?<=[a-z0-9._%+-])(?:{_OPEN}(?:at|arroba|@){_CLOSE}(?=[a-z0-9])|\s{{1,3}}(?:at|arroba)\s{{1,3}}(?=\x00))")
+_DOT = re.compile(rf"(?i)(?<=[a-z0-9-])(?:{_OPEN}(?:dot|punto|punkt|point|\.){_CLOSE}|\s{{1,3}}(?:dot|punto)\s{{1,3}}|&#46;|&period;|%2e)(?=[a-z0-9])")
+_AT = re.compile(rf"(?i)(?<=[a-z0-9._%+-])(?:{_OPEN}(?:at|arroba|@){_CLOSE}|&#64;|&commat;|%40)(?=[a-z0-9])")
+_BARE_HOST = re.compile(r"[0-9][a-z0-9._%+-]{0,63} (?:at|arroba) ")
 _BARE_AT = re.compile(r"(?i)\s(?:at|arroba)\s")
-_HINTS = ("dot", "punto", "punkt", "point", ".]", ".)", ".}", ".>", "at]", "at)", "at}", "at>", "arroba", "@]", "@)", "@}", ". ]", ". )", "at ]", "at )")
-_HOSTLIKE = re.compile(r"(?i)[a-z0-9-]+(?:\.[a-z0-9-]+)+")
+_HINTS = ("dot", "punto", "punkt", "point", ".]", ".)", ".}", ".>", "at]", "at)", "at}", "at>", "arroba", "@]", "@)", "@}", ". ]", ". )", "at ]", "at )", "&#64;", "&#46;", "&commat;", "&period;", "%40", "%2e")
+#: A word with letters and digits, then a bare "at" and a host: hardly prose.
+_NUMBERED_AT = re.compile(r"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-]{0,63}[A-Za-z])(?=[A-Za-z0-9._%+-]{0,63}[0-9])[A-Za-z0-9._%+-]{2,64}( (?:at|AT|arroba) )(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}\b)")
 
 
 class Mapped:
@@ -141,7 +143,8 @@ def normalised(text: str) -> Mapped | None:
     lower = text.lower() if len(text.lower()) == len(text) else text
     odd = not text.isascii() and _DISGUISED.search(text)
     hinted, spelled = any(h in lower for h in _HINTS) and (_DOT.search(text) or _AT.search(text)), _LONG_RUN.search(lower)
-    if not (odd or hinted or spelled):
+    numbered = _BARE_HOST.search(lower) and _NUMBERED_AT.search(text)
+    if not (odd or hinted or spelled or numbered):
         return None
     m = Mapped(text)
     if odd:
@@ -154,9 +157,11 @@ def normalised(text: str) -> Mapped | None:
             runs.append((x.start(), x.end(), "".join(_WORDS[w] for w in words)))
     m.rewrite(runs)
     m.rewrite([(x.start(), x.end(), "+") for x in _PLUS.finditer(m.text)])
-    # A bare "at" counts only where a disguised dot follows in the next word: "look at example.com" is plain prose.
+    # A bare "at" counts where a disguised dot follows in the next word, or a number stands in the word before it:
+    # "look at example.com" is plain prose.
     dots = [(x.start(), x.end(), ".") for x in _DOT.finditer(m.text)]
     ats = [(x.start(), x.end(), "@") for x in _AT.finditer(m.text)]
+    ats += [(*x.span(1), "@") for x in _NUMBERED_AT.finditer(m.text)]
     words_before_dot = {}
     for a, _, _ in dots:
         s = a
