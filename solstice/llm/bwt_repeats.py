@@ -6,7 +6,8 @@ Every byte of a 200-byte string that starts in two or more places is found and c
   200-byte string holds an anchor that depends on its bytes alone. Two places with the same 200 bytes share the anchor's
   hash and its offset. Anchors whose hash occurs once in the corpus, and all text around them, leave here.
 * Windows. A 200-byte string that holds an anchor lies within 184 bytes before it and 200 bytes from it. Equal windows
-  around equal anchors are repeats as they stand; only distinct windows go on, one copy each.
+  around equal anchors are repeats as they stand, told by their digests; only where an anchor has windows of several
+  kinds, and one that stands alone, do the bytes of its windows go on, one copy each.
 * Bins of anchors go to tasks. There a window is a string over 8-byte words counted from its anchor. A bin's windows come
   in shards; each shard gets its own BWT. The shards are merged by interleave refinement: all positions start in blocks by
   anchor and offset, and every pass follows the LF mapping of the shards one word back and splits the blocks by that
@@ -15,8 +16,8 @@ Every byte of a 200-byte string that starts in two or more places is found and c
 * A repeated 200-byte string covers 24 whole words whatever its start, and up to 8 bytes around them, which are compared
   exactly. What is left are the intervals to cut.
 
-A text of fewer than 200 bytes has no repeats, null counts as empty. Rows are told apart by id and text; equal rows are
-copies of each other and lose everything if they have 200 bytes. A null id stays null.
+Equal texts are treated once: in copies, texts of 200 bytes and more lose everything. Shorter texts have no repeats, null
+counts as empty. Every row gets its result, repeated rows too; a null id stays null.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solstice.llm.common import id_and_text, texts_of
+from solstice.llm.common import id_and_text, staged, texts_of
 
 LENGTH, GRAM, WORD = 200, 16, 8
 BEFORE = LENGTH - GRAM
@@ -89,29 +90,30 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [anchors(t.encode()) for t in texts_of(batch)]
         rows = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found]))
         join = lambda k: np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(join(1)), batch.column("doc_id").take(rows), batch.column("hash").take(rows), pa.array(join(0))], ["anchor", "doc_id", "hash", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(join(1)), batch.column("h1").take(rows), batch.column("h2").take(rows), pa.array(join(0))], ["anchor", "h1", "h2", "at"])
 
 
-_WINDOWS = pa.schema([("anchor", pa.int64()), ("digest", pa.binary()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("window", pa.binary())])
+_DIGESTS = pa.schema([("anchor", pa.int64()), ("digest", pa.binary()), ("h1", pa.int64()), ("h2", pa.int32()), ("low", pa.int64()), ("size", pa.int64())])
+_BYTES = pa.schema([("anchor", pa.int64()), ("digest", pa.binary()), ("window", pa.binary()), ("offset", pa.int64())])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per repeated anchor; the bytes of a window ride on the first row of each batch that has them."""
+def _windows(with_bytes: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per anchor of a text its window: the digest and place, or the digest and bytes."""
+    schema = _BYTES if with_bytes else _DIGESTS
     for whole in batches:
-        for a in range(0, whole.num_rows, 200):
-            batch, out, sent = whole.slice(a, 200), [], set()
-            for doc_id, h, at, anchor, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "hash", "at", "anchor", "text")), strict=True):
-                data = (text or "").encode()
-                for p, f in zip(at, anchor, strict=True):
-                    low, high = max(0, p - BEFORE), min(len(data), p + LENGTH)
+        for first in range(0, whole.num_rows, 200):
+            batch, out = whole.slice(first, 200), []
+            for h1, h2, found, text in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "found", "text")), strict=True):
+                data = text.encode()
+                for x in found:
+                    at = x["at"]
+                    low, high = max(0, at - BEFORE), min(len(data), at + LENGTH)
                     window = data[low:high]
-                    # Where the text ends early, windows of different reach must differ.
-                    digest = hashlib.blake2b(window, digest_size=14).digest() + (p - low).to_bytes(2, "little")
-                    new = (f, digest) not in sent
-                    sent.add((f, digest))
-                    out.append((f, digest, doc_id, h, p, low, high, window if new else None))
-            columns = zip(*out, strict=True) if out else [[] for _ in _WINDOWS]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _WINDOWS, strict=True)], schema=_WINDOWS)
+                    # Windows that a text cuts short on the left differ from others by where the anchor stands.
+                    digest = hashlib.blake2b(window, digest_size=14).digest() + (at - low).to_bytes(2, "little")
+                    out.append((x["anchor"], digest, window, at - low) if with_bytes else (x["anchor"], digest, h1, h2, low, high - low))
+            columns = zip(*out, strict=True) if out else [[] for _ in schema]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 class Shard:
@@ -253,14 +255,16 @@ def _merge_bin(shard: int, budget: int, batches: Iterator[pa.RecordBatch]) -> It
         yield solve()
 
 
-_CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_CUT = "h1 long, h2 int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _cut(keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(texts_of(batch), batch.column("spans").to_pylist(), strict=True):
+        for text, spans, copies in zip(texts_of(batch), batch.column("spans").to_pylist(), batch.column("copies").to_pylist(), strict=True):
             data = text.encode()
+            if copies > 1 and len(data) >= LENGTH:
+                spans = [{"start": 0, "end": len(data)}]
             s = np.array([x["start"] for x in spans or []], np.int64)
             _, start, end = merged(np.zeros(len(s), np.int64), s, np.array([x["end"] for x in spans or []], np.int64))
             bounds = [0, *np.stack([start, end], axis=1).reshape(-1).tolist(), len(data)]
@@ -268,31 +272,44 @@ def _cut(keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             out.append((len(data), len(data) - len(kept), len(start), hashlib.sha256(kept).hexdigest(), kept if keep else None))
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def repeated_spans(rows: DataFrame, shard: int = 4096, budget: int = 16_000_000) -> DataFrame:
-    """(doc_id, hash, start, end): byte intervals, maybe overlapping, that cover every repeated string of (doc_id, hash, text)."""
-    counted = rows.select("text").mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    placed = rows.mapInArrow(_anchor_rows, "anchor long, doc_id long, hash long, at long").join(counted, "anchor", "left_semi")
-    per_row = placed.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(F.collect_set(F.struct("at", "anchor")).alias("found"))
-    texts = rows.join(per_row, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
-    windows = texts.select("doc_id", "hash", F.col("found.at").alias("at"), F.col("found.anchor").alias("anchor"), "text").mapInArrow(_windows, "anchor long, digest binary, doc_id long, hash long, at long, low long, high long, window binary")
-    distinct = windows.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.max("window").alias("window"), F.max(F.col("at") - F.col("low")).alias("offset"))
-    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("anchor")
-    # Anchors with one kind of window, or only with windows that occur twice as they stand, need no merging.
-    bins = distinct.join(kinds, "anchor", "left_semi").select("anchor", "digest", "window", "offset").repartition("anchor").sortWithinPartitions("anchor")
-    partial_spans = bins.mapInArrow(partial(_merge_bin, shard, budget), "anchor long, digest binary, start long, end long")
-    whole = distinct.filter((F.col("n") > 1) & (F.octet_length("window") >= LENGTH)).select("anchor", "digest", F.lit(0).cast("long").alias("start"), F.octet_length("window").cast("long").alias("end"))
-    spans = whole.unionAll(partial_spans)
-    places = windows.select("anchor", "digest", "doc_id", "hash", "low")
-    return places.join(spans, ["anchor", "digest"]).select("doc_id", "hash", (F.col("low") + F.col("start")).alias("start"), (F.col("low") + F.col("end")).alias("end"))
+        yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["h1", "h2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+_KEY = ["h1", "h2"]
+
+
+def _grouped(places: DataFrame, *fields: str, name: str) -> DataFrame:
+    return places.groupBy(*_KEY).agg(F.collect_list(F.struct(*fields)).alias(name))
+
+
+def repeated_spans(texts: DataFrame, shard: int = 4096, budget: int = 16_000_000) -> DataFrame:
+    """(h1, h2, spans): byte intervals, maybe overlapping, that cover every string repeated in or between the distinct (h1, h2, text)."""
+    counted = texts.select("text").mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+    placed = texts.select(*_KEY, "text").mapInArrow(_anchor_rows, "anchor long, h1 long, h2 int, at long").join(counted.hint("merge"), "anchor", "left_semi")
+    found = texts.select(*_KEY, "text").join(_grouped(placed, "at", "anchor", name="found").hint("merge"), _KEY)
+    places = staged(found.mapInArrow(partial(_windows, False), "anchor long, digest binary, h1 long, h2 int, low long, size long"), "repeat-windows")
+    first = F.min(F.struct("h1", "h2", "low", "size"))
+    distinct = places.groupBy("anchor", "digest").agg(F.count("*").alias("n"), first.alias("first"))
+    # An anchor with one kind of window, or only with windows that occur twice as they stand, needs no merging.
+    mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("anchor")
+    offset = F.conv(F.hex(F.concat(F.substring("digest", 16, 1), F.substring("digest", 15, 1))), 16, 10).cast("long")
+    wanted = distinct.join(mixed.hint("merge"), "anchor", "left_semi").select("anchor", "first.h1", "first.h2", (F.col("first.low") + offset).alias("at"))
+    bytes_of = texts.select(*_KEY, "text").join(_grouped(wanted, "at", "anchor", name="found").hint("merge"), _KEY)
+    bins = bytes_of.mapInArrow(partial(_windows, True), "anchor long, digest binary, window binary, offset long").repartition("anchor").sortWithinPartitions("anchor")
+    parts = bins.mapInArrow(partial(_merge_bin, shard, budget), "anchor long, digest binary, start long, end long")
+    whole = distinct.filter("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    spans = places.join(whole.unionAll(parts).hint("merge"), ["anchor", "digest"]).filter(F.coalesce("end", "size") - F.col("start") >= LENGTH)
+    cuts = spans.select(*_KEY, (F.col("low") + F.col("start")).alias("start"), (F.col("low") + F.coalesce("end", "size")).alias("end"))
+    return _grouped(cuts, "start", "end", name="spans")
 
 
 def cut_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for, of every row of (doc_id, text)."""
-    rows = id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    spans = repeated_spans(rows).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(partial(_cut, keep_text), _CUT)
+    text = F.coalesce("text", F.lit(""))
+    rows = id_and_text(docs).select("doc_id", text.alias("text"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
+    # Equal texts are treated once; two hashes of 96 bits together name a text.
+    texts = rows.groupBy(*_KEY).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
+    spans = repeated_spans(texts)
+    done = texts.join(spans.hint("merge"), _KEY, "left").select(*_KEY, "text", "copies", "spans").mapInArrow(partial(_cut, keep_text), _CUT)
+    out = rows.select("doc_id", *_KEY).join(done.hint("merge"), _KEY).drop(*_KEY)
     return out if keep_text else out.drop("kept")
