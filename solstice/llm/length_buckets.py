@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from solstice.llm.common import id_and_text
+from solstice.llm.common import id_and_text, staged
 
 
 def word_length(text: Column) -> Column:
@@ -74,7 +74,8 @@ def pack(docs: DataFrame, length: Column | None = None, max_len: int = 2048, mul
     if max_len % multiple or max_len // multiple > 4096:
         raise ValueError("max_len must be a multiple of `multiple`, and at most 4096 times as large")
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length")) if length is not None else id_and_text(docs).select("doc_id", F.coalesce(word_length(F.col("text")), F.lit(0)).alias("length"))
-    rows = sequences(sized, max_len, multiple)
+    # Lengths are read four times below, texts once.
+    rows = sequences(staged(sized, "lengths"), max_len, multiple)
     histogram = sorted((r["padded"], r["n"]) for r in rows.groupBy("padded").agg(F.count("*").alias("n")).collect() if r["padded"] > 0)
     ends = best_buckets([x for x, _ in histogram], [n for _, n in histogram], buckets)
     total = sum(n for _, n in histogram)
