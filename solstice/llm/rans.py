@@ -41,7 +41,7 @@ _MAGIC = b"RANSEG01"
 _HEAD, _SIZES = "<8sBHIIQI", "<III"
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
-SCALE, LANES, BLOCK = 20, 32, 1 << 16
+SCALE, LANES, BLOCK = 20, 128, 1 << 16
 
 
 def scaled(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -73,7 +73,14 @@ def _by_block(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    present, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < 1 << 24:
+        seen = np.bincount(ids)
+        present = np.nonzero(seen)[0]
+        counts, place = seen[present], np.zeros(len(seen), np.int32)
+        place[present] = np.arange(len(present))
+        symbols = place[ids]
+    else:
+        present, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
     freq = scaled(counts) if len(present) else counts
     first = np.cumsum(freq) - freq
     f64, c64 = freq.astype(np.uint64), first.astype(np.uint64)
@@ -166,7 +173,7 @@ _STORED = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("n_ids", pa.int6
 
 
 def _write(tokenizer: str, end_id: int, segment: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, part, at = PieceEncoder(tokenizer, counts=False, keep=500_000), TaskContext.get().partitionId(), 0
+    encoder, part, at = PieceEncoder.of_worker(tokenizer, counts=False), TaskContext.get().partitionId(), 0
     doc_ids, coded, size = [], [], 0
     end = struct.pack("<I", end_id)
 

@@ -28,7 +28,7 @@ _ZONE = "array<struct<p:long,t:long>>"
 
 
 def _count_short(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = PieceEncoder(path, counts=True)
+    encoder = PieceEncoder.of_worker(path, counts=True)
     for batch in batches:
         for i in range(0, batch.num_rows, 1000):
             part = batch.slice(i, 1000)
@@ -46,7 +46,7 @@ def _cut(chunk: int, overlap: int, batches: Iterator[pa.RecordBatch]) -> Iterato
 
 def _encode_chunks(path: str, chunk: int, overlap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per chunk its number of ids and the starts inside the stretches it shares with its neighbours."""
-    encoder = PieceEncoder(path, counts=True)
+    encoder = PieceEncoder.of_worker(path, counts=True)
     for key, i, last, low, piece in rows_of(batches, "key", "i", "last", "low", "piece"):
         starts = [(low + p, t) for p, t in encoder.boundaries(piece)]
         total = sum(encoder.encode([piece])[0])

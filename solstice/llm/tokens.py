@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from array import array
 
 #: White space other than the plain space and the line feed.
@@ -39,28 +41,37 @@ def pieces_of(text: str) -> list[str]:
 class PieceEncoder:
     """Ids or counts of texts by the tokenizers library, remembering pieces up to a fixed number."""
 
-    def __init__(self, path: str, counts: bool, keep: int = 800_000):
+    def __init__(self, path: str, counts: bool, keep: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        #: Pieces as they stand, and pieces after a space, without it.
-        self.keep, self.bare, self.spaced = keep, {}, {}
+        #: Pieces as they stand, and pieces after a space, without it; and those of the generation before.
+        self.keep, self.bare, self.spaced = keep, ({}, {}), ({}, {})
         self.value = len if counts else (lambda e: array("I", e.ids).tobytes())
 
-    def _learn(self, known: dict, misses: set, before: str) -> dict:
-        order = list(misses)
-        new = dict(zip(order, map(self.value, self.library.encode_batch_fast([before + p for p in order], add_special_tokens=False)), strict=True))
+    @classmethod
+    def of_worker(cls, path: str, counts: bool) -> PieceEncoder:
+        """The encoder of this Python worker; what it remembers outlives a task."""
+        state = sys.modules.setdefault("solstice_worker_state", types.ModuleType("solstice_worker_state"))
+        kept = vars(state).setdefault("encoders", {})
+        if (path, counts) not in kept:
+            kept[path, counts] = cls(path, counts)
+        return kept[path, counts]
+
+    def _learn(self, known: dict, older: dict, misses: set, before: str) -> dict:
+        new = {p: older[p] for p in misses if p in older}
+        order = [p for p in misses if p not in new]
+        new.update(zip(order, map(self.value, self.library.encode_batch_fast([before + p for p in order], add_special_tokens=False)), strict=True))
         known.update((k, v) for k, v in new.items() if len(k) <= _LONG)
         return new
 
     def encode(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces: counts, or ids as 32-bit integers in bytes."""
-        if len(self.bare) + len(self.spaced) > self.keep:
-            self.bare.clear()
-            self.spaced.clear()
+        if 2 * (len(self.bare[0]) + len(self.spaced[0])) > self.keep:
+            self.bare, self.spaced = ({}, self.bare[0]), ({}, self.spaced[0])
         heads, tails = [], []
         for text in texts:
             if _plain(text):
@@ -71,12 +82,12 @@ class PieceEncoder:
                 heads.append(pieces_of(text))
                 tails.append([])
         out = []
-        for known, before, cut in ((self.bare, "", heads), (self.spaced, " ", tails)):
+        for (known, older), before, cut in ((self.bare, "", heads), (self.spaced, " ", tails)):
             get = known.get
             found = [list(map(get, p)) for p in cut]
             missing = [i for i, v in enumerate(found) if None in v]
             if missing:
-                new = self._learn(known, {p for i in missing for p, v in zip(cut[i], found[i], strict=True) if v is None}, before)
+                new = self._learn(known, older, {p for i in missing for p, v in zip(cut[i], found[i], strict=True) if v is None}, before)
                 for i in missing:
                     found[i] = [new[p] if v is None else v for p, v in zip(cut[i], found[i], strict=True)]
             out.append(found)
