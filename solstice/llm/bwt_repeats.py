@@ -2,10 +2,10 @@
 
 Every byte of a 200-byte string that starts in two or more places is found and cut, exactly.
 
-* Anchors. Of any 185 consecutive 16-byte strings the one with the least hash is an anchor (winnowing), so every
+* Anchors. Of any 153 consecutive 48-byte strings the one with the least hash is an anchor (winnowing), so every
   200-byte string holds an anchor that depends on its bytes alone. Two places with the same 200 bytes share the anchor's
   hash and its offset. Anchors whose hash occurs once in the corpus, and all text around them, leave here.
-* Windows. A 200-byte string that holds an anchor lies within 184 bytes before it and 200 bytes from it. Equal windows
+* Windows. A 200-byte string that holds an anchor lies within 152 bytes before it and 200 bytes from it. Equal windows
   around equal anchors are repeats as they stand, told by their digests; only where an anchor has windows of several
   kinds, and one that stands alone, do the bytes of its windows go on, one copy each.
 * Bins of anchors go to tasks. There a window is a string over 8-byte words counted from its anchor. A bin's windows come
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from solstice.llm.common import id_and_text, staged, texts_of
 
-LENGTH, GRAM, WORD = 200, 16, 8
+LENGTH, GRAM, WORD = 200, 48, 8
 BEFORE = LENGTH - GRAM
 #: Consecutive grams of one string.
 SPAN = BEFORE + 1
@@ -51,13 +51,15 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         if len(part) < LENGTH:
             break
         words = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
-        h = words[:-8] * _A
-        h ^= h >> np.uint64(29)
-        h += words[8:] * _B
+        n = len(part) - GRAM + 1
+        h = words[:n] * _A
+        for j in range(WORD, GRAM, WORD):
+            h ^= h >> np.uint64(29)
+            h += words[j : j + n]
+            h *= _B
         h ^= h >> np.uint64(32)
         h *= _C
         h ^= h >> np.uint64(29)
-        n = len(h)
         # The position below the hash makes the rightmost of equal grams the least.
         key = (h & ~_POSITION) | (_POSITION - np.arange(n, dtype=np.uint64))
         rows = -(-n // SPAN)
@@ -294,7 +296,8 @@ def repeated_spans(texts: DataFrame, shard: int = 4096, budget: int = 16_000_000
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("anchor")
     offset = F.conv(F.hex(F.concat(F.substring("digest", 16, 1), F.substring("digest", 15, 1))), 16, 10).cast("long")
     wanted = distinct.join(mixed.hint("merge"), "anchor", "left_semi").select("anchor", "first.h1", "first.h2", (F.col("first.low") + offset).alias("at"))
-    bytes_of = texts.select(*_KEY, "text").join(_grouped(wanted, "at", "anchor", name="found").hint("merge"), _KEY)
+    # All columns of the texts, so that the shuffle of the last step is the same one and is reused.
+    bytes_of = texts.join(_grouped(wanted, "at", "anchor", name="found").hint("merge"), _KEY)
     bins = bytes_of.mapInArrow(partial(_windows, True), "anchor long, digest binary, window binary, offset long").repartition("anchor").sortWithinPartitions("anchor")
     parts = bins.mapInArrow(partial(_merge_bin, shard, budget), "anchor long, digest binary, start long, end long")
     whole = distinct.filter("n > 1").select("anchor", "digest", F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
