@@ -36,5 +36,21 @@ def test_repeated_rows_stay_once(spark, make_docs, tmp_path):
     assert sorted(x.doc_id for x in rows) == [3, 4]
 
 
+def test_verdicts_name_rows_not_ids(spark, make_docs, tmp_path):
+    r = random.Random(15)
+    a, b, c, item = prose(r, 60), prose(r, 60), prose(r, 60), prose(r, 30)
+    left = lambda f, docs: sorted(((x.doc_id, x.text) for x in f(spark, docs, str(tmp_path)).collect()), key=str)
+    # A copy without an id goes; a text of its own under a repeated id stays; near copies under one id stay once.
+    got = left(corpus_pipeline.near_duplicates, make_docs([a, a, a, b, c, c + " more"], ids=[1, None, 2, 2, 3, 3]))
+    assert len(got) == 3 and {(1, a), (2, b)} < set(got) and sum(i == 3 for i, _ in got) == 1
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = a + " " + item + " " + b
+    assert left(corpus_pipeline.decontamination, make_docs([held, held, c, b], ids=[None, 4, 4, None])) == sorted([(4, c), (None, b)], key=str)
+    spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = [prose(r, 80) for _ in range(50)]
+    rest = left(corpus_pipeline.quality, make_docs([*clean, "QX#" * 100, clean[0]], ids=[*range(50), None, None]))
+    assert "QX#" * 100 not in [t for _, t in rest] and (None, clean[0]) in rest
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
