@@ -4,13 +4,16 @@ Test items are cut into units of at most `unit` words and indexed with BM25 impa
 against itself, so one threshold serves all. Every stretch of `passage` words of every document is a query. Three steps
 find all units above the threshold:
 
-1. Terms in few units carry most of a unit's weight; a stretch can only reach the threshold if the terms of that kind
-   inside it reach the threshold less the weight of the common ones. This bound is computed for all stretches at once.
-2. Stretches that pass run through block-max WAND, which skips whole blocks of postings by their greatest impact.
+1. Every unit has a signature: its terms of few units, and as many more, rarest first, as it takes until the rest weighs
+   less than the threshold. A stretch can only reach the threshold if it holds a term of the signature and its signature
+   terms reach the threshold less the weight of the rest. This bound is computed for all stretches at once.
+2. Around what passes, block-max WAND, which skips whole blocks of postings by their greatest impact, finds the units that
+   can reach the threshold; their score is the best over all stretches there, before and after the signature term.
 3. A document and item are reported if enough of the word trigrams of the item's question, and of its answer, stand in
    the document. Where the table has no answers, the last quarter of the words (three at least) is the answer.
 
-Document frequencies and mean length are over all units. The index is searched in shards of `shard_units` units, each
+Items of equal text are one: they are indexed and counted once, and named by all their ids at the end. Document
+frequencies and mean length are over all units. The index is searched in shards of `shard_units` units, each
 held by every task; a larger benchmark takes more passes over the documents, not more memory.
 
 Words are compared in lower case without leading and trailing punctuation. Null or empty documents and items match
@@ -33,6 +36,8 @@ from solstice.llm.common import id_and_text, rows_of, staged, texts_of
 K1, B = 1.2, 0.75
 _BLOCK = 16
 _KEEP = 1_000_000
+#: Postings looked at at a time.
+_POSTINGS = 4_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -73,7 +78,7 @@ def postings(items: DataFrame, unit: int, shard_units: int) -> tuple[DataFrame,
 class Index:
     """Impact-ordered lists of one shard."""
 
-    def __init__(self, rows: pa.Table, rare_share: float):
+    def __init__(self, rows: pa.Table, rare_share: float, threshold: float = 0.6):
         units = sorted(set(zip(rows["item_id"].to_pylist(), rows["unit"].to_pylist(), strict=True)))
         number = {u: i for i, u in enumerate(units)}
         self.items = np.array([u[0] for u in units], np.int64)
@@ -82,25 +87,49 @@ class Index:
             lists.setdefault(term, (df, []))[1].append((number[item, unit], w))
         self.terms = {t: i for i, t in enumerate(sorted(lists))}
         self.docs, self.weights, self.tops, self.block_tops = [], [], [], []
-        self.common = np.zeros(len(units))
         limit = max(2, rare_share * len(units))
-        rare = []
         for term in self.terms:
-            df, entries = lists[term]
-            entries.sort()
+            entries = sorted(lists[term][1])
             d, w = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
             self.docs.append(d)
             self.weights.append(w)
             self.tops.append(w.max())
             self.block_tops.append([w[i : i + _BLOCK].max() for i in range(0, len(w), _BLOCK)])
-            if df > limit:
-                np.add.at(self.common, d, w)
-            rare.append(df <= limit)
-        # Postings of rare terms, flattened for the bound over all stretches.
-        sizes = [len(d) if r else 0 for d, r in zip(self.docs, rare, strict=True)]
-        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        pick = lambda xs: np.concatenate([x for x, r in zip(xs, rare, strict=True) if r] or [np.zeros(0)])
-        self.rare_docs, self.rare_weights = pick(self.docs).astype(np.int64), pick(self.weights)
+        # Postings by unit, rarest term first, with the weight of all that follow.
+        sizes = np.array([len(d) for d in self.docs], np.int64)
+        flat_term, join = np.repeat(np.arange(len(sizes)), sizes), lambda xs: np.concatenate([*xs, np.zeros(0)])
+        flat_unit, flat_weight = join(self.docs).astype(np.int64), join(self.weights)
+        self.by_unit = np.lexsort((flat_term, sizes[flat_term], flat_unit))
+        u, w = flat_unit[self.by_unit], flat_weight[self.by_unit]
+        self.unit_terms, self.unit_weights = flat_term[self.by_unit], w
+        self.unit_first = np.searchsorted(u, np.arange(len(units) + 1))
+        behind = np.concatenate([np.cumsum(w[::-1])[::-1], [0]])
+        left = behind[:-1] - behind[self.unit_first[u + 1]] if len(u) else behind[:-1]
+        # A term joins the signature while what starts with it could reach the threshold by itself.
+        chosen = (sizes[self.unit_terms] <= limit) | (left >= threshold - 1e-6)
+        self.common = np.bincount(u[~chosen], w[~chosen], minlength=len(units))
+        rare = np.zeros(len(u), bool)
+        rare[self.by_unit] = chosen
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(flat_term[rare], minlength=len(sizes)))]).astype(np.int64)
+        self.rare_docs, self.rare_weights = flat_unit[rare], flat_weight[rare]
+        del self.by_unit
+
+    def best(self, unit: int, words: np.ndarray, passage: int) -> float:
+        """The greatest weight of a unit's distinct terms in any stretch of the words."""
+        a, b = self.unit_first[unit], self.unit_first[unit + 1]
+        weights = dict(zip(self.unit_terms[a:b].tolist(), self.unit_weights[a:b].tolist(), strict=True))
+        held: dict = {}
+        total = best = 0.0
+        words = words.tolist()
+        for i, t in enumerate(words):
+            if t in weights:
+                held[t] = held.get(t, 0) + 1
+                total += weights[t] if held[t] == 1 else 0
+            if i >= passage and (old := words[i - passage]) in weights:
+                held[old] -= 1
+                total -= 0 if held[old] else weights[old]
+            best = max(best, total)
+        return best
 
     def above(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Block-max WAND: all units whose weights over the distinct terms reach the threshold."""
@@ -168,6 +197,68 @@ def _distinct(terms: np.ndarray, weights: np.ndarray) -> float:
 _FOUND = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
 
 
+def _segments(t: np.ndarray, size: np.ndarray, passage: int) -> list[np.ndarray]:
+    """A document in parts of bounded postings, overlapping so that every stretch lies in one."""
+    cost, out, a = np.cumsum(size[t]), [], 0
+    while True:
+        spent = cost[a - 1] if a else 0
+        b = max(int(np.searchsorted(cost, spent + _POSTINGS, "right")), a + 2 * passage)
+        out.append(t[a:b])
+        if b >= len(t):
+            return out
+        a = b - passage + 1
+
+
+def _portions(parts: list[tuple[int, np.ndarray]], size: np.ndarray) -> Iterator[list[tuple[int, np.ndarray]]]:
+    some, spent = [], 0
+    for row, t in parts:
+        cost = int(size[t].sum())
+        if some and spent + cost > _POSTINGS:
+            yield some
+            some, spent = [], 0
+        some.append((row, t))
+        spent += cost
+    if some:
+        yield some
+
+
+def _find(index: Index, parts: list[tuple[int, np.ndarray]], size: np.ndarray, begin: np.ndarray, passage: int, threshold: float, found: dict) -> None:
+    """Put the best score of every row and item that reaches the threshold into `found`."""
+    unknown = len(index.terms)
+    lengths = np.array([len(t) for _, t in parts])
+    starts = np.cumsum(lengths + passage) - lengths - passage
+    t = np.concatenate([t for _, t in parts])
+    pos = np.arange(len(t)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    stride = int(lengths.sum()) + passage * (len(parts) + 1)
+    hit = size[t] > 0
+    t, pos = t[hit], pos[hit]
+    n = size[t]
+    flat = np.repeat(begin[t] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
+    unit, weight = index.rare_docs[flat], index.rare_weights[flat]
+    key = unit * stride + np.repeat(pos, n)
+    order = np.argsort(key)
+    key, unit, weight, term = key[order], unit[order], weight[order], np.repeat(t, n)[order]
+    total, end = np.concatenate([[0], np.cumsum(weight)]), np.searchsorted(key, key + passage)
+    likely = (total[end] - total[:-1] + index.common[unit] >= threshold - 1e-6).nonzero()[0]
+    # The running sum counts a repeated term each time; what is left is summed over distinct terms.
+    at_hit = sorted({int(key[i] % stride) for i in likely if _distinct(term[i : end[i]], weight[i : end[i]]) + index.common[unit[i]] >= threshold - 1e-6})
+    k = 0
+    while k < len(at_hit):
+        # Hits near each other are searched together.
+        first = last = at_hit[k]
+        p = int(np.searchsorted(starts, first, "right")) - 1
+        while k < len(at_hit) and at_hit[k] < min(first + passage, starts[p] + lengths[p]):
+            last = at_hit[k]
+            k += 1
+        row, whole = parts[p]
+        local = whole[max(0, first - starts[p] - passage + 1) : last - starts[p] + passage]
+        for u, _ in index.above(np.unique(local[local < unknown]).tolist(), threshold):
+            score = index.best(u, local, passage)
+            if score >= threshold - 1e-9:
+                name = (row, int(index.items[u]))
+                found[name] = max(found.get(name, 0.0), score)
+
+
 def _search(index: Index, parts: dict, passage: int, threshold: float, overlap: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict = {}
     unknown = len(index.terms)
@@ -182,38 +273,16 @@ def _search(index: Index, parts: dict, passage: int, threshold: float, overlap:
     for whole in batches:
         for a in range(0, whole.num_rows, 500):
             batch = whole.slice(a, 500)
-            ids, at, offset, starts = [], [], 0, []
             if len(memo) > _KEEP:
                 memo.clear()
-            texts = texts_of(batch)
-            for text in texts:
+            texts, parts_of = texts_of(batch), []
+            for row, text in enumerate(texts):
                 get = memo.get
                 t = np.array([number(w) if n is None else n for w, n in ((w, get(w)) for w in text.split())], np.int64)
-                t = t[t >= 0]
-                starts.append(offset)
-                ids.append(t)
-                at.append(np.arange(len(t)) + offset)
-                offset += len(t) + passage
-            t, pos = np.concatenate(ids), np.concatenate(at)
-            hit = size[t] > 0
-            t, pos = t[hit], pos[hit]
-            n = size[t]
-            flat = np.repeat(begin[t] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n) + np.arange(n.sum())
-            unit, weight = index.rare_docs[flat], index.rare_weights[flat]
-            key = unit * (offset + passage) + np.repeat(pos, n)
-            order = np.argsort(key)
-            key, unit, weight, term = key[order], unit[order], weight[order], np.repeat(t, n)[order]
-            total, end = np.concatenate([[0], np.cumsum(weight)]), np.searchsorted(key, key + passage)
-            likely = (total[end] - total[:-1] + index.common[unit] >= threshold - 1e-6).nonzero()[0]
-            # The running sum counts a repeated term each time; what is left is summed over distinct terms.
-            at_start = {int(key[i] % (offset + passage)) for i in likely if _distinct(term[i : end[i]], weight[i : end[i]]) + index.common[unit[i]] >= threshold - 1e-6}
+                parts_of += [(row, part) for part in _segments(t[t >= 0], size, passage)]
             found: dict = {}
-            for start in sorted(at_start):
-                row = int(np.searchsorted(starts, start, "right")) - 1
-                local = ids[row][start - starts[row] : start - starts[row] + passage]
-                for u, score in index.above(np.unique(local[local < unknown]).tolist(), threshold):
-                    k = (row, int(index.items[u]))
-                    found[k] = max(found.get(k, 0.0), score)
+            for some in _portions(parts_of, size):
+                _find(index, some, size, begin, passage, threshold, found)
             rows, words, known = [], {}, {}
             doc_ids = batch.column("doc_id").to_pylist()
             for (row, item), score in sorted(found.items()):
@@ -243,12 +312,16 @@ def contaminated(docs: DataFrame, items: DataFrame, answer_col: str | None = Non
     if passage < unit:
         raise ValueError("a passage must hold a unit")
     rows, spark = id_and_text(docs), docs.sparkSession
-    entries, shards = postings(items, unit, shard_units)
-    texts = items.select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer")).filter("text is not null")
+    named = items.select(F.col("item_id").cast("long").alias("name"), F.col("text").cast("string").alias("text"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer")).filter("text is not null")
+    # A hash of text and answer stands for an item; ids may repeat it.
+    named = staged(named.withColumn("doc_id", F.xxhash64("text", F.col("answer").isNull(), "answer")), "test-items")
+    texts = named.select("doc_id", "text", "answer").dropDuplicates(["doc_id"])
+    entries, shards = postings(texts.select(F.col("doc_id").alias("item_id"), "text"), unit, shard_units)
+    names = named.select(F.col("doc_id").alias("said"), "name").distinct()
     out = None
     for s in range(shards):
         mine = entries.filter(F.col("shard") == s)
-        index = Index(mine.drop("shard").toArrow(), rare_share)
+        index = Index(mine.drop("shard").toArrow(), rare_share, threshold)
         wanted = texts.join(mine.select(F.col("item_id").alias("doc_id")).distinct(), "doc_id", "left_semi").collect()
         parts = {r["doc_id"]: question_and_answer(r["text"], r["answer"]) for r in wanted}
         held = spark.sparkContext.broadcast((vars(index), parts))
@@ -261,7 +334,7 @@ def contaminated(docs: DataFrame, items: DataFrame, answer_col: str | None = Non
 
         found = rows.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionAll(found)
-    if shards == 1:
-        return out
-    # An item's units may lie in several shards.
-    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"))
+    if shards > 1:
+        # An item's units may lie in several shards.
+        out = out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"))
+    return out.join(names, F.col("item_id") == F.col("said")).select("doc_id", F.col("name").alias("item_id"), "score", "question_overlap", "answer_overlap")

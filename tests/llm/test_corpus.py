@@ -244,3 +244,17 @@ def test_grams_do_not_cross_texts():
     assert sizes.tolist() == [2, 0, 1, 4, 1, 4]
     assert together.tolist() == [x for t in texts for x in grams.of("en", [t])[0].tolist()]
     assert grams.of("en", ["abcd"])[0][-1] == (1 << 18) + (2 << 12) + (3 << 6) + 4
+
+
+@pytest.mark.parametrize("shard_units", [20_000, 2])
+def test_repeated_items_and_late_rare_words_are_found(make_docs, spark, shard_units):
+    r = random.Random(16)
+    once, three = prose(r, 30), prose(r, 30)
+    # Five items share their first 24 words, so that the weight of those is common and stands before the rare words.
+    same = prose(r, 24)
+    close = [same + " " + prose(r, 3) for _ in range(5)]
+    items = [three, three, three, once, *close]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [prose(r, 40) + " " + x + " " + prose(r, 40) for x in (three, close[2])]
+    got = {(x.doc_id, x.item_id): x.score for x in bm25_wand.contaminated(make_docs(texts), table, shard_units=shard_units).collect()}
+    assert {(0, 0), (0, 1), (0, 2), (1, 6)} <= set(got) and min(got[0, 0], got[1, 6]) > 0.999
