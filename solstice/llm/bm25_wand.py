@@ -10,7 +10,8 @@ find all units above the threshold:
 2. Around what passes, block-max WAND, which skips whole blocks of postings by their greatest impact, finds the units that
    can reach the threshold; their score is the best over all stretches there, before and after the signature term.
 3. A document and item are reported if enough of the word trigrams of the item's question, and of its answer, stand in
-   the document. Where the table has no answers, the last quarter of the words (three at least) is the answer.
+   the document. Where an item has no answer, they need to stand there for one stretch of two units of the item only (for
+   all of it if it is shorter), so a long passage of a longer item is enough; answer_overlap is null then.
 
 Items of equal text are one: they are indexed and counted once, and named by all their ids at the end. Document
 frequencies and mean length are over all units. The index is searched in shards of `shard_units` units, each
@@ -190,6 +191,16 @@ def _overlap(part: list[str], words: list[str], known: dict) -> float:
     return len(grams & known[n]) / len(grams) if grams else 1.0
 
 
+def _stretch_overlap(item: list[str], words: list[str], known: dict, stretch: int) -> float:
+    """The greatest share of trigrams that stand in the document, over stretches of that many words of the item."""
+    n = min(3, len(item))
+    if n not in known:
+        known[n] = _grams(words, n)
+    held = np.concatenate([[0], np.cumsum([tuple(item[i : i + n]) in known[n] for i in range(len(item) - n + 1)])])
+    width = min(len(held) - 1, max(1, stretch - n + 1))
+    return float((held[width:] - held[:-width]).max() / width)
+
+
 def _distinct(terms: np.ndarray, weights: np.ndarray) -> float:
     return sum(dict(zip(terms.tolist(), weights.tolist(), strict=True)).values())
 
@@ -259,7 +270,7 @@ def _find(index: Index, parts: list[tuple[int, np.ndarray]], size: np.ndarray, b
                 found[name] = max(found.get(name, 0.0), score)
 
 
-def _search(index: Index, parts: dict, passage: int, threshold: float, overlap: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(index: Index, parts: dict, passage: int, threshold: float, overlap: float, stretch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict = {}
     unknown = len(index.terms)
     size = np.append(index.first[1:] - index.first[:-1], 0)
@@ -288,23 +299,23 @@ def _search(index: Index, parts: dict, passage: int, threshold: float, overlap:
             for (row, item), score in sorted(found.items()):
                 if row not in words:
                     words[row], known[row] = plain_words(texts[row]), {}
-                q, ans = (_overlap(p, words[row], known[row]) for p in parts[item])
-                if q >= overlap and ans >= overlap:
-                    rows.append((doc_ids[row], item, round(score, 6), round(q, 6), round(ans, 6)))
+                question, answer = parts[item]
+                if answer is None:
+                    q, ans = _stretch_overlap(question, words[row], known[row], stretch), None
+                else:
+                    q, ans = _overlap(question, words[row], known[row]), _overlap(answer, words[row], known[row])
+                if q >= overlap and (ans is None or ans >= overlap):
+                    rows.append((doc_ids[row], item, round(score, 6), round(q, 6), None if ans is None else round(ans, 6)))
             columns = zip(*rows, strict=True) if rows else [[]] * len(_FOUND)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FOUND, strict=True)], [x for x, _ in _FOUND])
 
 
-def question_and_answer(text: str, answer: str | None) -> tuple[list[str], list[str]]:
-    words = plain_words(text)
-    if answer:
-        return words, plain_words(answer)
-    cut = len(words) - max(3, len(words) // 4)
-    return (words[:cut], words[cut:]) if cut > 0 else (words, words)
+def question_and_answer(text: str, answer: str | None) -> tuple[list[str], list[str] | None]:
+    return plain_words(text), plain_words(answer) if answer else None
 
 
 def contaminated(docs: DataFrame, items: DataFrame, answer_col: str | None = None, unit: int = 40, passage: int = 50, threshold: float = 0.6, overlap: float = 0.6, shard_units: int = 20_000, rare_share: float = 0.1) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap of every document and test item that match.
+    """doc_id, item_id, score, question_overlap, answer_overlap (null without an answer) of every document and test item that match.
 
     `docs` is (doc_id, text), `items` (item_id, text) and maybe answers. score is the best share of a unit's BM25 weight
     that a stretch of the document reaches.
@@ -330,7 +341,7 @@ def contaminated(docs: DataFrame, items: DataFrame, answer_col: str | None = Non
             state, parts = held.value
             index = Index.__new__(Index)
             vars(index).update(state)
-            return _search(index, parts, passage, threshold, overlap, batches)
+            return _search(index, parts, passage, threshold, overlap, 2 * unit, batches)
 
         found = rows.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionAll(found)

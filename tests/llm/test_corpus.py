@@ -258,3 +258,18 @@ def test_repeated_items_and_late_rare_words_are_found(make_docs, spark, shard_un
     texts = [prose(r, 40) + " " + x + " " + prose(r, 40) for x in (three, close[2])]
     got = {(x.doc_id, x.item_id): x.score for x in bm25_wand.contaminated(make_docs(texts), table, shard_units=shard_units).collect()}
     assert {(0, 0), (0, 1), (0, 2), (1, 6)} <= set(got) and min(got[0, 0], got[1, 6]) > 0.999
+
+
+def test_long_passages_of_longer_items_are_found(make_docs, spark):
+    r = random.Random(17)
+    items = [prose(r, 400), prose(r, 100), prose(r, 60)]
+    w = [x.split() for x in items]
+    passages = [w[0][130:230], w[0][:30], w[1][:70], w[2][:42], w[2][:28]]
+    texts = [prose(r, 40) + " " + " ".join(p) + " " + prose(r, 40) for p in passages]
+    rows = [(i, x, None) for i, x in enumerate(items)]
+    table = spark.createDataFrame(rows, "item_id long, text string, answer string")
+    assert {(x.doc_id, x.item_id) for x in bm25_wand.contaminated(make_docs(texts), table).collect()} == {(0, 0), (2, 1), (3, 2)}
+    # Where there are answers, question and answer are both needed.
+    known = table.filter("item_id = 2").selectExpr("item_id", "text", "'the very answer' as answer")
+    docs = make_docs([items[2], items[2] + " the very answer"])
+    assert [x.doc_id for x in bm25_wand.contaminated(docs, known, "answer").collect()] == [1]
