@@ -35,7 +35,8 @@ from solstice.llm.divergence import words_of
 
 N = 5
 _SEED = 20240607
-_KEEP = 1_000_000
+#: Words a task remembers, some 30 MB.
+_KEEP = 200_000
 
 
 def prefix_length(trees: int, depth: int, similarity: float, recall: float) -> int:

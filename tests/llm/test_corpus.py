@@ -210,7 +210,7 @@ def test_model_agrees_with_dictionaries(make_docs, spark):
     fit = [x.doc_id for x in docs.filter(~kneser_ney.held_out(docs.doc_id)).collect()]
     of = lambda t: [letters["en"][ord(c)] for c in t]
     p = plain_model(of, [texts[i] for i in fit])
-    table = kneser_ney.costs(shards["en"].value)
+    table = kneser_ney.Costs(shards["en"].value).of(np.arange(kneser_ney.SIZE**kneser_ney.ORDER, dtype=np.uint32))
     for _ in range(300):
         gram = [r.randint(0, 20) for _ in range(4)]
         if r.random() < 0.7:
