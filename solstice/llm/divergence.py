@@ -2,8 +2,8 @@
 
 Every language gets a reference: the distribution of character classes, and of its most frequent words, over all its
 documents. A document whose own histogram lies too far away (Jensen-Shannon distance, base 2, between 0 and 1) is
-rejected. Guards: short documents have noisy histograms and are not judged, nor are documents of a language that holds
-less than `min_share` of all words, which leaves at most 1 / min_share references, small enough for every task.
+rejected. Guards: short documents have noisy histograms and are not judged, nor are documents of a language with fewer than
+`min_language` words, whatever the size of the others. A reference takes some 6 KB; every task holds those of all languages.
 
 The base rules (length, repeated word windows) come first. Null texts have no words; a null language is a language of
 its own; repeated rows each get their row; a null id stays null.
@@ -12,6 +12,7 @@ its own; repeated rows each get their row; a null id stays null.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -44,10 +45,10 @@ def words_of(text: str) -> list[str]:
 def class_counts(text: str) -> np.ndarray:
     global _table
     if not len(_table):
-        kinds = (unicodedata.category(chr(c)) for c in range(0x3000))
-        _table = np.array([5 if chr(c) in _BLANK else _BY_CATEGORY.get(k, _BY_CATEGORY.get(k[0], 8)) for c, k in enumerate(kinds)] + [2], np.uint8)
+        kinds = (unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1))
+        _table = np.array([5 if chr(c) in _BLANK else _BY_CATEGORY.get(k, _BY_CATEGORY.get(k[0], 8)) for c, k in enumerate(kinds)], np.uint8)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(_table[np.minimum(codes, 0x3000)], minlength=len(CLASSES))
+    return np.bincount(_table[codes], minlength=len(CLASSES))
 
 
 def repeated_words(words: list[str]) -> int:
@@ -104,13 +105,12 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def references(docs: DataFrame, top: int = 64, min_share: float = 0.001) -> dict:
+def references(docs: DataFrame, top: int = 64, min_language: int = 1000) -> dict:
     """Per language (class distribution, top words, their distribution and the rest)."""
     tallies = docs.select("lang", "text").mapInArrow(_tally, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
     best = staged(tallies.withColumn("rank", rank).filter(F.col("rank") <= max(top, len(CLASSES))), "language-references")
-    total = best.filter("kind = 'total'").agg(F.sum("n")).collect()[0][0] or 0
-    sizes = {r["lang"]: r["n"] for r in best.filter((F.col("kind") == "total") & (F.col("n") >= max(1, total * min_share))).collect()}
+    sizes = {r["lang"]: r["n"] for r in best.filter((F.col("kind") == "total") & (F.col("n") >= min_language)).collect()}
     out: dict = {lang: ({}, {}) for lang in sizes}
     known = F.col("lang").isin([x for x in sizes if x is not None]) | (F.col("lang").isNull() if None in sizes else F.lit(False))
     for r in best.filter(known & (F.col("kind") != "total") & ((F.col("kind") == "class") | (F.col("rank") <= top))).orderBy("lang", "kind", "rank").collect():
@@ -152,9 +152,9 @@ def _judge(refs: dict, class_limit: float, word_limit: float, min_chars: int, mi
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *names])
 
 
-def judge(docs: DataFrame, class_limit: float = 0.25, word_limit: float = 0.45, min_chars: int = 200, min_words: int = 60, top: int = 64) -> DataFrame:
+def judge(docs: DataFrame, class_limit: float = 0.25, word_limit: float = 0.45, min_chars: int = 200, min_words: int = 60, top: int = 64, min_language: int = 1000) -> DataFrame:
     """doc_id, the base figures, base_failed, both distances (null where guarded) and kept, for every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    refs = references(rows, top)
+    refs = references(rows, top, min_language)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
     return rows.mapInArrow(partial(_judge, refs, class_limit, word_limit, min_chars, min_words), schema)

@@ -169,3 +169,18 @@ def test_mined_rules_are_those_of_a_plain_count(spark):
             if sum(with_c) >= 10 and sum(with_c) / len(with_c) >= 0.4:
                 want[c] = round(sum(with_c) / len(with_c), 9)
     assert got == want
+
+
+def test_every_character_has_its_own_class():
+    got = dict(zip(divergence.CLASSES, divergence.class_counts("😀" * 10 + "。" * 5 + "\u3000" * 4 + "漢" * 3 + "한ﬀ𝟘\U0010fffd").tolist(), strict=True))
+    assert got == {"lower": 1, "upper": 0, "letter": 4, "mark": 0, "digit": 1, "space": 4, "punctuation": 5, "symbol": 10, "other": 1}
+
+
+def test_a_rare_language_has_its_reference_whatever_the_others(make_docs):
+    r = random.Random(20)
+    prose = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "of", "the", "and"]) for _ in range(120)) for _ in range(12)]
+    odd = " ".join("%&#@!" for _ in range(120)) + " end"
+    for more in (0, 400):
+        texts = [*prose, odd, *["viele andere worte stehen hier " * 60] * more]
+        got = {x.doc_id: x for x in divergence.judge(make_docs(texts, ["xx"] * 13 + ["de"] * more)).collect()}
+        assert got[12].class_distance is not None and got[12].class_distance > 0.25 and got[0].word_distance < 0.45
