@@ -23,6 +23,7 @@ nothing. Repeated documents are each reported; a null id stays null.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -206,7 +207,7 @@ def _distinct(terms: np.ndarray, weights: np.ndarray) -> float:
     return sum(dict(zip(terms.tolist(), weights.tolist(), strict=True)).values())
 
 
-_FOUND = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]
+_FOUND = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("text_key", pa.binary())]
 
 
 def _segments(t: np.ndarray, size: np.ndarray, passage: int) -> list[np.ndarray]:
@@ -306,7 +307,7 @@ def _search(index: Index, parts: dict, passage: int, threshold: float, overlap:
                 else:
                     q, ans = _overlap(question, words[row], known[row]), _overlap(answer, words[row], known[row])
                 if q >= overlap and (ans is None or ans >= overlap):
-                    rows.append((doc_ids[row], item, round(score, 6), round(q, 6), None if ans is None else round(ans, 6)))
+                    rows.append((doc_ids[row], item, round(score, 6), round(q, 6), None if ans is None else round(ans, 6), hashlib.blake2b(texts[row].encode(), digest_size=16).digest()))
             columns = zip(*rows, strict=True) if rows else [[]] * len(_FOUND)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FOUND, strict=True)], [x for x, _ in _FOUND])
 
@@ -344,9 +345,11 @@ def contaminated(docs: DataFrame, items: DataFrame, answer_col: str | None = Non
             vars(index).update(state)
             return _search(index, parts, passage, threshold, overlap, 2 * unit, batches)
 
-        found = rows.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = rows.mapInArrow(search, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, text_key binary").withColumn("shard", F.lit(s))
         out = found if out is None else out.unionAll(found)
-    if shards > 1:
-        # An item's units may lie in several shards.
-        out = out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"))
+    # An item's units may lie in several shards. Repeated rows are told by their number, which is the same in each of them.
+    figures = [F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")]
+    out = out.groupBy("doc_id", "text_key", "item_id", "shard").agg(F.count("*").alias("rows"), *figures)
+    out = out.groupBy("doc_id", "text_key", "item_id").agg(F.max("rows").alias("rows"), *figures)
+    out = out.select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row")).drop("row")
     return out.join(names, F.col("item_id") == F.col("said")).select("doc_id", F.col("name").alias("item_id"), "score", "question_overlap", "answer_overlap")

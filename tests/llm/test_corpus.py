@@ -273,3 +273,24 @@ def test_long_passages_of_longer_items_are_found(make_docs, spark):
     known = table.filter("item_id = 2").selectExpr("item_id", "text", "'the very answer' as answer")
     docs = make_docs([items[2], items[2] + " the very answer"])
     assert [x.doc_id for x in bm25_wand.contaminated(docs, known, "answer").collect()] == [1]
+
+
+def test_repeated_rows_and_null_ids_are_reported_alike_in_every_number_of_shards(make_docs, spark):
+    r = random.Random(18)
+    items = [prose(r, 150) for _ in range(4)]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [items[0], items[0], items[0] + " " + items[1], items[1], items[1], items[2], None, ""]
+    ids = [1, 1, 1, None, None, 7, None, 8]
+    found = [sorted(map(str, bm25_wand.contaminated(make_docs(texts, ids=ids), table, shard_units=n).collect())) for n in (20_000, 3, 1)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 7
+
+
+def test_a_small_language_is_judged_beside_a_large_one(make_docs):
+    r = random.Random(19)
+    small = [prose(r, 60) for _ in range(60)] + ["".join(r.choice("QXZ#%&0918") for _ in range(400))]
+    other = ["ein anderer satz " * 200 for _ in range(150)]
+    for more in (0, len(other)):
+        texts = small + other[:more]
+        docs = make_docs(texts, ["xx"] * len(small) + ["de"] * more)
+        got = {x.doc_id: x.kept for x in kneser_ney.judge(docs, docs.filter("doc_id < 60").select("doc_id"), quantile=1.0, min_held=3).collect()}
+        assert not got[60] and sum(got[i] for i in range(60)) >= 55
