@@ -37,8 +37,8 @@ from solstice.llm.common import id_and_text, rows_of, staged, texts_of
 
 K1, B = 1.2, 0.75
 _BLOCK = 16
-#: Words a task remembers, some 30 MB.
-_KEEP = 200_000
+#: Words a task remembers, some 80 MB.
+_KEEP = 500_000
 #: Postings looked at at a time.
 _POSTINGS = 4_000_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
