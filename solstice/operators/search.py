@@ -1,8 +1,9 @@
 """Typo-tolerant place search for a whole table of queries at once.
 
-Names and queries are reduced to distinct strings first. A query meets a key either through an
-equal prefix or through a shared deletion variant inside the same block, so no block ever pairs
-every query with every key.
+Names and queries are reduced to distinct strings first. A query meets a key through an equal prefix or,
+inside the same block, through a shared form: a deletion variant where the strings are short, an equal
+segment where they are long. The forms of a string are bounded in number, their characters linear in its
+length, and no block ever pairs every query with every key.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from solstice.operators.gazetteer import MAJOR_POP, search_keys, shard_key, top_
 # Fixed values of the ranking.
 MIN_QUERY = 2
 PER_COUNTRY, LIMIT = 3, 8
+#: Up to this length behind a block's shared start, deletion variants are few; beyond it, segments are selective.
+SHORT = 8
 
 
 def prepare_queries(raw: DataFrame, text: str = "raw") -> DataFrame:
@@ -55,15 +58,60 @@ def _blocks(text: Column, major: Column) -> Column:
     return F.when(major, F.array(shard, top)).otherwise(F.array(shard))
 
 
-def _variants(df: DataFrame, text: str) -> DataFrame:
-    """One row per block and deletion variant of the part of ``text`` behind the block's shared start.
+def _swapped(text: Column, at: Column) -> Column:
+    """``text`` with the two characters around position ``at`` in each other's place."""
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.lit(1)), F.substring(text, at, F.lit(1)), F.substring(text, at + 2, F.char_length(text)))
 
-    ``df`` has ``_e`` (edits) and ``major``.
+
+def _segments(rest: Column, whole: Column) -> Column:
+    """Tagged forms of a key's text of which every query within the allowed distance has one, see ``_asked_segments``.
+
+    As long as the query (``whole``), two edits may part them: cut in three, one segment is intact, unless a swap lies
+    over an edge. Then both edges are swapped, or one is and the edit beside it leaves the two segments around
+    that edge as they are after the swap. One shorter, the query has one more character, and one half is intact.
+    """
+    n = F.char_length(rest)
+    b1, b2, half = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int"), F.floor(n / 2).cast("int")
+
+    def piece(tag: str, start, length) -> Column:
+        return F.concat(F.lit(tag), F.substring(rest, start, length))
+
+    thirds = F.array(
+        piece("a", F.lit(1), b1), piece("b", b1 + 1, b2 - b1), piece("c", b2 + 1, n), F.concat(F.lit("x"), _swapped(_swapped(rest, b1), b2)),
+        F.concat(F.lit("y"), F.substring(_swapped(rest, b1), F.lit(1), b2)), F.concat(F.lit("z"), F.substring(_swapped(rest, b2), b1 + 1, n)),
+    )
+    return F.when(whole, thirds).otherwise(F.array(piece("d", F.lit(1), half), piece("e", half + 1, n)))
+
+
+def _asked_segments(rest: Column) -> Column:
+    """The same forms from a query's side, where the segments of a key in reach may stand in it.
+
+    Equal lengths mean that edits before the first and up to the last segment add up to no shift; the middle one moves by at most one.
+    """
+    n = F.char_length(rest)
+    b1, b2, half = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int"), F.floor((n - 1) / 2).cast("int")
+
+    def piece(tag: str, start, length) -> Column:
+        return F.concat(F.lit(tag), F.substring(rest, start, length))
+
+    return F.array(
+        piece("a", F.lit(1), b1), piece("b", b1, b2 - b1), piece("b", b1 + 1, b2 - b1), piece("b", b1 + 2, b2 - b1), piece("c", b2 + 1, n),
+        piece("x", F.lit(1), n), piece("y", F.lit(1), b2), piece("z", b1 + 1, n), piece("d", F.lit(1), half), piece("e", half + 2, n),
+    )
+
+
+def _variants(df: DataFrame, text: str, asked: bool) -> DataFrame:
+    """One row per block and form of the part of ``text`` behind the block's shared start.
+
+    ``df`` has ``_l`` (length of the query), ``_e`` (edits) and ``major``. Which kind of forms a block takes follows from
+    ``_l`` and the shared start, which both sides know.
     """
     blocked = df.withColumn("_b", F.explode(_blocks(F.col(text), F.col("major"))))
     rest = F.substring(F.col(text), F.col("_b.shared") + 1, F.char_length(text))
-    forms = F.when(F.col("_e") == 2, deletions(rest, 2)).otherwise(deletions(rest, 1))
-    return blocked.select(*df.columns, F.col("_b.via").alias("via"), F.col("_b.block").alias("_block"), F.explode(forms).alias("_form"))
+    few = F.when(F.col("_e") == 2, deletions(rest, 2)).otherwise(deletions(rest, 1))
+    many = _asked_segments(rest) if asked else _segments(rest, F.char_length(text) == F.col("_l"))
+    forms = F.when(F.col("_l") - F.col("_b.shared") <= SHORT, few).otherwise(many)
+    return blocked.select(*df.columns, F.col("_b.via").alias("via"), F.col("_b.block").alias("_block"), F.explode(F.array_distinct(forms)).alias("_form"))
 
 
 def match_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
@@ -88,8 +136,8 @@ def match_keys(queries: DataFrame, keys: DataFrame) -> DataFrame:
         .withColumn("_kp", F.substring("k", F.lit(1), F.col("_l")))
     )
     asked = q.withColumns({"_l": F.char_length("q"), "major": F.lit(True)}).where("_l >= 4").withColumn("_e", allowed_edits(F.col("_l")))
-    key_forms = _variants(sides, "_kp").select("k", "_kp", "_e", "via", "_block", "_l", "_form")
-    query_forms = _variants(asked, "q").select("q", "_block", "_l", "_form")
+    key_forms = _variants(sides, "_kp", asked=False).select("k", "_kp", "_e", "via", "_block", "_l", "_form")
+    query_forms = _variants(asked, "q", asked=True).select("q", "_block", "_l", "_form")
     pairs = dim_join(key_forms, query_forms, ["_block", "_l", "_form"]).select("q", "k", "_kp", "_e", "via").distinct()
     return prefix.unionByName(score_pairs(pairs)).groupBy("q", "k", "via").agg(F.min("score").alias("score"))
 

@@ -183,3 +183,49 @@ def test_alternate_names_caps(spark):
     for r in gz.alternate_names(df, pl).collect():
         got.setdefault(r.id, set()).add(r.name)
     assert got == {1: {f"n{i}" for i in range(20)}, 2: {f"m{i}" for i in range(40)}}
+
+
+def test_segments_find_every_key_in_reach(spark):
+    """Long names with up to two edits, swaps over segment edges among them, against all pairs."""
+    rnd = random.Random(11)
+    keys = {"".join(rnd.choice("ab") for _ in range(rnd.randint(9, 22))) for _ in range(60)} | {"".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(9, 30))) for _ in range(60)}
+    asked = set()
+    for k in sorted(keys):
+        for _ in range(6):
+            c = list(k[: rnd.choice([len(k), max(9, len(k) - rnd.randint(0, 6))])])
+            for _ in range(rnd.randint(0, 2)):
+                i = rnd.randrange(1, len(c))
+                what = rnd.random()
+                c[i : i + 2] = c[i : i + 2][::-1] if what < 0.5 else [rnd.choice("abx")] if what < 0.7 else c[i : i + 2] + [rnd.choice("abx")] if what < 0.85 else c[i + 1 : i + 2]
+            asked.add("".join(c))
+        # both edges of every cut behind one or two shared characters
+        for shared in (1, 2):
+            n = len(k) - shared
+            c = list(k)
+            for edge in (n // 3, 2 * n // 3):
+                i = shared + edge
+                c[i - 1 : i + 1] = c[i - 1 : i + 1][::-1]
+                asked.add("".join(c))
+                asked.add("".join(c[:-1]) + "x")
+    asked = sorted(q for q in asked if len(q) >= 9)
+    q = spark.createDataFrame([(x,) for x in asked], "q STRING")
+    k = spark.createDataFrame([(x, i % 2 == 0) for i, x in enumerate(sorted(keys))], "k STRING, major BOOLEAN")
+    got = {(r.q, r.k, r.via): r.score for r in se.match_keys(q, k).collect()}
+    want = {}
+    for i, x in enumerate(sorted(keys)):
+        for a in asked:
+            if x.startswith(a):
+                want[a, x, "shard"] = 0
+            if abs(len(x) - len(a)) > 5 or len(a) - len(x) > 1:
+                continue
+            d = brute_osa(a, x[: len(a)]) if a[0] == x[0] else 9
+            if d <= (1 if len(x) < len(a) else 2):
+                for via, fits in (("shard", a[:2] == x[:2]), ("major", i % 2 == 0)):
+                    if fits:
+                        want[a, x, via] = min(d, want.get((a, x, via), 9))
+    assert got == want and len(want) > 300
+
+
+def test_the_forms_of_a_name_are_few(spark):
+    long = spark.createDataFrame([("ab" * n, 2 * n, True, 2) for n in (10, 30, 60)], "k STRING, _l INT, major BOOLEAN, _e INT")
+    assert {r["count"] for r in se._variants(long, "k", asked=False).groupBy("k", "via").count().collect()} <= set(range(4, 7))
