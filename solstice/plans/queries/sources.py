@@ -204,17 +204,15 @@ def s3(t):
     """A good build, then one that its gate refuses: the good one stays current."""
     root = scratch_dir(t.spark, "published")
 
-    def check(df):
-        return gates.range_gates(df, {"size": (1, 50)})
-
-    rows = t.part.selectExpr("p_partkey AS id", "p_size AS size")
+    check = [*sinks.range_measures({"size": (1, 50)}), sinks.size_measure("rows", 1, float("inf")), *sinks.finite_measures(["price"])]
+    rows = t.part.selectExpr("p_partkey AS id", "p_size AS size", "p_retailprice AS price")
     sinks.publish(rows, root, check)
     try:
         sinks.publish(rows.withColumn("size", F.col("size") + 100), root, check)
         raise AssertionError("the gate let a bad build pass")
     except sinks.GateFailed:
         pass
-    return sinks.current(t.spark, root)
+    return sinks.current(t.spark, root).select("id", "size")
 
 
 @query("s4_provenance_stamp", "SELECT cell, CAST(sum(value) AS DOUBLE) AS total, 'Cube' AS name, 'through ' || max(year * 100 + month) AS version, 'open' AS licence FROM v_cube GROUP BY 1")
@@ -243,7 +241,7 @@ def s7(t):
 def m1(t):
     root, state = scratch_dir(t.spark, "refreshed"), scratch_dir(t.spark, "refresh-state")
     stream = refresh.file_stream(t.spark, t.folder, "event_id BIGINT, event_type STRING, value DOUBLE", glob="events.parquet")
-    refresh.refresh(stream, root, state, gates=lambda df: gates.range_gates(df, {"value": (0, 1e6)}))
+    refresh.refresh(stream, root, state, gates=sinks.range_measures({"value": (0, 1e6)}))
     return sinks.current(t.spark, root)
 
 

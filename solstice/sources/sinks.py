@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from solstice.sources.readers import path_exists
@@ -93,33 +93,86 @@ class Published:
     paths: list[str]
 
 
-def publish(df: DataFrame, root: str, gates=None, run_id: str | None = None, append: bool = False) -> Published:
+@dataclass(frozen=True)
+class Measure:
+    """An aggregate of a build that must lie in ``lo..hi``; measured while the build is written."""
+
+    gate: str
+    value: Column
+    lo: float
+    hi: float
+
+    def passes(self, value: float | None) -> bool:
+        return value is not None and self.lo <= value <= self.hi
+
+
+#: Measures, or a function from the written table to gate rows ``gate, ok, …`` for what no plain aggregate can say.
+Gates = Sequence[Measure] | Callable[[DataFrame], DataFrame]
+
+
+def range_measures(bounds: dict[str, tuple[float, float]]) -> list[Measure]:
+    """No value of a column outside its range; nulls are allowed."""
+    return [Measure(f"range of {c}", F.count_if(~F.col(c).between(lo, hi)).cast("double"), 0.0, 0.0) for c, (lo, hi) in bounds.items()]
+
+
+def size_measure(gate: str, lo: float, hi: float, value: Column | None = None) -> Measure:
+    """Row count, or another aggregate, inside ``lo..hi``."""
+    return Measure(gate, (F.count(F.lit(1)) if value is None else value).cast("double"), float(lo), float(hi))
+
+
+def finite_measures(columns: Sequence[str]) -> list[Measure]:
+    """Every number finite or null."""
+    odd = {c: F.isnan(F.col(c)) | (F.abs(F.col(c)) == float("inf")) for c in columns}
+    return [Measure(f"finite {c}", F.count_if(x).cast("double"), 0.0, 0.0) for c, x in odd.items()]
+
+
+def publish(df: DataFrame, root: str, gates: Gates | None = None, run_id: str | None = None, append: bool = False) -> Published:
     """Write to a new run folder, check it, then move the pointer ``current.json``.
 
-    ``gates`` is called with the staged table and returns gate rows ``gate, ok, …``. The pointer moves
-    only when all are ok; otherwise readers keep the last good run and ``GateFailed`` is raised.
-    ``append`` keeps the earlier runs current too, so that they are never rewritten.
+    Measures are observed on the rows as they are written: one scan of the input, and none of the output. They stand
+    right before the write, in the stage that writes, where a partition counts once however often it is tried.
+    A function is called with the written table instead. The pointer moves only when all gates are ok; otherwise
+    readers keep the last good run and ``GateFailed`` is raised. ``append`` keeps the earlier runs current
+    too, so that they are never rewritten.
     """
     spark = df.sparkSession
     run_id = run_id or uuid.uuid4().hex[:12]
     path = f"{root.rstrip('/')}/runs/{run_id}-{uuid.uuid4().hex[:6]}"
-    df.write.mode("errorifexists").parquet(path)
-    if gates is not None:
+    if gates is None or callable(gates):
+        df.write.mode("errorifexists").parquet(path)
         # gate rows are one per check
-        failed = _failed(gates, spark.read.parquet(path))
-        if failed:
-            refusal = GateFailed(", ".join(failed))
-            refusal.path = path
-            raise refusal
+        failed = _failed(gates, spark.read.parquet(path)) if gates is not None else []
+    else:
+        failed = _write_measured(df, path, gates)
+    if failed:
+        refusal = GateFailed(", ".join(failed))
+        refusal.path = path
+        raise refusal
     earlier = pointer(spark, root)
     paths = [*(earlier.paths if append and earlier else []), path]
     _replace_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"run_id": run_id, "paths": paths}))
     return Published(run_id, paths)
 
 
-def _failed(gates, made: DataFrame) -> list[str]:
-    """Gate rows are one per check."""
-    return [r["gate"] for r in gates(made).where(~F.coalesce("ok", F.lit(False))).select("gate").collect()]
+def _write_measured(df: DataFrame, path: str, measures: Sequence[Measure]) -> list[str]:
+    """Write and measure in one job; the gates that fail."""
+    if not measures:
+        df.write.mode("errorifexists").parquet(path)
+        return []
+    seen = Observation(f"gates-{uuid.uuid4().hex[:8]}")
+    df.observe(seen, *[m.value.alias(f"m{i}") for i, m in enumerate(measures)]).write.mode("errorifexists").parquet(path)
+    got = seen.get
+    return [m.gate for i, m in enumerate(measures) if not m.passes(got.get(f"m{i}"))]
+
+
+def _failed(gates: Gates, made: DataFrame) -> list[str]:
+    """The gates that a table which is already written fails."""
+    if callable(gates):
+        return [r["gate"] for r in gates(made).where(~F.coalesce("ok", F.lit(False))).select("gate").collect()]
+    if not gates:
+        return []
+    got = made.agg(*[m.value.alias(f"m{i}") for i, m in enumerate(gates)]).first()
+    return [m.gate for i, m in enumerate(gates) if not m.passes(got[f"m{i}"])]
 
 
 def compact(spark: SparkSession, root: str) -> Published | None:
@@ -143,7 +196,7 @@ def keep_refused(spark: SparkSession, root: str, paths: list[str]) -> None:
     _replace_text(spark, f"{root.rstrip('/')}/refused.json", json.dumps({"paths": paths}))
 
 
-def retry_refused(spark: SparkSession, root: str, gates) -> list[str]:
+def retry_refused(spark: SparkSession, root: str, gates: Gates) -> list[str]:
     """Try the refused runs again; those that pass now become current. Returns the paths still refused."""
     waiting = refused(spark, root)
     passed = [p for p in waiting if not _failed(gates, spark.read.parquet(p))]

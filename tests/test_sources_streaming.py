@@ -115,3 +115,68 @@ def test_streamed_storms_equal_the_batch(spark, scratch):
 def test_quantities(spark):
     r = spark.range(1).select(sinks.whole(F.lit(2.5)).alias("a"), sinks.whole(F.lit(3.5)).alias("b"), sinks.significant(F.lit(0.00123456), 3).alias("c"), sinks.significant(F.lit(0.0), 3).alias("d"), sinks.significant(F.lit(-2794.5), 3).alias("e")).first()
     assert tuple(r) == (2.0, 4.0, 0.001235, 0.0, -2794.0)
+
+
+def test_measures_are_taken_while_writing(spark, scratch):
+    """One job that reads the input once, the same refusals as the gates on the written table."""
+    root, land = f"{scratch}/measured", f"{scratch}/land-measured"
+    spark.range(1000).selectExpr("id", "CASE WHEN id = 7 THEN NULL ELSE id / 10 END AS v").repartition(3).write.parquet(land)
+    rows = spark.read.parquet(land)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    checks = [*sinks.range_measures({"v": (0, 100), "id": (0, 5000)}), *sinks.finite_measures(["v"]), sinks.size_measure("rows", 500, 2000)]
+    sinks.publish(rows.mapInArrow(counted, rows.schema), root, checks)
+    assert read.value == 1000 and sinks.current(spark, root).count() == 1000
+    bad = {
+        "range of v": rows.withColumn("v", F.col("v") * 2), "finite v": rows.withColumn("v", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("v"))),
+        "rows": rows.limit(10), "range of id": rows.withColumn("id", -F.col("id")),
+    }
+    for gate, df in bad.items():
+        with pytest.raises(sinks.GateFailed, match=gate) as refusal:
+            sinks.publish(df, root, checks)
+        # what was written fails the same gates when it is measured again
+        assert sinks._failed(checks, spark.read.parquet(refusal.value.path)) == str(refusal.value).split(", ")
+    assert sinks.current(spark, root).count() == 1000
+    with pytest.raises(sinks.GateFailed):
+        sinks.publish(rows.limit(0), root, [sinks.size_measure("rows", 1, 9), sinks.size_measure("sum", 0, 9, F.sum("v"))])
+    sinks.publish(rows.limit(3), root, [])
+    assert sinks.current(spark, root).count() == 3
+
+
+def test_ended_storms_leave_the_state_and_late_fixes_count(spark, scratch):
+    ddl = "sid STRING, fix_id LONG, ts TIMESTAMP, basin STRING, wmo_wind STRING, usa_wind STRING, lat DOUBLE, lon DOUBLE"
+    land, out, state = f"{scratch}/late-fixes", f"{scratch}/late-out", f"{scratch}/late-ck"
+    made = []
+
+    def arrive(*rows):
+        df = spark.createDataFrame([(sid, i, day + " 00:00:00", "WP", str(w), "", 10.0, 120.0 + i) for sid, i, day, w in rows], ddl.replace("TIMESTAMP", "STRING"))
+        made.append(df.withColumn("ts", F.col("ts").cast("timestamp")))
+        made[-1].coalesce(1).write.mode("append").parquet(land)
+        return refresh.storm_stream(refresh.file_stream(spark, land, ddl, max_files=1), out, state, delay="30 days", span="10 days")
+
+    left = arrive(("a", 1, "2000-01-05", 40), ("a", 2, "2000-01-06", 50), ("b", 3, "2000-01-07", 30))
+    assert left["storms"] >= 2
+    # twenty days on: a late fix before a's first one, inside the delay, with more wind
+    arrive(("c", 4, "2000-01-27", 35), ("a", 5, "2000-01-04", 90))
+    assert ("a", 90.0) in {(r.sid, r.max_wind) for r in refresh.storm_state(spark, out).collect()}
+    # half a year on, all three have ended; what is left is the new storm
+    left = arrive(("d", 6, "2000-07-05", 60))
+    left = arrive(("d", 7, "2000-07-06", 65))
+    # one storm in one span, and its cells
+    assert left == {"storms": 1, "cells": tracks.storm_cells(made[2].unionByName(made[3])).count()}
+    assert {r.sid for r in refresh.ended_storms(spark, out).collect()} == {"a", "b", "c"}
+    whole = made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+    want = {tuple(r) for r in tracks.storms(whole).drop("event_year").collect()}
+    assert {tuple(r) for r in refresh.storm_state(spark, out).collect()} == want
+    # a storm that wakes up after it has left the state adds to what was written of it
+    arrive(("a", 8, "2000-07-07", 100))
+    refresh.fold_storms(spark, out, f"{scratch}/folded")
+    for folder in (out, f"{scratch}/folded"):
+        got = {r.sid: (r.glon, r.max_wind) for r in refresh.storm_state(spark, folder).collect()}
+        assert got["a"] == (125.0, 100.0) and len(got) == 4
+        assert {tuple(r) for r in refresh.storm_cells(spark, folder).collect()} == {tuple(r) for r in tracks.storm_cells(whole.unionByName(made[4])).collect()}
