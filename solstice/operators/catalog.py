@@ -98,6 +98,15 @@ def apply_translations(source: DataFrame, target: DataFrame, translations: DataF
     ).where("value IS NOT NULL")
 
 
+def translation_changes(source: DataFrame, target: DataFrame, translations: DataFrame, list_keys: DataFrame | None = None) -> DataFrame:
+    """What ``apply_translations`` changes: rows to put in place, and keys to take away (``gone``), for a keyed table."""
+    new = apply_translations(source, target, translations, list_keys)
+    old = target.select("k", F.struct(*[F.col(c) for c in ("value", "src_hash", "mt")]).alias("_old"))
+    put = new.join(old, "k", "left").where(~F.struct("value", "src_hash", "mt").eqNullSafe(F.col("_old"))).select(*new.columns, F.lit(False).alias("gone"))
+    away = target.join(new.select("k"), "k", "left_anti").select(*new.columns, F.lit(True).alias("gone"))
+    return put.unionByName(away)
+
+
 def check_fixes(source: DataFrame, fixes: DataFrame) -> DataFrame:
     """Fixes with ``status``: unknown key, slot mismatch or applied."""
     known = source.select("k", F.col("value").alias("_src"))

@@ -10,7 +10,7 @@ from solstice.operators import gates, tracks
 from solstice.plans import sqltext as s
 from solstice.plans.queries.tracks import EY, STORM_SQL, WIND
 from solstice.plans.registry import query
-from solstice.sources import readers as rd
+from solstice.sources import keyed, readers as rd
 from solstice.sources import sinks
 from solstice.sources.scratch import scratch_dir
 from solstice.streaming import refresh
@@ -245,6 +245,18 @@ def m1(t):
     return sinks.current(t.spark, root)
 
 
+@query("m1_keyed_refresh", "SELECT event_id, event_type, CASE WHEN event_id % 10 = 3 THEN value + 1 ELSE value END AS value FROM events WHERE event_id % 100 <> 5")
+def m1_keyed(t):
+    """All events arrive; then every tenth is corrected and every hundredth withdrawn, by key."""
+    root, state = scratch_dir(t.spark, "keyed"), scratch_dir(t.spark, "keyed-state")
+    stream = refresh.file_stream(t.spark, t.folder, "event_id BIGINT, event_type STRING, value DOUBLE", glob="events.parquet")
+    keyed.refresh(stream, root, state, ["event_id"], ["version"], transform=lambda df: df.withColumn("version", F.lit(1)), gates=sinks.range_measures({"value": (0, 1e6)}), n_parts=16)
+    events = keyed.read(t.spark, root)
+    changes = events.where("event_id % 10 = 3 OR event_id % 100 = 5").selectExpr("event_id", "event_type", "value + 1 AS value", "2 AS version", "event_id % 100 = 5 AS gone")
+    keyed.upsert(changes, root, ["event_id"], ["version"], gone="gone")
+    return keyed.read(t.spark, root).select("event_id", "event_type", "value")
+
+
 @query(
     "m2_running_storm_state",
     f"SELECT s.sid, basin, glat, glon, max_wind, n_cells FROM ({STORM_SQL}) s JOIN (SELECT sid, count(DISTINCT {s.cell(tie=s.half_even)}) AS n_cells FROM v_fix GROUP BY 1) c ON c.sid = s.sid",
