@@ -221,17 +221,19 @@ def composite_fact(
     )
     by_event = [F.map_from_entries(F.collect_list(F.struct("ord", F.bround("pct", 0).alias("pct")))).alias("by_event")] if with_vectors else []
     fact = anomalies.groupBy("cell", "phase", "k").agg(*composite_columns(digits=digits), *by_event)
-    # a cell has one entry per phase and season; the slots bring in those without any event
+    # at most one entry per phase and season of a cell; blank ones are made for the slots that have none
     per_cell = fact.groupBy("cell").agg(F.collect_list(F.struct(*fact.columns[1:])).alias("_facts"))
+    entry = {f.name: f.dataType for f in fact.schema.fields[1:]}
     phases = events.groupBy("phase").agg(F.max("ord").alias("n_events")).select("phase", "n_events", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"))
-    slots = phases.agg(F.collect_list(F.struct("phase", "k", "n_events")).alias("_slots"))
-    rows = normals.select("cell", "source").join(per_cell, "cell", "left").join(F.broadcast(slots), how="cross").select("cell", "source", "_facts", F.explode("_slots").alias("s"))
-    own = F.get(F.filter("_facts", lambda f: (f["phase"] == F.col("s.phase")) & (f["k"] == F.col("s.k"))), F.lit(0))
-    rows = rows.select("cell", "source", "s", own.alias("f"))
-    out = rows.select(
-        "cell", "source", "s.phase", "s.k", "f.pct", "f.wetter_frac", "f.std", F.coalesce("f.n", F.lit(0)).cast("bigint").alias("n"),
-        *([F.transform(F.sequence(F.lit(1), F.col("s.n_events")), lambda o: F.element_at("f.by_event", o)).alias("events")] if with_vectors else []),
-    )
+    slot = F.struct("phase", F.col("k").cast(entry["k"]).alias("k"))
+    slots = phases.agg(F.collect_list(slot).alias("_slots"), F.map_from_entries(F.collect_set(F.struct("phase", "n_events"))).alias("_sizes"))
+    rows = normals.select("cell", "source").join(per_cell, "cell", "left").join(F.broadcast(slots), how="cross")
+    own = F.coalesce("_facts", F.array().cast(per_cell.schema["_facts"].dataType))
+    left = F.array_except("_slots", F.transform(own, lambda f: F.struct(f["phase"].alias("phase"), f["k"].alias("k"))))
+    blank = F.transform(left, lambda x: F.struct(*[(x[c] if c in ("phase", "k") else F.lit(None)).cast(kind).alias(c) for c, kind in entry.items()]))
+    rows = rows.select("cell", "source", "_sizes", F.explode(F.concat(own, blank)).alias("f"))
+    vector = F.transform(F.sequence(F.lit(1), F.element_at("_sizes", F.col("f.phase"))), lambda o: F.element_at("f.by_event", o))
+    out = rows.select("cell", "source", "f.phase", "f.k", "f.pct", "f.wetter_frac", "f.std", F.coalesce("f.n", F.lit(0)).cast("bigint").alias("n"), *([vector.alias("events")] if with_vectors else []))
     return out.withColumn("recent", F.slice("events", F.greatest(F.size("events") - 2, F.lit(1)), F.lit(3))) if with_vectors else out
 
 

@@ -199,6 +199,16 @@ def s2(t):
     return m.select(F.array_join("keys", ",").alias("keys"), "count", "built", F.array_join("sources", ",").alias("sources"))
 
 
+@query(
+    "s2_manifest_pages",
+    """SELECT CAST((r - 1) // 500 AS BIGINT) AS page, min(key) AS first, max(key) AS last, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS count, string_agg(key, ',' ORDER BY key) AS keys
+    FROM (SELECT key, n, row_number() OVER (ORDER BY key) AS r FROM (SELECT c_name AS key, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1)) GROUP BY 1""",
+)
+def s2_pages(t):
+    rows = t.orders.select(F.col("o_custkey").alias("c_custkey")).join(t.customer.select("c_custkey", "c_name"), "c_custkey")
+    return sinks.manifest_pages(rows, "c_name", scratch_dir(t.spark, "manifest"), page_size=500).withColumn("keys", F.array_join("keys", ","))
+
+
 @query("s3_gated_publication", "SELECT p_partkey AS id, p_size AS size FROM part")
 def s3(t):
     """A good build, then one that its gate refuses: the good one stays current."""

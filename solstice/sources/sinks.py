@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solstice.sources.readers import path_exists
@@ -76,6 +76,24 @@ def manifest(rows: DataFrame, key: str, built: str, sources: Sequence[str]) -> D
     )
 
 
+def manifest_pages(rows: DataFrame, key: str, staging: str, page_size: int = 10_000) -> DataFrame:
+    """``page, first, last, n_keys, count, keys``: the sorted distinct keys in pages of ``page_size``, for any number of keys.
+
+    Without ``keys`` the rows are the root, which says where to look. Keys are dealt into ranges and sorted there, written to
+    ``staging`` once, and numbered by the sizes of the ranges before; no task holds more than a range or a page.
+    """
+    spark = rows.sparkSession
+    names = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+    names.repartitionByRange("key").sortWithinPartitions("key").withColumn("_at", F.monotonically_increasing_id()).write.parquet(staging)
+    placed = spark.read.schema(names.schema.add("_at", "long")).parquet(staging).withColumn("_range", F.shiftright("_at", 33))
+    # one row per range
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
+    page = F.floor((F.col("_before") + F.col("_at").bitwiseAND(2**33 - 1)) / page_size)
+    paged = placed.join(before, "_range").select(page.alias("page"), "key", "n").groupBy("page")
+    return paged.agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n_keys"), F.sum("n").alias("count"), F.array_sort(F.collect_list("key")).alias("keys"))
+
+
 def size_report(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.max(F.octet_length(doc)).cast("bigint").alias("largest"), F.sum(F.octet_length(doc)).alias("total"))
 

@@ -180,3 +180,15 @@ def test_ended_storms_leave_the_state_and_late_fixes_count(spark, scratch):
         got = {r.sid: (r.glon, r.max_wind) for r in refresh.storm_state(spark, folder).collect()}
         assert got["a"] == (125.0, 100.0) and len(got) == 4
         assert {tuple(r) for r in refresh.storm_cells(spark, folder).collect()} == {tuple(r) for r in tracks.storm_cells(whole.unionByName(made[4])).collect()}
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_manifest_pages_cover_the_sorted_keys(spark, scratch, size):
+    keys = [f"k{i * 37 % 101:03d}" for i in range(300)]
+    df = spark.createDataFrame([(k,) for k in [*keys, None]], "k STRING").repartition(6)
+    pages = {r.page: r for r in sinks.manifest_pages(df, "k", f"{scratch}/pages", page_size=size).collect()}
+    want = sorted(set(keys))
+    assert sorted(pages) == list(range(-(-len(want) // size)))
+    assert [k for p in sorted(pages) for k in pages[p]["keys"]] == want
+    assert all(r.n_keys <= size and r.first == r["keys"][0] and r.last == r["keys"][-1] for r in pages.values()) and sum(r["count"] for r in pages.values()) == 300
+    assert sinks.manifest_pages(df.limit(0), "k", f"{scratch}/none", page_size=size).count() == 0
