@@ -1,5 +1,6 @@
 """Place index build."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from solstice.functions.text import norm_text
@@ -112,6 +113,22 @@ def g8(t):
     return op.shard_payloads(op.assign_shards(op.search_keys(t.place, alternates(t)), max_rows=500), t.place, max_rows=500)
 
 
+@query(
+    "g8_payload_document_rows",
+    f"""WITH k AS (SELECT * FROM ({KEY_SQL})), c AS (SELECT k, id, d, p, count(*) OVER (PARTITION BY d, p) AS n FROM (SELECT k, id, d, regexp_replace(k[1:d], '\\s', '_', 'g') AS p FROM k, range(2, 10) r(d))),
+    sh AS (SELECT k, id, arg_min(p, d) AS shard FROM c WHERE n <= 500 OR d = 9 GROUP BY 1, 2)
+    SELECT shard, k, sh.id, name, cc, pop, true AS in_order FROM sh JOIN v_place p ON p.id = sh.id""",
+)
+def g8_rows(t):
+    """The written documents read back: every key under its shard, and whether its document lists larger places first."""
+    schema = "p MAP<STRING, STRUCT<name: STRING, cc: STRING, pop: BIGINT>>, k ARRAY<STRUCT<k: STRING, id: BIGINT>>"
+    docs = g8(t).select("shard", "part", F.from_json("doc", schema).alias("d"))
+    entries = F.transform("d.k", lambda e: F.struct(e["k"].alias("k"), e["id"].alias("id"), F.element_at("d.p", e["id"].cast("string")).alias("pl")))
+    rows = docs.select("shard", "part", F.posexplode(entries).alias("at", "e")).select("shard", "part", "e.k", "e.id", "e.pl.name", "e.pl.cc", "e.pl.pop", "at")
+    larger = F.lag("pop").over(Window.partitionBy("shard", "part").orderBy("at"))
+    return rows.withColumn("in_order", F.coalesce(larger >= F.col("pop"), F.lit(True))).drop("at", "part")
+
+
 @query("g9_major_places", f"SELECT k[1:1] AS top_shard, k, id, pop FROM (SELECT DISTINCT {norm_sql('name')} AS k, id, pop FROM v_place WHERE pop >= 100000)")
 def g9(t):
     return op.major_places(t.place).select("top_shard", "k", "id", "pop")

@@ -55,10 +55,9 @@ def e3(t):
 
 @query(
     "e4_land_flag",
-    f"""WITH g AS (SELECT row_number() OVER () AS id, lat, lon, cell_id FROM v_grid),
-    inp AS (SELECT DISTINCT cell_id FROM (SELECT p.cell_id, e.poly_id FROM v_grid p JOIN v_edge e ON {CROSS} GROUP BY 1, 2 HAVING count(*) % 2 = 1)),
-    cov AS (SELECT DISTINCT {s.cell()} AS cell_id FROM v_point WHERE w > 0)
-    SELECT cell_id, cell_id IN (SELECT cell_id FROM inp) OR cell_id IN (SELECT cell_id FROM cov) AS on_land FROM v_grid""",
+    f"""WITH inp AS MATERIALIZED (SELECT DISTINCT cell_id FROM (SELECT p.cell_id, e.poly_id FROM v_grid p JOIN v_edge e ON {CROSS} GROUP BY 1, 2 HAVING count(*) % 2 = 1)),
+    cov AS MATERIALIZED (SELECT DISTINCT {s.cell()} AS cell_id FROM v_point WHERE w > 0)
+    SELECT g.cell_id, inp.cell_id IS NOT NULL OR cov.cell_id IS NOT NULL AS on_land FROM v_grid g LEFT JOIN inp ON inp.cell_id = g.cell_id LEFT JOIN cov ON cov.cell_id = g.cell_id""",
 )
 def e4(t):
     cells = g.target_grid(t.spark)
