@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from solstice.functions import grid as g
 from solstice.functions.joins import dim_join
 from solstice.operators import cube as op
+from solstice.operators import running
 from solstice.plans import sqltext as s
 from solstice.plans.registry import query
+from solstice.sources.scratch import scratch_dir
 
 BASE = (1996, 2000)
 # Analysed events per phase (ordinal, phase, July-June anchor year).
@@ -165,6 +167,17 @@ def d9(t):
     return rounded(op.composite(anomalies(t), ("cell", "source", "phase", "k"), digits=None), "pct", "wetter_frac", "std")
 
 
+@query("d9_running_composite", fact_sql(anomaly_sql()).replace(f" JOIN ({CHOICE}) c ON c.cell = a.cell AND c.source = a.source", ""))
+def d9_running(t):
+    """The same composites from sums to which the last months were added one after the other."""
+    root, months = scratch_dir(t.spark, "running"), op.event_months(t.spark, event_rows(t))
+    at = F.col("year") * 12 + F.col("month") - 2000 * 12
+    for i, cut in enumerate((at <= 10, at == 11, at >= 12)):
+        running.add_months(t.cube.where(cut), root, months, *BASE, run_id=f"{i:04d}", n_parts=8)
+    found = op.composite(running.anomalies(t.spark, root), ("cell", "source", "phase", "k"), digits=None)
+    return rounded(found, "pct", "wetter_frac", "std")
+
+
 VECTOR = f"""SELECT g.source, g.cell, g.phase, g.k, string_agg(coalesce(CAST(CAST(round_even(a.pct, 0) AS INT) AS VARCHAR), '-'), ',' ORDER BY e.ord) AS events,
   string_agg(coalesce(CAST(CAST(round_even(a.pct, 0) AS INT) AS VARCHAR), '-'), ',' ORDER BY e.ord) FILTER (e.ord > 3 - 3) AS recent
   FROM (SELECT DISTINCT source, cell, phase, k FROM ({anomaly_sql()})) g JOIN v_event e ON e.phase = g.phase
