@@ -37,11 +37,14 @@ def _add(spark: SparkSession, root: str, sums: DataFrame, keys: Sequence[str], r
     now = keyed.state(spark, root)
     if now is not None and now.run_id >= run_id:
         return
+    # the sums are used several times; the months behind them are read once
+    sums = sums.persist()
     rows = sums
     if now is not None:
         # rows that stand are read for the keys that arrive only
         rows = sums.unionByName(keyed.read(spark, root).join(sums.select(*keys), list(keys), "left_semi"))
     keyed.upsert(rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s")), root, keys, n_parts=n_parts, run_id=run_id)
+    sums.unpersist()
 
 
 def add_months(cube: DataFrame, root: str, event_month: DataFrame, first_year: int, last_year: int, run_id: str, n_parts: int = 64) -> None:
