@@ -32,6 +32,11 @@ def _placed(points: DataFrame, size: float = BUCKET) -> DataFrame:
     return points.withColumns({"_bi": _bucket(F.col("lat"), -90, size), "_bj": _bucket(F.col("lon"), -180, size)})
 
 
+def _finite(points: DataFrame) -> DataFrame:
+    """Points without a place, or at infinity, are in no polygon."""
+    return points.where((F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf")))
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame, point_keys: Sequence[str], region: str = "region_id") -> DataFrame:
     """One row per point and region whose boxes hold the point (all four sides inclusive)."""
     cells = _covered(boxes.select(region, "lat0", "lat1", "lon0", "lon1"))
@@ -72,22 +77,119 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_keys: Sequence
     """
     keys = list(point_keys)
     # rows with equal keys and place are one point, or their crossings would add up
-    points = points.select(*keys, "lat", "lon").distinct()
-    frame = edges.groupBy("poly_id").agg(
-        F.min(F.least("y1", "y2")).alias("lat0"), F.max(F.greatest("y1", "y2")).alias("lat1"),
-        F.min(F.least("x1", "x2")).alias("lon0"), F.max(F.greatest("x1", "x2")).alias("lon1"),
-    )
+    points = _finite(points.select(*keys, "lat", "lon")).distinct()
+    frame = _frames(edges)
     candidates = dim_join(_placed(points.select(*keys, "lat", "lon")), _covered(frame), ["_bi", "_bj"]).where(
         F.col("lat").between(F.col("lat0"), F.col("lat1")) & F.col("lon").between(F.col("lon0"), F.col("lon1"))
     )
+    return _odd_crossings(candidates, edges, keys, band).select(*keys, "poly_id").distinct()
+
+
+def _frames(edges: DataFrame) -> DataFrame:
+    """``poly_id, lat0, lat1, lon0, lon1``: the rectangle round the sides of each polygon."""
+    return edges.groupBy("poly_id").agg(
+        F.min(F.least("y1", "y2")).alias("lat0"), F.max(F.greatest("y1", "y2")).alias("lat1"),
+        F.min(F.least("x1", "x2")).alias("lon0"), F.max(F.greatest("x1", "x2")).alias("lon1"),
+    )
+
+
+def _odd_crossings(candidates: DataFrame, edges: DataFrame, keys: Sequence[str], band: float) -> DataFrame:
+    """Those of ``keys, lat, lon, poly_id`` with an odd number of the polygon's sides to their east."""
     candidates = candidates.select(*keys, "lat", "lon", "poly_id", F.floor(F.col("lat") / band).cast("int").alias("_band"))
     bands = F.sequence(F.floor(F.least("y1", "y2") / band).cast("int"), F.floor(F.greatest("y1", "y2") / band).cast("int"))
     sides = edges.where("y1 <> y2").select("poly_id", "x1", "y1", "x2", "y2", F.explode(bands).alias("_band"))
     spans = (F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))
     crossing_lon = (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     met = dim_join(candidates, sides, ["poly_id", "_band"]).where(spans & (F.col("lon") < crossing_lon))
-    odd = met.groupBy(*keys, "lat", "lon", "poly_id").agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1)
-    return odd.select(*keys, "poly_id").distinct()
+    return met.groupBy(*keys, "lat", "lon", "poly_id").agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1)
+
+
+# Cell sizes of a cover in degrees, coarse to fine; each is a whole multiple of the next.
+COVER_SIZES = (16.0, 4.0, 1.0)
+# A side this close to a cell counts as touching it, far above the rounding of the crossing test.
+COVER_MARGIN = 1e-6
+
+
+def _touched_cells(edges: DataFrame, size: float) -> DataFrame:
+    """``poly_id, ci, cj`` of the cells that a side touches; a side is followed row by row, so a long one has as many cells as it is long."""
+    x0, x1, y0, y1 = F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")
+    m = F.lit(COVER_MARGIN)
+    rows = edges.select(
+        "poly_id", "x1", "y1", "x2", "y2", x0.alias("w"), x1.alias("e"), y0.alias("s"), y1.alias("n"),
+        F.explode(F.sequence(_bucket(y0 - m, -90, size), _bucket(y1 + m, -90, size))).alias("ci"),
+    )
+
+    def lon_at(lat: Column) -> Column:
+        return F.col("x1") + (F.col("x2") - F.col("x1")) * ((lat - F.col("y1")) / (F.col("y2") - F.col("y1")))
+
+    bottom = F.greatest(F.col("ci") * size - 90 - m, F.col("s"))
+    top = F.least((F.col("ci") + 1) * size - 90 + m, F.col("n"))
+    sloped = F.col("y1") != F.col("y2")
+    west = F.when(sloped, F.greatest("w", F.least(lon_at(bottom), lon_at(top)))).otherwise(F.col("w"))
+    east = F.when(sloped, F.least("e", F.greatest(lon_at(bottom), lon_at(top)))).otherwise(F.col("e"))
+    cols = F.sequence(_bucket(west - m, -180, size), _bucket(east + m, -180, size))
+    return rows.select("poly_id", "ci", F.explode(cols).alias("cj")).distinct()
+
+
+def polygon_cover(edges: DataFrame, sizes: Sequence[float] = COVER_SIZES) -> DataFrame:
+    """``poly_id, level, ci, cj, inside, lat0, lat1, lon0, lon1``: cells that cover the polygons, each as large as it can be.
+
+    Cells that no side touches lie wholly inside or wholly outside; their centre tells which, and those outside are left
+    out. Touched cells are cut into those of the next size; touched cells of the last size have ``inside`` false, and
+    points in them need the sides. The number of cells grows with the length of the sides, not with the area. A polygon
+    whose sides do not close (a corner with an odd number of ends, or without a place) gets the coarse cells of its rectangle,
+    with ``inside`` false, so its sides decide everywhere in it; only these have the rectangle's corners. Build the cover once per polygon table and keep it.
+    """
+    edges = edges.select("poly_id", "x1", "y1", "x2", "y2")
+    ends = edges.select("poly_id", F.col("x1").alias("x"), F.col("y1").alias("y")).unionAll(edges.select("poly_id", "x2", "y2"))
+    lost = F.col("x").isNull() | F.col("y").isNull() | F.isnan("x") | F.isnan("y")
+    unclosed = ends.groupBy("poly_id", "x", "y").agg(F.count("*").alias("n")).where((F.col("n") % 2 == 1) | lost).select("poly_id").distinct()
+    closed = edges.join(unclosed, "poly_id", "left_anti")
+    touched = [_touched_cells(closed, sizes[-1])]
+    for size, finer in reversed(list(zip(sizes, sizes[1:]))):
+        cut = round(size / finer)
+        touched.insert(0, touched[0].select("poly_id", F.floor(F.col("ci") / cut).cast("int").alias("ci"), F.floor(F.col("cj") / cut).cast("int").alias("cj")).distinct())
+
+    def rectangles(sides: DataFrame) -> DataFrame:
+        return _covered(_frames(sides), sizes[0]).withColumnsRenamed({"_bi": "ci", "_bj": "cj"})
+
+    whole = None
+    for level, size in enumerate(sizes):
+        if level == 0:
+            cells = rectangles(closed).select("poly_id", "ci", "cj")
+        else:
+            cut = round(sizes[level - 1] / size)
+            steps = F.sequence(F.lit(0), F.lit(cut - 1))
+            cells = touched[level - 1].withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps))
+            cells = cells.select("poly_id", (F.col("ci") * cut + F.col("di")).alias("ci"), (F.col("cj") * cut + F.col("dj")).alias("cj"))
+        free = cells.join(touched[level], ["poly_id", "ci", "cj"], "left_anti").select(
+            "poly_id", F.lit(level).alias("level"), "ci", "cj", ((F.col("ci") + 0.5) * size - 90).alias("lat"), ((F.col("cj") + 0.5) * size - 180).alias("lon")
+        )
+        whole = free if whole is None else whole.unionAll(free)
+    columns, corners = ["poly_id", "level", "ci", "cj"], ["lat0", "lat1", "lon0", "lon1"]
+    nowhere = [F.lit(None).cast("double").alias(c) for c in corners]
+    within = _odd_crossings(whole, closed, ["level", "ci", "cj"], sizes[-1]).select(*columns, F.lit(True).alias("inside"), *nowhere)
+    edge = touched[-1].select("poly_id", F.lit(len(sizes) - 1).alias("level"), "ci", "cj", F.lit(False).alias("inside"), *nowhere)
+    rest = rectangles(edges.join(unclosed, "poly_id", "left_semi")).select("poly_id", F.lit(0).alias("level"), "ci", "cj", F.lit(False).alias("inside"), *corners)
+    return within.unionAll(edge).unionAll(rest)
+
+
+def points_in_cover(points: DataFrame, cover: DataFrame, edges: DataFrame, point_keys: Sequence[str], sizes: Sequence[float] = COVER_SIZES) -> DataFrame:
+    """``points_in_polygons`` by way of a ``polygon_cover`` of the same sides: points in inside cells meet no side at all."""
+    keys = list(point_keys)
+    found = cover_matches(points, cover, keys, sizes)
+    sure = found.where("inside").select(*keys, "poly_id")
+    tested = _odd_crossings(found.where("NOT inside"), edges, keys, sizes[-1]).select(*keys, "poly_id")
+    return sure.unionAll(tested).distinct()
+
+
+def cover_matches(points: DataFrame, cover: DataFrame, point_keys: Sequence[str], sizes: Sequence[float] = COVER_SIZES) -> DataFrame:
+    """``point keys, lat, lon, poly_id, inside`` for every cell of the cover that holds a point: one look-up per size."""
+    cells = F.array(*[F.struct(F.lit(k).alias("level"), _bucket(F.col("lat"), -90, size).alias("ci"), _bucket(F.col("lon"), -180, size).alias("cj")) for k, size in enumerate(sizes)])
+    placed = _finite(points.select(*point_keys, "lat", "lon")).distinct().withColumn("_c", F.explode(cells)).select(*point_keys, "lat", "lon", "_c.level", "_c.ci", "_c.cj")
+    near = F.col("lat").between(F.col("lat0"), F.col("lat1")) & F.col("lon").between(F.col("lon0"), F.col("lon1"))
+    met = dim_join(placed, cover, ["level", "ci", "cj"]).where(F.col("lat0").isNull() | near)
+    return met.select(*point_keys, "lat", "lon", "poly_id", "inside")
 
 
 def first_polygon(hits: DataFrame, attributes: DataFrame, point_keys: Sequence[str]) -> DataFrame:

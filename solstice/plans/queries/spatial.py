@@ -6,6 +6,7 @@ from solstice.functions import grid as g
 from solstice.operators import gazetteer, spatial
 from solstice.plans import sqltext as s
 from solstice.plans.registry import query
+from solstice.sources.scratch import stored
 
 CROSS = "(e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1"
 HITS_SQL = f"SELECT p.id, e.poly_id, any_value(e.category) AS category FROM v_point p JOIN v_edge e ON {CROSS} GROUP BY 1, 2 HAVING count(*) % 2 = 1"
@@ -29,6 +30,12 @@ def e1(t):
     return spatial.first_polygon(hits(t), attributes, ["id"])
 
 
+@query("e1_polygon_cover_hits", f"SELECT id, poly_id FROM ({HITS_SQL})")
+def e1_cover(t):
+    """The same hits by way of a cover that is built once and kept."""
+    return spatial.points_in_cover(t.point, stored(spatial.polygon_cover(t.edge), "polygon-cover"), t.edge, ["id"])
+
+
 @query("e2_point_in_polygon_max_category", f"SELECT id, max(category) AS category FROM ({HITS_SQL.replace('GROUP BY', 'WHERE p.lat BETWEEN -60 AND 72 AND p.lon BETWEEN -180 AND 64 GROUP BY')}) GROUP BY 1")
 def e2(t):
     window = t.point.where(F.col("lat").between(-60, 72) & F.col("lon").between(-180, 64))
