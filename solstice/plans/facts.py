@@ -6,7 +6,8 @@ per place; the places themselves are shuffled only for layers that are keyed by
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,15 @@ class Provenance:
     retrieved_at: str | None = None
 
 
+@dataclass
+class Profiles:
+    """Everything known about a cell, a country, and a region in a phase, one row each."""
+
+    cells: DataFrame  # cell_id, _history, and the columns of the layers per cell
+    countries: DataFrame  # cc, service, crops, maps of local season by region and of added hazards by phase
+    regions: DataFrame  # region_id, phase, the signal, the region's sources
+
+
 @dataclass
 class FactInputs:
     """Tables of the facts job. Optional layers may be None; their fields are then null."""
@@ -57,9 +67,85 @@ class FactInputs:
     cyclone_years: tuple[int, int] | None = None  # strong warm years, neutral years
     cyclone_period: str = "1980-2025"
     source_names: DataFrame | None = None  # id, label, url of the regions' own sources
+    profiles: Profiles | None = None  # made by with_profiles; stand in for the layers keyed by cell, country and region
     provenance: dict[str, Provenance] = field(default_factory=dict)  # history source name or layer name
 
 
+SKILL = {"correlation": "double", "roc": "double"}
+RAIN = {"recent_rain_pct": "double"}
+DROUGHT = {"usdm": "int"}
+STORMS = {"en_rate": "double", "neutral_rate": "double"}
+CROPS = {"crops": "array<struct<rank:int,fewer:bigint,name:string,crop:string,sowing:array<int>,harvest:array<int>,all_year:boolean>>"}
+HISTORY = ("_src", "_pct", "_wet", "_std", "_n", "_events")
+
+
+def _one_row(key: str, layers: dict[str, tuple[DataFrame | None, dict[str, str]]]) -> DataFrame:
+    """Layers with one row per key side by side, in one exchange; absent layers and missing rows give nulls."""
+    present = {name: df.select(key, F.struct(*columns).alias(name)) for name, (df, columns) in layers.items() if df is not None}
+    rows = None
+    for df in present.values():
+        rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+    merged = rows.groupBy(key).agg(*[F.any_value(name, True).alias(name) for name in present])
+    columns = [(F.col(f"{name}.{c}") if name in present else F.lit(None)).cast(kind).alias(c) for name, (_, kinds) in layers.items() for c, kind in kinds.items()]
+    return merged.select(key, *columns)
+
+
+def build_profiles(x: FactInputs) -> Profiles:
+    """The layers of the facts job gathered per cell, country, and region and phase.
+
+    Every layer has one row per key, as for the joins they replace; a cell has one history entry per phase and season.
+    """
+    item = _history_rows(x)
+    entry = item.groupBy("cell_id").agg(F.collect_list(F.struct("_phase", "k", *HISTORY)).alias("_history"))
+    cells = _one_row("cell_id", {
+        "_h": (entry, {"_history": entry.schema["_history"].dataType}), "_skill": (x.skill, SKILL), "_rain": (x.recent_rain, RAIN),
+        "_drought": (x.drought, DROUGHT), "_storms": (x.cyclones, STORMS),
+    })
+    seasons = None if x.country_seasons is None else _by_country(x.country_seasons, "region_id", "local_season", "_seasons")
+    hazards = None if x.country_hazards is None else _by_country(x.country_hazards, "phase", "hazards_add", "_added")
+    crops = None if x.crops is None else x.crops.select(F.col("iso2").alias("cc"), "crops")
+    region = x.region_phases.schema["region_id"].dataType.simpleString()
+    countries = _one_row("cc", {
+        "_service": (_services(x), {"_service": "string", "_service_url": "string"}), "_crops": (crops, CROPS),
+        "_seasons": (seasons, {"_seasons": f"map<{region},string>"}), "_added": (hazards, {"_added": "map<string,array<string>>"}),
+    })
+    return Profiles(cells, countries, _signals(x).join(_region_sources(x), "region_id", "left"))
+
+
+def with_profiles(x: FactInputs, store: Callable[[DataFrame, str], DataFrame]) -> FactInputs:
+    """Inputs whose layers are profile tables, written and read by ``store(table, name)``.
+
+    Written once, the profiles serve every later run of the facts job: a run plans a few joins to stored tables and not the jobs
+    that made the layers.
+    """
+    made = build_profiles(x)
+    return replace(x, profiles=Profiles(store(made.cells, "cells"), store(made.countries, "countries"), store(made.regions, "regions")))
+
+
+def _by_country(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """A short map per country (regions of a country, or phases)."""
+    return rows.groupBy("cc").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+
+
+def _services(x: FactInputs) -> DataFrame:
+    return x.services.select("cc", F.col("name").alias("_service"), F.col("url").alias("_service_url"))
+
+
+def _signals(x: FactInputs) -> DataFrame:
+    return x.region_phases.withColumn("has_signal", F.lit(True))
+
+
+def _region_sources(x: FactInputs) -> DataFrame:
+    return x.regions.select("region_id", F.col("sources").alias("region_sources")).join(_own_sources(x), "region_id", "left")
+
+
+def _history_rows(x: FactInputs) -> DataFrame:
+    return x.composites.select(
+        "cell_id", F.col("phase").alias("_phase"), "k", F.col("source").alias("_src"), F.col("pct").alias("_pct"),
+        F.col("wetter_frac").alias("_wet"), F.col("std").alias("_std"), F.col("n").cast("int").alias("_n"), F.col("events").alias("_events"),
+    )
+
+
 def _optional(df: DataFrame, layer: DataFrame | None, on, **nulls: str) -> DataFrame:
     """Left join a layer, or add its columns as nulls when the layer is absent.
 
@@ -87,23 +173,27 @@ def build_facts(x: FactInputs) -> DataFrame:
         }
     )
     # signal of the active phase
-    signal = x.region_phases.withColumn("has_signal", F.lit(True))
-    df = dim_join(df, signal, ["region_id", "phase"], "left")
-    region_sources = x.regions.select("region_id", F.col("sources").alias("region_sources")).join(_own_sources(x), "region_id", "left")
-    df = dim_join(df, region_sources, "region_id", "left")
+    p = x.profiles
+    if p:
+        df = dim_join(df, p.regions, ["region_id", "phase"], "left")
+        df = dim_join(df.join(p.cells, "cell_id", "left"), p.countries, "cc", "left", bounded=True)
+    else:
+        df = dim_join(df, _signals(x), ["region_id", "phase"], "left")
+        df = dim_join(df, _region_sources(x), "region_id", "left")
     df = df.withColumn("has_signal", F.coalesce("has_signal", F.lit(False)))
     months = F.when(F.col("has_signal"), cal.parse_season(F.col("season"))).otherwise(F.array().cast("array<int>"))
     df = df.withColumns({"months": months, "sign": F.when(F.col("has_signal"), rules.rain_sign(F.col("rain"))).otherwise(0)})
     df = df.withColumns({"timing": cal.season_timing(F.col("months"), now), "k": cal.season_index(F.col("months")).cast("int")})
     # history of the cell in that phase and season
     short = F.when(F.col("phase") == "el_nino", "en").when(F.col("phase") == "la_nina", "ln")
-    history_rows = x.composites.select(
-        "cell_id", F.col("phase").alias("_phase"), "k", F.col("source").alias("_src"), F.col("pct").alias("_pct"),
-        F.col("wetter_frac").alias("_wet"), F.col("std").alias("_std"), F.col("n").cast("int").alias("_n"), F.col("events").alias("_events"),
-    )
-    # the composites may be a whole job of their own, so their size is left to the adaptive planner,
-    # which broadcasts them or splits the tasks of a cell with very many places
-    df = df.withColumn("_phase", short).join(history_rows, ["cell_id", "_phase", "k"], "left")
+    df = df.withColumn("_phase", short)
+    if p:
+        entry = F.get(F.filter("_history", lambda h: (h["_phase"] == F.col("_phase")) & (h["k"] == F.col("k"))), F.lit(0))
+        df = df.withColumn("_entry", entry).withColumns({c: F.col(f"_entry.{c}") for c in HISTORY})
+    else:
+        # the composites may be a whole job of their own, so their size is left to the adaptive planner,
+        # which broadcasts them or splits the tasks of a cell with very many places
+        df = df.join(_history_rows(x), ["cell_id", "_phase", "k"], "left")
     df = df.join(F.broadcast(x.event_labels.select(F.col("phase").alias("_phase"), F.col("labels").alias("_labels"))), "_phase", "left")
     season = F.get(cal.season_names(), F.col("k"))
     df = df.withColumn(
@@ -127,7 +217,8 @@ def build_facts(x: FactInputs) -> DataFrame:
         }
     )
     # confidence
-    df = _optional(df, x.skill, "cell_id", correlation="double", roc="double")
+    if not p:
+        df = _optional(df, x.skill, "cell_id", **SKILL)
     has_forecast = F.col("_forecast").isNotNull()
     df = df.withColumns(
         {
@@ -148,24 +239,23 @@ def build_facts(x: FactInputs) -> DataFrame:
     clash = F.when((F.col("forecast_agreement") == "disagree") & F.col("rule_confidence").isNotNull(), rules.disagreement(F.col("skill")))
     df = df.withColumns({"final_confidence": merged, "disagreement": clash})
     # current conditions, hazards, steps, service, farming, storms
-    df = _optional(df, x.recent_rain, "cell_id", recent_rain_pct="double")
-    df = _optional(df, x.drought, "cell_id", usdm="int")
+    if not p:
+        df = _optional(df, x.recent_rain, "cell_id", **RAIN)
+        df = _optional(df, x.drought, "cell_id", **DROUGHT)
     df = df.withColumn("conditions", rules.conditions(F.col("recent_rain_pct"), F.col("usdm")))
-    added = None if x.country_hazards is None else x.country_hazards.withColumnRenamed("phase", "_add_phase")
     # outside a warm phase the additions of the cold phase apply
     df = df.withColumn("_add_phase", F.when(F.col("phase") == "el_nino", "el_nino").otherwise("la_nina"))
-    df = _optional(df, added, ["cc", "_add_phase"], hazards_add="array<string>")
+    if p:
+        df = df.withColumns({"hazards_add": F.try_element_at("_added", F.col("_add_phase")), "local_season": F.try_element_at("_seasons", F.col("region_id"))})
+    else:
+        df = _country_layers(df, x)
     df = df.withColumn("hazards", F.when(F.col("has_signal"), rules.hazard_list(F.col("hazards"), F.col("hazards_add"))).otherwise(
         rules.hazard_list(F.lit(None).cast("array<string>"), F.col("hazards_add"))))
     df = rules.with_steps(df, x.steps)
-    services = x.services.select("cc", F.col("name").alias("_service"), F.col("url").alias("_service_url"))
-    df = dim_join(df, services, "cc", "left", bounded=True)
-    df = _optional(df, x.country_seasons, ["cc", "region_id"], local_season="string")
-    farming = None if x.crops is None else x.crops.select(F.col("iso2").alias("cc"), "crops")
-    df = _optional(df, farming, "cc", crops="array<struct<rank:int,fewer:bigint,name:string,crop:string,sowing:array<int>,harvest:array<int>,all_year:boolean>>")
     grows = ((F.col("livelihood") == "farmer") | crop_ops.is_rural(F.col("pop"))) & F.col("has_signal")
     df = df.withColumn("farmer", F.when(grows, crop_ops.farming_context(F.col("crops"), F.col("months"), F.col("sign"))))
-    df = _optional(df, x.cyclones, "cell_id", en_rate="double", neutral_rate="double")
+    if not p:
+        df = _optional(df, x.cyclones, "cell_id", **STORMS)
     years = x.cyclone_years or (None, None)
     storms = F.struct(
         F.col("en_rate"), F.col("neutral_rate"), F.lit(years[0]).cast("int").alias("en_years"), F.lit(years[1]).cast("int").alias("neutral_years"),
@@ -175,6 +265,14 @@ def build_facts(x: FactInputs) -> DataFrame:
     return _row(df, x)
 
 
+def _country_layers(df: DataFrame, x: FactInputs) -> DataFrame:
+    added = None if x.country_hazards is None else x.country_hazards.withColumnRenamed("phase", "_add_phase")
+    df = _optional(df, added, ["cc", "_add_phase"], hazards_add="array<string>")
+    df = dim_join(df, _services(x), "cc", "left", bounded=True)
+    df = _optional(df, x.country_seasons, ["cc", "region_id"], local_season="string")
+    return _optional(df, None if x.crops is None else x.crops.select(F.col("iso2").alias("cc"), "crops"), "cc", **CROPS)
+
+
 def _row(df: DataFrame, x: FactInputs) -> DataFrame:
     has = F.col("has_signal")
     forecast = F.when(

@@ -8,12 +8,13 @@ from solstice.functions.joins import dim_join
 from solstice.operators import crops as crop_ops
 from solstice.operators import cube, rules as op, spatial, tracks
 from solstice.plans import sqltext as s
-from solstice.plans.facts import FactInputs, Provenance, build_facts
+from solstice.plans.facts import FactInputs, Provenance, build_facts, with_profiles
 from solstice.plans.queries import crops as crop_q
 from solstice.plans.queries import cube as cube_q
 from solstice.plans.queries import tracks as track_q
 from solstice.plans.queries.spatial import REGIONS_SQL, snap_sql
 from solstice.plans.registry import query
+from solstice.sources.scratch import stored
 
 SIGN = "CASE WHEN regexp_matches(rain, '(?i)wetter') THEN 1 WHEN regexp_matches(rain, '(?i)drier') THEN -1 ELSE 0 END"
 
@@ -361,15 +362,25 @@ def r19(t):
     return found.select("place_id", F.array_join(names, ",").alias("other_regions")).where("other_regions <> ''")
 
 
-@query(
-    "r20_facts_row",
-    f"""{JOINED} SELECT b.id AS place_id, cell_id, on_land, region_id, state AS timing, agree AS agreement, pct AS composite_pct, fpct AS forecast_pct, fagree AS forecast_agreement, skill AS skill_class, template,
+FACTS_SQL = f"""{JOINED} SELECT b.id AS place_id, cell_id, on_land, region_id, state AS timing, agree AS agreement, pct AS composite_pct, fpct AS forecast_pct, fagree AS forecast_agreement, skill AS skill_class, template,
     CASE WHEN fagree = 'disagree' AND rule_confidence IS NOT NULL THEN {CLASH} END AS disagreement, CASE WHEN rain IS NULL THEN 'uncertain' ELSE {MERGED} END AS confidence, rr AS recent_rain_pct, usdm, s.steps,
-    coalesce('Service ' || n.n_name, 'World directory of weather services') AS service FROM b LEFT JOIN ({STEPS_FOR}) s ON s.id = b.id LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 4) n ON n.n_nationkey = b.nk""",
-)
-def r20(t):
-    return facts(t).select(
+    coalesce('Service ' || n.n_name, 'World directory of weather services') AS service FROM b LEFT JOIN ({STEPS_FOR}) s ON s.id = b.id LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 4) n ON n.n_nationkey = b.nk"""
+
+
+def shown(rows):
+    return rows.select(
         "place_id", "place.cell_id", "place.on_land", F.col("region.id").alias("region_id"), F.coalesce("signal.timing.state", F.lit("unknown")).alias("timing"), "agreement", "history.composite_pct",
         F.col("forecast.pct").alias("forecast_pct"), "forecast_agreement", "skill_class", "forecast_rule.template", "forecast.disagreement", "confidence",
         "conditions.recent_rain_pct", "conditions.usdm", F.array_join(F.transform("steps", lambda x: x["id"]), ",").alias("steps"), F.col("met_service.name").alias("service"),
     )
+
+
+@query("r20_facts_row", FACTS_SQL)
+def r20(t):
+    return shown(facts(t))
+
+
+@query("r20_facts_from_profiles", FACTS_SQL)
+def r20_profiles(t):
+    """The same rows over stored profiles of cells, countries and regions."""
+    return shown(build_facts(with_profiles(fact_inputs(t), lambda made, name: stored(made, f"profiles-{name}"))))

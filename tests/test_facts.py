@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from solstice.operators import rules
 from solstice.plans import briefing
-from solstice.plans.facts import FactInputs, Provenance, build_facts
+from solstice.plans.facts import FactInputs, Provenance, build_facts, with_profiles
 
 NOW = "2026-09-07"
 
@@ -137,3 +137,31 @@ def test_rule_ladder(spark):
     cases = [(None, 1, None, "none"), (4.0, 1, None, "weak"), (9.0, 1, 20.0, "weak"), (9.0, 1, 0.0, "agree"), (9.0, 0, None, "none"), (-9.0, 1, None, "disagree"), (-9.0, -1, None, "agree")]
     df = spark.createDataFrame(cases, "p DOUBLE, s INT, std DOUBLE, want STRING")
     assert df.where(rules.agreement(F.col("p"), F.col("s"), F.col("std")) != F.col("want")).count() == 0
+
+
+def test_profiles_give_the_same_rows(spark, base, scratch):
+    def df(rows, ddl):
+        return spark.createDataFrame(rows, ddl)
+
+    full = dict(
+        base, forecast=forecast(spark, 1), rules=rules.rule_table(spark),
+        skill=df([("-001.0_+0037.0", 0.6, 0.8), ("+015.0_+0121.0", None, 0.9)], "cell_id STRING, correlation DOUBLE, roc DOUBLE"),
+        recent_rain=df([("-001.0_+0037.0", 60.0)], "cell_id STRING, recent_rain_pct DOUBLE"), drought=df([("+015.0_+0121.0", 2), ("+051.0_+0005.0", 1)], "cell_id STRING, usdm INT"),
+        cyclones=df([("+015.0_+0121.0", 1.5, 2.5)], "cell_id STRING, en_rate DOUBLE, neutral_rate DOUBLE"), cyclone_years=(9, 20),
+        country_seasons=df([("KE", "east-africa", "vuli"), ("KE", "tropics", "masika"), ("PH", "se-asia", "amihan")], "cc STRING, region_id STRING, local_season STRING"),
+        country_hazards=df([("KE", "el_nino", ["RVF"]), ("KE", "la_nina", ["LO"]), ("BE", "la_nina", ["DR"])], "cc STRING, phase STRING, hazards_add ARRAY<STRING>"),
+        source_names=df([("who", "Health", "https://example.org/who")], "id STRING, label STRING, url STRING"),
+    )
+
+    def store(made, name):
+        made.write.mode("overwrite").parquet(f"{scratch}/{name}")
+        return spark.read.schema(made.schema).parquet(f"{scratch}/{name}")
+
+    for given in (full, base):
+        plain = build_facts(FactInputs(**given))
+        by_profile = build_facts(with_profiles(FactInputs(**given), store))
+        assert by_profile.dtypes == plain.dtypes
+        want = sorted(map(repr, plain.collect()))
+        assert len(want) == 5 and sorted(map(repr, by_profile.collect())) == want
+        if given is full:  # the run itself plans only joins to stored tables
+            assert by_profile._jdf.queryExecution().optimizedPlan().toString().count("Join") < plain._jdf.queryExecution().optimizedPlan().toString().count("Join")
