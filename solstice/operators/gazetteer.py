@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from solstice.functions import grid
 from solstice.functions.joins import dim_join
 from solstice.functions.text import norm_text
+from solstice.sources import keyed, sinks
+from solstice.sources.scratch import stored
 
 # Place codes kept, languages of alternate names, index limits.
 PLACE_CODES = "PPL PPLA PPLA2 PPLA3 PPLA4 PPLA5 PPLC PPLCH PPLF PPLG PPLL PPLR PPLS STLMT".split()
@@ -98,14 +100,14 @@ def assign_shards(keys: DataFrame, max_rows: int = MAX_SHARD, max_depth: int = M
     return keys.withColumn("_stem", stem).join(chosen, "_stem").drop("_stem")
 
 
-def shard_payloads(keyed: DataFrame, places: DataFrame, max_rows: int = MAX_SHARD) -> DataFrame:
+def shard_payloads(keys: DataFrame, places: DataFrame, max_rows: int = MAX_SHARD) -> DataFrame:
     """``shard, part, doc``: places once by id and ``[key, id]`` pairs, keys ordered by falling population.
 
     A shard that could not be split below ``max_rows`` is written in several parts, so no group
     grows past that size.
     """
-    sizes = keyed.groupBy("shard").agg(F.ceil(F.count("*") / max_rows).alias("_parts"))
-    parted = keyed.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("k", "id"), F.col("_parts")).cast("int"))
+    sizes = keys.groupBy("shard").agg(F.ceil(F.count("*") / max_rows).alias("_parts"))
+    parted = keys.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("k", "id"), F.col("_parts")).cast("int"))
     full = parted.join(places.select("id", "name", "cc", "a1", "a2", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "pop"), "id")
     row = F.struct((-F.col("pop")).alias("o"), "id", "k", F.struct("name", "cc", "a1", "a2", "lat", "lon", "pop").alias("p"))
     docs = full.groupBy("shard", "part").agg(F.array_sort(F.collect_list(row)).alias("rows"))
@@ -114,6 +116,61 @@ def shard_payloads(keyed: DataFrame, places: DataFrame, max_rows: int = MAX_SHAR
     return docs.select("shard", "part", F.size("rows").alias("n"), F.to_json(F.struct(p.alias("p"), k.alias("k"))).alias("doc"))
 
 
+PAYLOAD = ("name", "cc", "a1", "a2", "lat", "lon", "pop")
+
+
+def shard_digests(keys: DataFrame, places: DataFrame) -> DataFrame:
+    """``shard, n, d1, d2``: number and digest of everything a shard's documents hold, whatever the order of rows.
+
+    Sums of two hashes of every row, added up before the shuffle.
+    """
+    full = keys.select("shard", "k", "id").join(places.select("id", "name", "cc", "a1", "a2", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "pop"), "id")
+    # a null and the empty text have hashes of their own
+    told = [c for name in ("k", "id", *PAYLOAD) for c in (F.col(name).isNull(), F.col(name))]
+    added = [F.sum(F.xxhash64(F.lit(seed), *told).cast("decimal(38,0)")).alias(f"d{seed}") for seed in (1, 2)]
+    return full.groupBy("shard").agg(F.count("*").alias("n"), *added)
+
+
+def changed_shards(now: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``shard, gone``: shards whose digest differs from the one before, new ones, and (gone) those that no key names any more."""
+    if before is None:
+        return now.select("shard", F.lit(False).alias("gone"))
+    left, right = now.alias("a"), before.alias("b")
+    same = F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.d1").eqNullSafe(F.col("b.d1")) & F.col("a.d2").eqNullSafe(F.col("b.d2"))
+    joined = left.join(right, F.col("a.shard") == F.col("b.shard"), "full").where(~same)
+    return joined.select(F.coalesce("a.shard", "b.shard").alias("shard"), F.col("a.shard").isNull().alias("gone"))
+
+
+def update_shards(keys: DataFrame, places: DataFrame, root: str, max_rows: int = MAX_SHARD, n_parts: int = 64, gates: Sequence[sinks.Measure] = ()) -> DataFrame:
+    """Bring the shard documents under ``root`` up to date; returns the shards that were rewritten (``shard, gone``).
+
+    ``keys`` has ``k, id, shard`` of the whole build. Documents are made for changed shards only and put into a keyed table
+    (``shard, part``); the others keep their files but for those that share one of its ``n_parts`` folders with a changed shard. The
+    digests follow the documents, so an update that stopped in between is done again. Documents that ``gates`` refuse change nothing.
+    """
+    spark = keys.sparkSession
+    digests, documents = f"{root}/digests", f"{root}/documents"
+    now = stored(shard_digests(keys, places), "shard-digests")
+    changed = stored(changed_shards(now, keyed.read(spark, digests)), "changed-shards")
+    wanted = keys.join(changed.where("NOT gone").select("shard"), "shard", "left_semi")
+    fresh = stored(shard_payloads(wanted, places, max_rows).withColumn("gone", F.lit(False)), "shard-documents")
+    standing = keyed.read(spark, documents)
+    rows = fresh
+    if standing is not None:
+        # parts of changed shards that the new documents no longer have
+        old = standing.join(changed.select("shard"), "shard", "left_semi").join(fresh.select("shard", "part"), ["shard", "part"], "left_anti")
+        rows = fresh.unionByName(old.withColumn("gone", F.lit(True)))
+    keyed.upsert(rows, documents, ["shard", "part"], gone="gone", n_parts=n_parts, gates=gates)
+    lost = changed.where("gone").select("shard", F.lit(True).alias("gone"))
+    keyed.upsert(now.join(changed.where("NOT gone"), "shard").unionByName(lost, allowMissingColumns=True), digests, ["shard"], gone="gone", n_parts=min(n_parts, 8))
+    return changed
+
+
+def current_documents(spark: SparkSession, root: str) -> DataFrame | None:
+    """``shard, part, n, doc`` as the last update left them."""
+    return keyed.read(spark, f"{root}/documents")
+
+
 def major_places(places: DataFrame, min_pop: int = MAJOR_POP) -> DataFrame:
     """Key rows of the large places with their list, ``top_shard``."""
     big = places.where(F.col("pop") >= min_pop)

@@ -7,6 +7,7 @@ from solstice.functions.text import norm_text
 from solstice.operators import gazetteer as op
 from solstice.plans import sqltext as s
 from solstice.plans.registry import query
+from solstice.sources.scratch import scratch_dir
 
 NORM = "trim(regexp_replace(CASE WHEN regexp_matches(lower(trim({0})), '^[a-z0-9]') THEN regexp_replace(lower({0}), '[^a-z0-9 ]+', ' ', 'g') ELSE lower({0}) END, '\\s+', ' ', 'g'))"
 
@@ -113,6 +114,27 @@ def g8(t):
     return op.shard_payloads(op.assign_shards(op.search_keys(t.place, alternates(t)), max_rows=500), t.place, max_rows=500)
 
 
+def shards_of(keys: str) -> str:
+    return f"""SELECT shard, count(*) AS n FROM (SELECT k, id, arg_min(p, d) AS shard FROM (SELECT k, id, d, p, count(*) OVER (PARTITION BY d, p) AS n
+        FROM (SELECT k, id, d, regexp_replace(k[1:d], '\\s', '_', 'g') AS p FROM ({keys}), range(2, 10) r(d))) WHERE n <= 500 OR d = 9 GROUP BY 1, 2) GROUP BY 1"""
+
+
+NAME_KEY_SQL = f"SELECT DISTINCT {norm_sql('name')} AS k, id FROM v_place WHERE length({norm_sql('name')}) >= 2"
+
+
+@query(
+    "g8_updated_shards",
+    f"""SELECT a.shard, a.n, b.n IS NULL OR b.n <> a.n AS rewritten FROM ({shards_of(KEY_SQL)}) a LEFT JOIN ({shards_of(NAME_KEY_SQL)}) b ON b.shard = a.shard""",
+)
+def g8_updated(t):
+    """A build of all names, updated when the alternate names arrive: the shards of the full build, and which were rewritten."""
+    root = scratch_dir(t.spark, "shards")
+    op.update_shards(op.assign_shards(op.search_keys(t.place), max_rows=500), t.place, root, max_rows=500)
+    changed = op.update_shards(op.assign_shards(op.search_keys(t.place, alternates(t)), max_rows=500), t.place, root, max_rows=500)
+    docs = op.current_documents(t.spark, root).groupBy("shard").agg(F.sum("n").alias("n"))
+    return docs.join(changed.where("NOT gone").select("shard", F.lit(True).alias("r")), "shard", "left").select("shard", "n", F.coalesce("r", F.lit(False)).alias("rewritten"))
+
+
 @query(
     "g8_payload_document_rows",
     f"""WITH k AS (SELECT * FROM ({KEY_SQL})), c AS (SELECT k, id, d, p, count(*) OVER (PARTITION BY d, p) AS n FROM (SELECT k, id, d, regexp_replace(k[1:d], '\\s', '_', 'g') AS p FROM k, range(2, 10) r(d))),
