@@ -56,10 +56,10 @@ def best_buckets(lengths: list[int], counts: list[int], buckets: int) -> list[in
 
 
 def sequences(docs: DataFrame, max_len: int, multiple: int) -> DataFrame:
-    """doc_id, segment, length, padded (length rounded up to `multiple`) of (doc_id, length)."""
+    """doc_id, hash, segment, length, padded (length rounded up to `multiple`) of (doc_id, hash, length)."""
     pieces = F.greatest(F.ceil(F.col("length") / max_len), F.lit(1)).cast("int")
     return (
-        docs.select("doc_id", "length", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("segment"))
+        docs.select("doc_id", "hash", "length", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("segment"))
         .withColumn("length", F.least(F.col("length") - F.col("segment").cast("long") * max_len, F.lit(max_len)))
         .withColumn("padded", (F.ceil(F.col("length") / multiple) * multiple).cast("long"))
     )
@@ -73,7 +73,10 @@ def pack(docs: DataFrame, length: Column | None = None, max_len: int = 2048, mul
     """
     if max_len % multiple or max_len // multiple > 4096:
         raise ValueError("max_len must be a multiple of `multiple`, and at most 4096 times as large")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length")) if length is not None else id_and_text(docs).select("doc_id", F.coalesce(word_length(F.col("text")), F.lit(0)).alias("length"))
+    if length is not None:
+        sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length")).withColumn("hash", F.xxhash64("length"))
+    else:
+        sized = id_and_text(docs).select("doc_id", F.coalesce(word_length(F.col("text")), F.lit(0)).alias("length"), F.xxhash64("text").alias("hash"))
     # Lengths are read four times below, texts once.
     rows = sequences(staged(sized, "lengths"), max_len, multiple)
     histogram = sorted((r["padded"], r["n"]) for r in rows.groupBy("padded").agg(F.count("*").alias("n")).collect() if r["padded"] > 0)
@@ -82,7 +85,8 @@ def pack(docs: DataFrame, length: Column | None = None, max_len: int = 2048, mul
     bucket = F.lit(None).cast("long")
     for end in reversed(ends):
         bucket = F.when(F.col("padded") <= end, F.lit(end).cast("long")).otherwise(bucket)
-    placed = rows.select("doc_id", "segment", "length", F.when(F.col("padded") > 0, bucket).alias("bucket_len"), F.pmod(F.xxhash64("doc_id", "segment"), F.lit(max(1, -(-total // rows_per_piece)))).alias("piece"))
+    # The hash deals the rows of one id, or of none, to many pieces; rows with equal id and text share one.
+    placed = rows.select("doc_id", "segment", "length", F.when(F.col("padded") > 0, bucket).alias("bucket_len"), F.pmod(F.xxhash64("doc_id", "segment", "hash"), F.lit(max(1, -(-total // rows_per_piece)))).alias("piece"))
     full = placed.filter("bucket_len is not null")
     inner = full.withColumn("at", F.row_number().over(Window.partitionBy("bucket_len", "piece").orderBy("doc_id", "segment", "length")) - 1)
     before = full.groupBy("bucket_len", "piece").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("bucket_len").orderBy("piece")) - F.col("n")).drop("n")

@@ -184,3 +184,17 @@ def test_a_rare_language_has_its_reference_whatever_the_others(make_docs):
         texts = [*prose, odd, *["viele andere worte stehen hier " * 60] * more]
         got = {x.doc_id: x for x in divergence.judge(make_docs(texts, ["xx"] * 13 + ["de"] * more)).collect()}
         assert got[12].class_distance is not None and got[12].class_distance > 0.25 and got[0].word_distance < 0.45
+
+
+def test_packing_null_and_repeated_ids(make_docs):
+    texts = ["w " * (1 + i % 90) + str(i) for i in range(400)] + ["same words"] * 30
+    ids = [None if i % 2 else 3 for i in range(430)]
+    rows = length_buckets.pack(make_docs(texts, ids=ids), max_len=64, multiple=8, buckets=3, budget=256, rows_per_piece=10).collect()
+    want = [(i, s, min(64, n - 64 * s)) for i, t in zip(ids, texts) for n in [len(t.split()) + 1] for s in range(-(-n // 64))]
+    assert sorted(((r.doc_id, r.segment, r.length) for r in rows), key=str) == sorted(want, key=str)
+    assert len({(r.bucket_len, r.batch, r.slot) for r in rows}) == len(rows)
+    assert all(r.slot < 256 // r.bucket_len and r.length <= r.bucket_len for r in rows)
+    # slots of a bucket follow each other without gaps
+    for b in {r.bucket_len for r in rows}:
+        at = sorted(r.batch * (256 // b) + r.slot for r in rows if r.bucket_len == b)
+        assert at == list(range(len(at)))
