@@ -201,7 +201,9 @@ def _write(tokenizer: str, end_id: int, segment: int, batches: Iterator[pa.Recor
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, segment: int = 1 << 21) -> None:
     """Write the ids of (doc_id, text), an end id after each document, to token files in ascending order of doc_id."""
     rows = id_and_text(docs)
-    ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    # The hash of the text splits the rows of one id, or of none, over ranges.
+    order = F.asc_nulls_first("doc_id"), F.xxhash64("text")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     stored = ordered.mapInArrow(partial(_write, tokenizer, end_id, segment), "part int, at long, n_ids long, segment binary")
     stored.write.option("compression", "uncompressed").parquet(path)
 

@@ -94,3 +94,22 @@ def test_small_segments_and_reading_ids(make_docs, library, spark, tmp_path):
         ids = library.encode(t, add_special_tokens=False).ids + [0]
         assert got[i] == (start, ids)
         start += len(ids)
+
+
+def test_files_of_null_and_repeated_ids(make_docs, library, spark):
+    texts = [f"text {i % 37} " * (i % 5) for i in range(120)]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(120)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many ranges, as on large input
+    try:
+        rows = rans.round_trip(make_docs(texts, ids=ids).repartition(5), PATH).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = []
+    for i, t in zip(ids, texts, strict=True):
+        coded = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, len(coded), zlib.crc32(coded.tobytes())))
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows), key=str) == sorted(want, key=str)
+    # ids ascend with the place in the files, those without one first, and every document starts where the one before ends
+    rows.sort(key=lambda r: r.start)
+    assert [r.doc_id or -1 for r in rows] == sorted(i or -1 for i in ids)
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
