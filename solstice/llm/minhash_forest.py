@@ -1,15 +1,22 @@
 """N-gram Jaccard join by a MinHash LSH forest (operator 2).
 
 Documents are sets of five-word shingles. Equal sets form a class, and only one member of a class goes on. Every tree of
-the forest sorts the classes by a label, a sequence of MinHash values; classes that share a prefix of the label are
-candidates. A long prefix is selective but misses pairs, so it is shortened, value by value, until at the wanted
-similarity the chance that some tree brings a pair together reaches the target recall.
+the forest labels a class by a sequence of MinHash values of eight bits each, packed so that sorted labels are a prefix
+trie: classes that share a prefix stand next to each other.
 
-Candidates are never listed pair by pair. Members of a prefix point at its least member, connected components of these
-stars are small neighbourhoods, each text goes to its own neighbourhood once, and there all pairs are compared exactly
-by their shingles. A neighbourhood of more than `block` classes is cut into blocks, and every two blocks meet in a task
-of their own, so no task holds more than two blocks. What leaves a task is one row per class: its links, and the least
-class it is connected to.
+* Tries. All labels of all trees are sorted over the cluster by ranges, so a prefix of any size is spread over as many
+  tasks as it fills. One pass over a sorted range gives every class the first class of its node at each depth; the ends of
+  the ranges, two rows a range, join nodes that a cut went through.
+* Shortening. Matched prefixes start at full depth. Every pair of a class and the first of its node has a similarity that
+  all their values estimate, and with it a chance to meet at a depth; the inverse chances of the pairs that met add up to
+  the pairs there are (Horvitz and Thompson). Per band of similarity this gives the recall, and all prefixes lose a value
+  as long as some band from the threshold up is below the target. The floor is the depth at which a pair just at the
+  threshold meets with the target's chance: there nothing is left to gain.
+* Verification. Candidates are never listed pair by pair. Connected components of the classes that met are small
+  neighbourhoods, each text goes to its own neighbourhood once, and there all pairs are compared exactly by their
+  shingles. A neighbourhood of more than `block` classes is cut into blocks, and every two blocks meet in a task of their
+  own, so no task holds more than two blocks. What leaves a task is one row per class: its links, and the least class it
+  is connected to.
 
 Words are runs of `[^\\x20\\x09-\\x0D]`; a text of one to four words is a single shingle. Texts without words, null ones
 too, link to nothing. A null id stays null and links to nothing. Rows with one id and different texts are told apart;
@@ -26,7 +33,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from solstice.llm.common import id_and_text, rows_of, staged, texts_of
@@ -37,12 +44,19 @@ N = 5
 _SEED = 20240607
 #: Words a task remembers, some 30 MB.
 _KEEP = 200_000
+#: Bands of similarity whose recall is watched, each this wide, from the threshold to 1.
+_BAND = 0.05
+
+
+def chance(similarity: float, k: int, trees: int) -> float:
+    """Of a pair to share k values in some tree."""
+    return 1 - (1 - similarity**k) ** trees
 
 
 def prefix_length(trees: int, depth: int, similarity: float, recall: float) -> int:
-    """Shorten from the full depth until a pair at `similarity` meets in some tree with the wanted chance."""
+    """The shortest prefix ever needed: a pair at `similarity` meets in some tree with the wanted chance."""
     for k in range(depth, 0, -1):
-        if 1 - (1 - similarity**k) ** trees >= recall:
+        if chance(similarity, k, trees) >= recall:
             return k
     raise ValueError("more trees are needed for this recall")
 
@@ -69,10 +83,10 @@ def shingle_hashes(words: list[str], seen: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def _labels(trees: int, prefix: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document the digest of its shingle set and, per tree, its label cut to the prefix, eight bits a value."""
-    factors = np.random.default_rng(_SEED).integers(1, 2**63, trees * prefix, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    shift = (np.uint64(8) * np.arange(prefix, dtype=np.uint64))[None, :]
+def _labels(trees: int, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document the digest of its shingle set and, per tree, its label, eight bits a value, the first value on top."""
+    factors = np.random.default_rng(_SEED).integers(1, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = (np.uint64(8) * np.arange(7, 7 - depth, -1).astype(np.uint64))[None, :]
     seen: dict = {}
     for batch in batches:
         ids, keys, labels = [], [], []
@@ -85,7 +99,7 @@ def _labels(trees: int, prefix: int, batches: Iterator[pa.RecordBatch]) -> Itera
             least = np.full(len(factors), 2**64 - 1, np.uint64)
             for a in range(0, len(x), 2048):
                 least = np.minimum(least, np.multiply.outer(factors, x[a : a + 2048]).min(axis=1))
-            values = ((least * np.uint64(0x94D049BB133111EB)) >> np.uint64(56)).reshape(trees, prefix)
+            values = ((least * np.uint64(0x94D049BB133111EB)) >> np.uint64(56)).reshape(trees, depth)
             ids.append(doc_id)
             keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
             labels.append((values << shift).sum(axis=1, dtype=np.uint64).astype(np.int64))
@@ -94,6 +108,84 @@ def _labels(trees: int, prefix: int, batches: Iterator[pa.RecordBatch]) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "key", "labels"])
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of leading bytes in which unsigned 64-bit labels agree."""
+    differ = (x ^ y).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
+
+
+def _tries(floor: int, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of the sorted leaves: for leaves that continue a node, its first leaf at every depth from the floor.
+
+    The first and the last leaf of the range come once more, with null heads.
+    """
+    depths = range(floor, depth + 1)
+    kinds = pa.schema([("tree", pa.int32()), ("label", pa.int64()), ("node", pa.int64()), ("heads", pa.list_(pa.int64()))])
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, label, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "label", "node"))
+        before = last or (tree[0], label[0], node[0], None)
+        shared = _common(label.view(np.uint64), np.concatenate([[before[1]], label[:-1]]).astype(np.int64).view(np.uint64))
+        shared[tree != np.concatenate([[before[0]], tree[:-1]])] = 0
+        if last is None:
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], k.type) for x, k in zip(before[:3], kinds, strict=False)), pa.array([None], kinds[3].type)], schema=kinds)
+            shared[0] = 0
+        heads = np.empty((len(node), len(depths)), np.int64)
+        for j, k in enumerate(depths):
+            # -1 is a run that began before this batch.
+            start = np.maximum.accumulate(np.where(shared < k, np.arange(len(node)), -1))
+            heads[:, j] = np.where(start < 0, before[3][j] if before[3] is not None else 0, node[start])
+        last = tree[-1], label[-1], node[-1], heads[-1]
+        at = np.nonzero(heads[:, 0] != node)[0]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * len(depths)), pa.array(heads[at].reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array(tree[at], pa.int32()), pa.array(label[at]), pa.array(node[at]), lists], schema=kinds)
+    if last:
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], k.type) for x, k in zip(last[:3], kinds, strict=False)), pa.array([None], kinds[3].type)], schema=kinds)
+
+
+def tries(leaves: DataFrame, floor: int, depth: int) -> DataFrame:
+    """(node, heads) from leaves (tree, label, node): one class its node's leaves hang on, per depth from the floor; itself where it is the first."""
+    ranges = leaves.repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    found = staged(ranges.mapInArrow(partial(_tries, floor, depth), "tree int, label long, node long, heads array<long>"), "forest-tries")
+    # Two leaves a range, and only within a tree: what is sorted here grows with the number of ranges alone.
+    order = Window.partitionBy("tree").orderBy("label", "node")
+    ends = found.filter("heads is null").select("tree", "label", "node", F.lag("label").over(order).alias("l"), F.lag("node").over(order).alias("n"))
+    near = [F.when(F.shiftrightunsigned(F.col("label").bitwiseXOR(F.col("l")), 64 - 8 * k) == 0 if k < 8 else F.col("label") == F.col("l"), F.col("n")).otherwise(F.col("node")) for k in range(floor, depth + 1)]
+    return found.filter("heads is not null").select("node", "heads").unionAll(ends.select("node", F.array(*near).alias("heads")))
+
+
+def _similarities(depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarity of two classes as their values estimate it, less the values that agree by chance."""
+    for batch in batches:
+        x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        same = np.zeros(batch.num_rows)
+        if batch.num_rows:
+            equal = ((x ^ y).astype(">i8").view(np.uint8).reshape(len(x), 8)[:, :depth] == 0).mean(axis=1)
+            same = np.clip((equal.reshape(batch.num_rows, -1).mean(axis=1) - 1 / 256) / (1 - 1 / 256), 0, 1)
+        yield pa.RecordBatch.from_arrays([batch.column("deepest"), pa.array(same)], ["deepest", "similarity"])
+
+
+def matched_depth(edges: DataFrame, labels: DataFrame, trees: int, floor: int, depth: int, similarity: float, recall: float) -> int:
+    """How many values matched prefixes keep: shortened from `depth` until the recall of every band reaches the target."""
+    if floor == depth:
+        return depth
+    pairs = edges.select("node", F.posexplode("heads").alias("at", "head")).filter("node <> head").groupBy("node", "head").agg((F.max("at") + floor).alias("deepest"))
+    both = pairs.join(labels.select("node", F.col("labels").alias("x")), "node").join(labels.select(F.col("node").alias("head"), F.col("labels").alias("y")), "head")
+    judged = both.select("deepest", "x", "y").mapInArrow(partial(_similarities, depth), "deepest int, similarity double").filter(F.col("similarity") >= similarity)
+    band = F.floor((F.col("similarity") - similarity) / _BAND)
+    inverse = [F.sum(1 / (1 - F.pow(1 - F.pow("similarity", F.lit(k)), F.lit(trees)))).alias(f"all_{k}") for k in range(floor + 1, depth + 1)]
+    # A row per band and depth, so a few dozen at most.
+    sums = judged.groupBy(band.alias("band"), "deepest").agg(F.count("*").alias("n"), *inverse).collect()
+    for k in range(depth, floor, -1):
+        met = [x for x in sums if x["deepest"] >= k]
+        bands = {x["band"] for x in sums}
+        if all(sum(x["n"] for x in met if x["band"] == b) >= recall * sum(x[f"all_{k}"] for x in met if x["band"] == b) and any(x["band"] == b for x in met) for b in bands):
+            return k
+    return floor
+
+
 def _shingles(words: list[str]) -> set:
     return {tuple(words[i : i + N]) for i in range(max(1, len(words) - N + 1))} if words else set()
 
@@ -167,15 +259,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, trees: int = 32, d
     copy_of is the least id with the same shingles, class_id the least id of all documents connected by links, n_links
     the number of documents at or above the similarity, copies included. `key` is the digest of the shingle set.
     """
-    prefix = prefix_length(trees, depth, similarity, recall)
+    floor = prefix_length(trees, depth, similarity, recall)
     rows = id_and_text(docs)
-    signed = staged(rows.mapInArrow(partial(_labels, trees, prefix), "doc_id long, key binary, labels array<long>"), "forest-labels")
+    signed = staged(rows.mapInArrow(partial(_labels, trees, depth), "doc_id long, key binary, labels array<long>"), "forest-labels")
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("cid"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
-    leaves = classes.select(F.col("cid").alias("node"), "key", F.posexplode("labels").alias("tree", "prefix"))
-    nodes = leaves.groupBy("tree", "prefix").agg(F.min(F.struct("node", "key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     # Two classes may share an id where one id has several texts; numbers stand for (id, key).
-    number = F.xxhash64("node", "key")
-    stars = leaves.join(nodes.select("tree", "prefix", "first"), ["tree", "prefix"]).select(number.alias("u"), F.xxhash64("first.node", "first.key").alias("v"))
+    numbered = classes.select(F.xxhash64("cid", "key").alias("node"), "labels")
+    edges = tries(numbered.select("node", F.posexplode("labels").alias("tree", "label")), floor, depth)
+    kept = matched_depth(edges, numbered, trees, floor, depth, similarity, recall)
+    stars = edges.select(F.col("node").alias("u"), F.col("heads")[kept - floor].alias("v")).filter("u <> v")
     hoods = components(stars)
     sizes = hoods.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = hoods.join(sizes, "component").select(F.col("component").alias("hood"), "node", "blocks", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int").alias("block"))

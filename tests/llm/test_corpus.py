@@ -57,7 +57,80 @@ def test_near_duplicates_of_repeated_ids(make_docs):
     assert minhash_forest.near_duplicates(make_docs([])).count() == 0
 
 
-def test_prefix_is_shortened_until_the_recall():
+def plain_nodes(leaves, k):
+    """Classes that share a prefix of k values in some tree, as sets."""
+    nodes = {}
+    for tree, label, node in leaves:
+        nodes.setdefault((tree, (label & (2**64 - 1)) >> (64 - 8 * k)), set()).add(node)
+    return [x for x in nodes.values() if len(x) > 1]
+
+
+def joined(groups):
+    """Connected components of overlapping sets."""
+    out = []
+    for g in map(set, groups):
+        for other in [x for x in out if x & g]:
+            g |= other
+            out.remove(other)
+        out.append(g)
+    return sorted(map(sorted, out))
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_tries_join_what_shares_a_prefix(spark, request, partitions):
+    r = random.Random(21)
+    # Few values per place, so that nodes are large and ranges cut through them; negative labels too.
+    leaves = [(tree, int.from_bytes(bytes(r.choice([0, 255]) for _ in range(8)), "big", signed=True), 1000 * tree + i) for tree in range(3) for i in range(300)]
+    for name, value in (("spark.sql.shuffle.partitions", partitions), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        before = spark.conf.get(name)
+        request.addfinalizer(lambda name=name, before=before: spark.conf.set(name, before))
+        spark.conf.set(name, value)
+    got = minhash_forest.tries(spark.createDataFrame(leaves, "tree int, label long, node long"), 5, 8).collect()
+    for k in (5, 6, 7, 8):
+        assert joined([(x.node, x.heads[k - 5]) for x in got if x.node != x.heads[k - 5]]) == joined(plain_nodes(leaves, k))
+
+
+def test_matched_prefixes_follow_the_similarities(spark, make_docs):
+    r = random.Random(22)
+    trees, depth, floor = 32, 8, minhash_forest.prefix_length(32, 8, 0.8, 0.9999)
+
+    def depth_for(edits):
+        texts = []
+        for _ in range(60):
+            w = prose(r, 200).split()
+            texts.append(" ".join(w))
+            for at in range(edits):
+                w[10 + 20 * at] = "edit"
+            texts.append(" ".join(w))
+        signed = make_docs(texts).mapInArrow(lambda batches: minhash_forest._labels(trees, depth, batches), "doc_id long, key binary, labels array<long>")
+        labels = spark.createDataFrame([(x.doc_id, x.labels) for x in signed.collect()], "node long, labels array<long>")
+        leaves = [(t, x, row.node) for row in labels.collect() for t, x in enumerate(row.labels)]
+        edges = minhash_forest.tries(spark.createDataFrame(leaves, "tree int, label long, node long"), floor, depth)
+        return minhash_forest.matched_depth(edges, labels, trees, floor, depth, 0.8, 0.9999)
+
+    # One edited word leaves a similarity of 0.95; four leave 0.82, which needs shorter prefixes.
+    assert depth_for(1) == depth and depth_for(4) < depth
+    assert depth_for(0) == depth
+
+
+def test_recall_near_the_threshold(make_docs):
+    r = random.Random(23)
+    texts = []
+    for i in range(300):
+        w = prose(r, 120 + i % 40).split()
+        texts.append(" ".join(w))
+        for at in range(1 + i % 2):
+            w[20 + 40 * at] = "edit"
+        if i % 3:
+            w = w[: len(w) - i % 9]
+        texts.append(" ".join(w))
+    want = [plain_links(texts[i : i + 2])[0][0] for i in range(0, len(texts), 2)]
+    got = {x.doc_id: x.n_links for x in minhash_forest.near_duplicates(make_docs(texts)).collect()}
+    found = sum(got[2 * i] == n for i, n in enumerate(want) if n)
+    assert sum(want) >= 200 and found >= 0.999 * sum(want) and all(got[2 * i] == 0 for i, n in enumerate(want) if not n)
+
+
+def test_floor_of_the_prefixes():
     for trees, recall in ((32, 0.9999), (8, 0.99), (64, 0.999)):
         k = minhash_forest.prefix_length(trees, 8, 0.8, recall)
         assert 1 - (1 - 0.8**k) ** trees >= recall and (k == 8 or 1 - (1 - 0.8 ** (k + 1)) ** trees < recall)
