@@ -14,9 +14,13 @@ from solstice.sources import keyed, sinks
 from solstice.sources.scratch import stored
 
 # Place codes kept, languages of alternate names, index limits.
-PLACE_CODES = "PPL PPLA PPLA2 PPLA3 PPLA4 PPLA5 PPLC PPLCH PPLF PPLG PPLL PPLR PPLS STLMT".split()
-AREA_CODES = "ADM1 ADM2".split()
-LANGUAGES = "en es fr ar zh ru pt id hi bn sw vi tl am my th ur ne si ta km lo ja ko fa so ti mg ht tpi ha bm wo sm to fj bi abbr".split()
+PLACE_CODES = ["PPL", "PPLA", "PPLA2", "PPLA3", "PPLA4", "PPLA5", "PPLC", "PPLCH", "PPLF", "PPLG", "PPLL", "PPLR", "PPLS", "STLMT"]
+AREA_CODES = ["ADM1", "ADM2"]
+LANGUAGES = [
+    "en", "es", "fr", "ar", "zh", "ru", "pt", "id", "hi", "bn", "sw", "vi", "tl", "am", "my", "th",
+    "ur", "ne", "si", "ta", "km", "lo", "ja", "ko", "fa", "so", "ti", "mg", "ht", "tpi", "ha", "bm",
+    "wo", "sm", "to", "fj", "bi", "abbr",
+]
 MAX_SHARD, MAX_DEPTH = 12_000, 9
 ALT_CAP, ALT_CAP_LARGE, LARGE_POP = 20, 40, 50_000
 NEAR_CAP = 30

@@ -82,6 +82,7 @@ def url_inventory(texts: DataFrame, where: str, order: str, text: str = "text")
     return rows.groupBy("url").agg(F.max(F.struct("_o", "where")).alias("_w")).select("url", "_w.where")
 
 
+# Fixed value: the tags and attributes that count as loading a resource.
 RESOURCE = r'<(script|link|img|iframe|video|audio)[^>]+(?:src|href)="(?:https?:)?//([^/"]+)[^"]*"'
 
 
