@@ -171,6 +171,32 @@ def test_mined_rules_are_those_of_a_plain_count(spark):
     assert got == want
 
 
+def test_best_mined_rule_is_that_of_a_plain_search(spark):
+    """Pruning, index and ties against all rules tried on all URLs; null ids, repeated rows and long URLs among them."""
+    r = random.Random(24)
+    urls = ["http://" + ".".join(r.sample(["ab", "cd", "ef"], 2)) + "/" + "/".join(r.sample(["u", "v", "w", "x"], r.randint(1, 3))) for _ in range(300)]
+    marks = [r.random() < (0.95 if "/u" in u and "cd" in u else 0.9 if "w" in u else 0.1) for u in urls]
+    more = [None, urls[0], "http://ab.cd/" + "long" * 20_000 + "/u", "http://cd.ef/" + "/".join(f"s{chr(97 + i % 26) * (1 + i // 26)}" for i in range(400)) + "/u"]
+    rows = [(i, u) for i, u in enumerate([*urls, *more])] + [(None, urls[1]), (None, None), (3, urls[3])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("tokens", F.lit("clash"))
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks)] + [(None, True)], "id long, bad boolean")
+    got = url_rules.judge_urls(pages, labels, min_count=10, min_confidence=0.7).collect()
+    assert Counter(x.page_id for x in got) == Counter(i for i, _ in rows)
+    host, path = url_rules.host_and_path(F.col("url"))
+    keyed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    tokens = keyed.select("page_id", "url", url_rules.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")).collect()
+    bad = spark.createDataFrame([(x.tokens, marks[x.page_id]) for x in tokens if x.page_id is not None and x.page_id < len(marks)], "tokens array<string>, bad boolean")
+    rules = {frozenset(x.tokens): x.confidence for x in url_rules.mine(bad, 0.0005, 10, 0.7).collect()}
+    pruned = {k: c for k, c in rules.items() if not any(o < k and d >= c for o, d in rules.items())}
+    assert 1 < len(pruned) < len(rules)
+    want = Counter()
+    for x in tokens:
+        fits = [(c, len(k), sorted(k)) for k, c in pruned.items() if k <= set(x.tokens)]
+        want[(x.page_id, tuple(max(fits)[2]) if fits else None)] += 1
+    assert Counter((x.page_id, tuple(x.bad_tokens) if x.bad_tokens else None) for x in got) == want
+    assert all(x.rule is None and x.verdict == ("block" if x.bad_tokens else "allow") for x in got)
+
+
 def test_every_character_has_its_own_class():
     got = dict(zip(divergence.CLASSES, divergence.class_counts("😀" * 10 + "。" * 5 + "\u3000" * 4 + "漢" * 3 + "한ﬀ𝟘\U0010fffd").tolist(), strict=True))
     assert got == {"lower": 1, "upper": 0, "letter": 4, "mark": 0, "digit": 1, "space": 4, "punctuation": 5, "symbol": 10, "other": 1}
