@@ -54,3 +54,11 @@ def test_verdicts_name_rows_not_ids(spark, make_docs, tmp_path):
 
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
+
+
+def test_empty_documents_pass_through_all_stages(spark, make_docs, tmp_path):
+    r = random.Random(13)
+    make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, prose(r, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
