@@ -58,14 +58,16 @@ def crop_windows(sessions: DataFrame) -> DataFrame:
     """One row per country and crop: sowing and harvest months over all zones and sessions.
 
     ``sessions``: ``iso2, crop, zone, all_year, early_sowing, later_sowing, early_harvest, late_harvest``.
-    Distinct month ranges (at most 144) are merged, so sessions are never multiplied into months;
-    zones are counted in a first pass per zone.
+    Equal sessions count once, and leave before anything is worked out. Distinct month ranges (at most 144) are merged, so
+    sessions are never multiplied into months; zones are counted in a first pass per zone.
     """
 
     def months(a: str, b: str) -> Column:
         return cal.month_range(F.col(a), F.coalesce(b, a))
 
-    ranged = sessions.withColumns({"_s": months("early_sowing", "later_sowing"), "_h": months("early_harvest", "late_harvest")})
+    asked = ("iso2", "crop", "zone", "all_year", "early_sowing", "later_sowing", "early_harvest", "late_harvest")
+    # counted, as the optimizer drops a plain distinct before sets
+    ranged = sessions.groupBy(*asked).agg(F.count("*").alias("_n")).where("_n > 0").withColumns({"_s": months("early_sowing", "later_sowing"), "_h": months("early_harvest", "late_harvest")})
     per_zone = ranged.groupBy("iso2", "crop", F.coalesce("zone", F.lit("")).alias("zone")).agg(
         F.bool_or(F.lower(F.coalesce("all_year", F.lit("no"))) == "yes").alias("_all"),
         _union(F.collect_set("_s")).alias("_s"), _union(F.collect_set("_h")).alias("_h"),
@@ -162,8 +164,15 @@ def is_rural(pop: Column) -> Column:
 
 
 def with_farming_context(places: DataFrame, crops: DataFrame) -> DataFrame:
-    """Add ``farmer``; ``places`` has ``cc, months, rain_sign, livelihood, pop``."""
-    # one row per country
-    joined = dim_join(places, crops.select(F.col("iso2").alias("cc"), "crops"), "cc", "left", bounded=True)
+    """Add ``farmer``; ``places`` has ``cc, months, rain_sign, livelihood, pop``.
+
+    The context is worked out once per country, season and sign that occur, not per place.
+    """
     wanted = (F.col("livelihood") == "farmer") | is_rural(F.col("pop"))
-    return joined.withColumn("farmer", F.when(wanted, farming_context(F.col("crops"), F.col("months"), F.col("rain_sign")))).drop("crops")
+    keys = ["cc", "months", "rain_sign"]
+    # one row per country
+    seasons = dim_join(places.where(wanted).select(*keys).distinct(), crops.select(F.col("iso2").alias("cc"), "crops"), "cc", bounded=True)
+    known = seasons.select(*keys, farming_context(F.col("crops"), F.col("months"), F.col("rain_sign")).alias("farmer")).where("farmer IS NOT NULL")
+    # a place without one of the three has no context; a row per country, season (144 month ranges) and sign at most
+    joined = dim_join(places, known.withColumnRenamed("farmer", "_farmer"), keys, "left", bounded=True)
+    return joined.select(*places.columns, F.when(wanted, F.col("_farmer")).alias("farmer"))

@@ -16,3 +16,18 @@ def test_index_mismatch_at_the_tolerance(spark):
     db.executemany("INSERT INTO w VALUES (?, ?, ?, ?, ?)", rows)
     gap = "abs(pow(hazard * vulnerability * coping, 1/3.0::DOUBLE) - inform)"
     assert got == dict(db.execute(f"SELECT iso, {gap} FROM w WHERE {gap} > 0.3").fetchall())
+
+
+def test_equal_sessions_leave_before_the_sets(spark):
+    """Month ranges are worked out per distinct session, not per row, and the context per season, not per place."""
+    kind = "iso2 STRING, crop STRING, zone STRING, all_year STRING, early_sowing INT, later_sowing INT, early_harvest INT, late_harvest INT"
+    sessions = spark.createDataFrame([("KE", "Maize", "z", None, 10, 11, 2, None), ("KE", "Rice", None, "Yes", None, None, None, None)] * 50, kind)
+    windows = crops.crop_windows(sessions)
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 3
+    assert {(r.crop, tuple(r.sowing), tuple(r.harvest), r.zones, r.all_year) for r in windows.collect()} == {("Maize", (10, 11), (2,), 1, False), ("Rice", (), (), 0, True)}
+    rows = [(1, "KE", [10, 12], 1), (2, "KE", [10, 12], -1), (3, "KE", None, 1), (4, None, [10, 12], 1), (5, "KE", [5], 1), (6, "XX", [10, 12], 1)]
+    places = spark.createDataFrame([(*r, "farmer", 0) for r in rows] + [(7, "KE", [10, 12], 1, "urban", 50_000)], "id INT, cc STRING, months ARRAY<INT>, rain_sign INT, livelihood STRING, pop INT")
+    placed = crops.with_farming_context(places, crops.country_crops(crops.usable_windows(windows)))
+    assert {r.id: r.farmer and (r.farmer.crop, r.farmer.direction) for r in placed.collect()} == {1: ("maize", "wetter"), 2: ("maize", "drier"), **dict.fromkeys((3, 4, 5, 6, 7))}
+    assert placed.columns == [*places.columns, "farmer"]
