@@ -29,9 +29,11 @@ def flatten(docs: DataFrame, keys: Sequence[str], doc: str = "doc", join_lists:
     that of the deepest document, read off the brackets outside of strings in a first pass.
     """
     brackets = F.regexp_replace(F.regexp_replace(doc, r'"(?:[^"\\]|\\.)*"', ""), r"[^{}\[\]]", "")
-    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    # documents have few shapes, so the brackets are counted per shape
+    shapes = docs.select(brackets.alias("_b")).distinct()
+    steps = F.transform(F.split("_b", ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
     deepest = F.aggregate(steps, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, x: F.struct((s["now"] + x).alias("now"), F.greatest(s["most"], s["now"] + x).alias("most")))["most"]
-    max_depth = docs.agg(F.max(deepest)).first()[0] or 0
+    max_depth = shapes.agg(F.max(deepest)).first()[0] or 0
     level = docs.select(*keys, F.lit("").alias("k"), F.parse_json(doc).alias("v"))
     for _ in range(max_depth):
         entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from solstice.operators import catalog as op
 from solstice.plans.registry import query
+from solstice.sources.scratch import stored
 
 HASH = "substr(sha1({0}), 1, 10)"
 
@@ -30,7 +31,8 @@ NESTED = "to_json(named_struct('_lang', p_brand, 'names', map(concat('p', p_part
 
 
 def nested(t):
-    return t.part.select(F.col("p_partkey").cast("string").alias("lang"), F.expr(NESTED).alias("doc"))
+    columns = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return t.spread("part", *columns).select(F.col("p_partkey").cast("string").alias("lang"), F.expr(NESTED).alias("doc"))
 
 
 FLAT_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS lang, 'names.p' || p_partkey AS k, p_name AS value FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'meta.size.now', CAST(p_size AS VARCHAR) FROM part
@@ -45,7 +47,8 @@ def v1(t):
 @query("v2_unflatten_documents", f"SELECT * FROM ({FLAT_SQL})")
 def v2(t):
     """Flatten, nest again and flatten once more: the rows must come back."""
-    docs = op.unflatten(op.flatten(nested(t), ["lang"], join_lists=True), ["lang"])
+    rows = stored(op.flatten(nested(t), ["lang"], join_lists=True), "flat")
+    docs = stored(op.unflatten(rows, ["lang"]), "nested")
     return op.flatten(docs, ["lang"], join_lists=True)
 
 

@@ -2,7 +2,9 @@
 
 import duckdb
 
-from solstice.operators import crops
+from solstice.operators import catalog, crops
+from solstice.plans import views
+from solstice.plans.queries import catalog as catalog_q
 
 
 def test_index_mismatch_at_the_tolerance(spark):
@@ -31,3 +33,11 @@ def test_equal_sessions_leave_before_the_sets(spark):
     placed = crops.with_farming_context(places, crops.country_crops(crops.usable_windows(windows)))
     assert {r.id: r.farmer and (r.farmer.crop, r.farmer.direction) for r in placed.collect()} == {1: ("maize", "wetter"), 2: ("maize", "drier"), **dict.fromkeys((3, 4, 5, 6, 7))}
     assert placed.columns == [*places.columns, "farmer"]
+
+
+def test_flatten_reads_each_shape_once(spark):
+    docs = spark.createDataFrame([("a", '{"x": {"y": "{["}, "l": ["1", "2"]}'), ("b", '{"x": {"y": "z"}, "l": ["3"]}')], "lang STRING, doc STRING")
+    rows = {(r.lang, r.k, r.value) for r in catalog.flatten(docs, ["lang"], join_lists=True).collect()}
+    assert rows == {("a", "x.y", "{["), ("a", "l", "1 | 2"), ("b", "x.y", "z"), ("b", "l", "3")}
+    # a costly row of a small table has a task of its own on every core
+    assert catalog_q.nested(views.Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
