@@ -13,9 +13,22 @@ from pyspark.sql import types as T
 # executors receive the UDF by value and need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Strings that are folded at a time: every step makes copies, and a batch may hold thousands of long texts.
+_AT_A_TIME = 128
+
+
 @F.pandas_udf(T.StringType())
 def _norm_unicode(values: pd.Series) -> pd.Series:
     """Normalise the strings that need Unicode tables; nulls (plain ASCII rows) pass through."""
+    out = pd.Series([None] * len(values), index=values.index, dtype=object)
+    known = values.notna().to_numpy().nonzero()[0]
+    for i in range(0, len(known), _AT_A_TIME):
+        at = known[i : i + _AT_A_TIME]
+        out.iloc[at] = _folded(values.iloc[at]).to_numpy()
+    return out
+
+
+def _folded(values: pd.Series) -> pd.Series:
     low = values.str.normalize("NFKC").str.strip().str.lower()
     latin = low.str.match("[a-z0-9]", na=False)
     folded = low.where(latin).str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii").str.replace("[^a-z0-9 ]+", " ", regex=True)

@@ -1,7 +1,9 @@
 """Cases that only larger tables met."""
 
 import duckdb
+import pandas as pd
 
+from solstice.functions import text
 from solstice.operators import catalog, crops
 from solstice.plans import views
 from solstice.plans.queries import catalog as catalog_q
@@ -41,3 +43,13 @@ def test_flatten_reads_each_shape_once(spark):
     assert rows == {("a", "x.y", "{["), ("a", "l", "1 | 2"), ("b", "x.y", "z"), ("b", "l", "3")}
     # a costly row of a small table has a task of its own on every core
     assert catalog_q.nested(views.Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_long_texts_are_folded_in_pieces():
+    most = []
+    whole, text._folded = text._folded, lambda x: (most.append(len(x)), whole(x))[1]
+    try:
+        out = text._norm_unicode.func(pd.Series(["Ünï  Çode", None, "日 本"] * 500))
+    finally:
+        text._folded = whole
+    assert out.tolist() == ["ünï çode", None, "日 本"] * 500 and max(most) <= 128
