@@ -154,6 +154,8 @@ def update_shards(keys: DataFrame, places: DataFrame, root: str, max_rows: int =
     """
     spark = keys.sparkSession
     digests, documents = f"{root}/digests", f"{root}/documents"
+    # digests and documents both read the keys, which may be a whole job
+    keys = stored(keys.select("k", "id", "shard"), "sharded-keys")
     now = stored(shard_digests(keys, places), "shard-digests")
     changed = stored(changed_shards(now, keyed.read(spark, digests)), "changed-shards")
     wanted = keys.join(changed.where("NOT gone").select("shard"), "shard", "left_semi")

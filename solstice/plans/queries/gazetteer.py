@@ -7,7 +7,7 @@ from solstice.functions.text import norm_text
 from solstice.operators import gazetteer as op
 from solstice.plans import sqltext as s
 from solstice.plans.registry import query
-from solstice.sources.scratch import scratch_dir
+from solstice.sources.scratch import scratch_dir, stored
 
 NORM = "trim(regexp_replace(CASE WHEN regexp_matches(lower(trim({0})), '^[a-z0-9]') THEN regexp_replace(lower({0}), '[^a-z0-9 ]+', ' ', 'g') ELSE lower({0}) END, '\\s+', ' ', 'g'))"
 
@@ -106,12 +106,17 @@ def g6(t):
     SELECT k, id, arg_min(p, d) AS shard, CAST(min(d) AS INT) AS depth FROM c WHERE n <= 500 OR d = 9 GROUP BY 1, 2""",
 )
 def g7(t):
-    return op.assign_shards(op.search_keys(t.place, alternates(t)), max_rows=500)
+    return sharded(t, alternates(t))
+
+
+def sharded(t, alternates=None):
+    """Search keys under their shards; the keys are normalised once, as counting and assigning both read them."""
+    return op.assign_shards(stored(op.search_keys(t.place, alternates), "search-keys"), max_rows=500)
 
 
 @query("g8_shard_payloads")
 def g8(t):
-    return op.shard_payloads(op.assign_shards(op.search_keys(t.place, alternates(t)), max_rows=500), t.place, max_rows=500)
+    return op.shard_payloads(stored(sharded(t, alternates(t)), "sharded-keys"), t.place, max_rows=500)
 
 
 def shards_of(keys: str) -> str:
@@ -129,8 +134,8 @@ NAME_KEY_SQL = f"SELECT DISTINCT {norm_sql('name')} AS k, id FROM v_place WHERE
 def g8_updated(t):
     """A build of all names, updated when the alternate names arrive: the shards of the full build, and which were rewritten."""
     root = scratch_dir(t.spark, "shards")
-    op.update_shards(op.assign_shards(op.search_keys(t.place), max_rows=500), t.place, root, max_rows=500)
-    changed = op.update_shards(op.assign_shards(op.search_keys(t.place, alternates(t)), max_rows=500), t.place, root, max_rows=500)
+    op.update_shards(sharded(t), t.place, root, max_rows=500)
+    changed = op.update_shards(sharded(t, alternates(t)), t.place, root, max_rows=500)
     docs = op.current_documents(t.spark, root).groupBy("shard").agg(F.sum("n").alias("n"))
     return docs.join(changed.where("NOT gone").select("shard", F.lit(True).alias("r")), "shard", "left").select("shard", "n", F.coalesce("r", F.lit(False)).alias("rewritten"))
 

@@ -7,6 +7,7 @@ from solstice.functions import text
 from solstice.operators import catalog, crops
 from solstice.plans import views
 from solstice.plans.queries import catalog as catalog_q
+from solstice.plans.queries import gazetteer as gazetteer_q
 
 
 def test_index_mismatch_at_the_tolerance(spark):
@@ -45,6 +46,13 @@ def test_flatten_reads_each_shape_once(spark):
     assert catalog_q.nested(views.Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
+def test_search_keys_are_normalised_once(spark):
+    """Counting prefixes and assigning shards read stored keys: no Python step is left in the plan."""
+    tables = views.Tables(spark, "/root/testdata/sf0.001")
+    plan = gazetteer_q.g7(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan
+
+
 def test_long_texts_are_folded_in_pieces():
     most = []
     whole, text._folded = text._folded, lambda x: (most.append(len(x)), whole(x))[1]
