@@ -252,10 +252,11 @@ def snap_to_land(points: DataFrame, land: DataFrame, reach: int = 2) -> DataFram
         ),
     )
     own_is_land = F.exists("near_land", lambda c: (c["di"] == 0) & (c["dj"] == 0))
-    best = F.array_min(ranked)
     use_own = F.col("near_land").isNull() | own_is_land
-    cell = F.when(use_own, grid.format_cell(own_lat, own_lon)).otherwise(grid.format_cell(best["lat"], best["lon"]))
-    return joined.select(*points.columns, cell.alias("cell_id"), F.coalesce(own_is_land, F.lit(False)).alias("own_is_land"), F.col("near_land").isNotNull().alias("on_land"))
+    # a column of its own, so that the distances are worked out once a point, and not for every use of the best cell
+    found = joined.withColumns({"_best": F.when(~use_own, F.array_min(ranked)), "_own": own_is_land})
+    cell = grid.format_cell(F.coalesce("_best.lat", own_lat), F.coalesce("_best.lon", own_lon))
+    return found.select(*points.columns, cell.alias("cell_id"), F.coalesce("_own", F.lit(False)).alias("own_is_land"), F.col("near_land").isNotNull().alias("on_land"))
 
 
 def cells_near_land(cells: DataFrame, land: DataFrame, reach: int = 2) -> DataFrame:

@@ -159,7 +159,9 @@ def _optional(df: DataFrame, layer: DataFrame | None, on, **nulls: str) -> DataF
 def build_facts(x: FactInputs) -> DataFrame:
     now = F.to_date(F.lit(x.now))
     # place, cell, status, regions
-    df = spatial.snap_to_land(x.places, x.land).withColumnsRenamed({"on_land": "_on_land"}).drop("own_is_land")
+    # a place is a short row with much work behind it: few row groups of a file must not mean few tasks
+    dealt = x.places.repartition(2 * x.places.sparkSession.sparkContext.defaultParallelism, "place_id")
+    df = spatial.snap_to_land(dealt, x.land).withColumnsRenamed({"on_land": "_on_land"}).drop("own_is_land")
     df = spatial.with_regions(df, x.region_boxes, x.regions)
     # the newest status; an aggregate without groups is one row
     newest = x.status.agg(F.max(F.struct(F.col("issued").alias("at"), F.struct(*x.status.columns).alias("row"))).alias("s"))

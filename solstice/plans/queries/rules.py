@@ -207,7 +207,8 @@ def cell_cube(t):
 
 
 def fact_inputs(t, **changes) -> FactInputs:
-    composites = cube.composite_fact(cell_cube(t), cube_q.event_rows(t), *cube_q.BASE, primary="a", fallback="b", with_vectors=True)
+    # at most one row per source, grid cell and month, made of all line items: written once, as coverage, normals and totals each read it
+    composites = cube.composite_fact(stored(cell_cube(t), "cell-cube"), cube_q.event_rows(t), *cube_q.BASE, primary="a", fallback="b", with_vectors=True)
     windows = crop_q.windows(t).withColumn("iso2", F.concat(F.lit("N"), F.col("iso2").cast("string")))
     rates = tracks.cell_rates(track_q.classed(t), tracks.storm_cells(t.fix), track_q.years(t))
     made = {
