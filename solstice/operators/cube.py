@@ -321,7 +321,11 @@ def season_forecast(months: Column, of_months: Column) -> Column:
 
     rows = F.array_sort(F.filter(months, lambda m: finite(m["anomaly"]) & finite(m["mean"])))
 
-    def total(name: str) -> Column:
+    def bound(value: Column, body) -> Column:
+        # worked out once: a column used several times inside an expression is worked out for every use
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def total(rows: Column, name: str) -> Column:
         return F.aggregate(rows, F.lit(0.0), lambda acc, m: acc + m[name])
 
     def pct(anomaly: Column, normal: Column) -> Column:
@@ -331,20 +335,25 @@ def season_forecast(months: Column, of_months: Column) -> Column:
         normal = m["mean"] - m["anomaly"]
         return F.struct(m["ym"].alias("ym"), F.when(normal >= 5, clip(pct(m["anomaly"], normal), PCT_LOW, PCT_HIGH)).cast("int").alias("pct"))
 
-    anomaly = total("anomaly")
-    normal = total("mean") - anomaly
-    return F.when(
-        (F.size(rows) > 0) & (normal >= 10),
-        F.struct(
-            clip(pct(anomaly, normal), PCT_LOW, PCT_HIGH).cast("int").alias("pct"),
-            (pct(anomaly, normal) > 300).alias("capped"),
-            F.size(rows).alias("n_months"),
-            of_months.cast("int").alias("of_months"),
-            half_up(normal).alias("normal_mm"),
-            half_up(anomaly).alias("anomaly_mm"),
-            F.transform(rows, month).alias("monthly"),
-        ),
-    )
+    def season(rows: Column, anomaly: Column, normal: Column) -> Column:
+        return F.when(
+            (F.size(rows) > 0) & (normal >= 10),
+            F.struct(
+                clip(pct(anomaly, normal), PCT_LOW, PCT_HIGH).cast("int").alias("pct"),
+                (pct(anomaly, normal) > 300).alias("capped"),
+                F.size(rows).alias("n_months"),
+                of_months.cast("int").alias("of_months"),
+                half_up(normal).alias("normal_mm"),
+                half_up(anomaly).alias("anomaly_mm"),
+                F.transform(rows, month).alias("monthly"),
+            ),
+        )
+
+    def summed(rows: Column) -> Column:
+        totals = F.struct(total(rows, "anomaly").alias("anomaly"), total(rows, "mean").alias("mean"))
+        return bound(totals, lambda s: season(rows, s["anomaly"], s["mean"] - s["anomaly"]))
+
+    return bound(rows, summed)
 
 
 def forecast_months(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

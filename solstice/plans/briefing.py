@@ -27,8 +27,45 @@ def language_maps(catalog: DataFrame, source_lang: str = "en") -> DataFrame:
     return maps.join(F.broadcast(source), how="cross").select("lang", merged.alias("strings"))
 
 
-def _t(key: Column | str) -> Column:
-    return F.element_at("strings", F.lit(key) if isinstance(key, str) else key)
+#: Keys that the code names. They, the months and the families of keys are looked up once per language: a look-up in a map
+#: passes over its keys, and a place asks for some hundreds of strings.
+FIXED = (
+    "agreement_none", "all_year", "conditions_rain", "conditions_usdm", "cyclone_history", "cyclone_wnp", "defer", "dir_drier", "dir_heavier", "dir_lighter",
+    "dir_wetter", "el_nino", "expect", "farmer_harvest", "farmer_planting", "forecast_monthly", "forecast_partial", "forecast_says", "headline",
+    "headline_neutral", "headline_noregion", "history", "history_all", "history_count", "history_few", "history_mixed", "history_recent", "la_nina",
+    "list_last", "list_sep", "near_normal", "neutral", "neutral_explain", "no_data", "noregion_explain", "pct_less_rain", "pct_more_rain", "pct_more_rain_cap",
+    "prov_chip", "risks", "season_with_local", "status_line", "steps_title", "this_area", "ui.sources",
+)
+#: Beginnings of the keys whose rest comes from the facts.
+FAMILIES = (
+    "agreement_", "conf_", "crops.", "disagreement_", "forecast_", "hazard_icons.", "hazards.", "layers.", "local_seasons.", "rain_", "regions.", "steps.", "temp_",
+    "timing_", "usdm_levels.",
+)
+
+
+def _looked_up(languages: DataFrame) -> DataFrame:
+    """``lang, strings``, the strings of the fixed keys, the names of the months, and a map per family of keys."""
+    strings = F.col("strings")
+    fixed = F.struct(*[F.element_at(strings, F.lit(key)).alias(_field(key)) for key in FIXED])
+    months = F.array(*[F.element_at(strings, F.lit(f"months.{m}")) for m in range(1, 13)])
+
+    def of(family: str) -> Column:
+        return F.map_filter(strings, lambda key, _: key.startswith(family))
+
+    return languages.select("lang", "strings", fixed.alias("_fixed"), months.alias("_months"), F.struct(*[of(f).alias(_field(f)) for f in FAMILIES]).alias("_of"))
+
+
+def _field(key: str) -> str:
+    return key.replace(".", "_")
+
+
+def _t(key: str) -> Column:
+    return F.col(f"_fixed.{_field(key)}")
+
+
+def _in(family: str, rest: Column) -> Column:
+    """The string whose key is ``family`` and ``rest``."""
+    return F.element_at(F.col(f"_of.{_field(family)}"), F.concat(F.lit(family), rest))
 
 
 def _code(word: Column) -> Column:
@@ -47,10 +84,10 @@ def _block(kind: str, key: str, text: Column, when: Column | None = None, detail
 def render(facts: DataFrame, languages: DataFrame) -> DataFrame:
     """``place_id, lang, blocks``. ``facts`` may carry ``name``; ``languages`` has one row per language."""
     # every place in every language is what is asked for
-    df = facts.crossJoin(languages)
+    df = facts.crossJoin(F.broadcast(_looked_up(languages)))
     if "name" not in facts.columns:
         df = df.withColumn("name", F.lit(None).cast("string"))
-    months = F.array(*[_t(f"months.{m}") for m in range(1, 13)])
+    months = F.col("_months")
     phase = F.col("status.phase")
 
     def pct(x: Column) -> Column:
@@ -67,15 +104,15 @@ def render(facts: DataFrame, languages: DataFrame) -> DataFrame:
             "_plain": label(F.col("signal.months"), F.col("signal.timing.start_year"), F.col("signal.timing.end_year")),
             "_season": label(F.col("signal.months")),
             "_full": F.col("signal").isNotNull() & (phase != "neutral"),
-            "_rain": F.coalesce(_t(F.concat(F.lit("rain_"), _code(F.col("signal.rain")))), F.col("signal.rain")),
-            "_temp": F.coalesce(_t(F.concat(F.lit("temp_"), _code(F.col("signal.temp")))), F.col("signal.temp")),
-            "_conf": _t(F.concat(F.lit("conf_"), F.col("confidence"))),
+            "_rain": F.coalesce(_in("rain_", _code(F.col("signal.rain"))), F.col("signal.rain")),
+            "_temp": F.coalesce(_in("temp_", _code(F.col("signal.temp"))), F.col("signal.temp")),
+            "_conf": _in("conf_", F.col("confidence")),
         }
     )
     full = F.col("_full")
     noregion = F.col("signal").isNull() & (phase != "neutral")
     local = F.col("signal.local_season")
-    local_text = F.coalesce(_t(F.concat(F.lit("local_seasons."), local)), local)
+    local_text = F.coalesce(_in("local_seasons.", local), local)
     season = F.when(local.isNotNull(), fill(_t("season_with_local"), {"season": F.col("_plain"), "local": local_text})).otherwise(F.col("_plain"))
     headline = (
         F.when(noregion, fill(_t("headline_noregion"), {"name": F.col("_name")}))
@@ -85,19 +122,22 @@ def render(facts: DataFrame, languages: DataFrame) -> DataFrame:
     risks = F.transform(
         F.slice("signal.hazards", 1, 4),
         lambda h: F.concat(
-            F.coalesce(F.concat(F.element_at("strings", F.concat(F.lit("hazard_icons."), h)), F.lit(" ")), F.lit("")),
-            F.coalesce(F.element_at("strings", F.concat(F.lit("hazards."), h)), h),
+            F.coalesce(F.concat(_in("hazard_icons.", h), F.lit(" ")), F.lit("")),
+            F.coalesce(_in("hazards.", h), h),
         ),
     )
+    crop_names = F.transform("farmer.crops", lambda c: F.coalesce(_in("crops.", c), c))
+    # columns of their own, as a list text uses its items several times
+    df = df.withColumns({"_risks": risks, "_crops": crop_names})
     state = F.col("signal.timing.state")
     away = F.col("signal.timing.months_away")
-    timing_key = F.when(state == "coming", F.when(away <= 1, "timing_coming_one").otherwise("timing_coming")).otherwise(F.concat(F.lit("timing_"), state))
+    timing_key = F.when((state == "coming") & (away <= 1), "coming_one").otherwise(state)
     # forecast
     shown = F.when(F.col("forecast.capped"), fill(_t("pct_more_rain_cap"), {"n": "300"})).otherwise(pct(F.col("forecast.pct")))
-    reading = F.when(F.col("forecast.disagreement").isNotNull(), _t(F.concat(F.lit("disagreement_"), F.col("forecast.disagreement")))).otherwise(
-        _t(F.concat(F.lit("forecast_"), F.col("forecast_agreement")))
+    reading = F.when(F.col("forecast.disagreement").isNotNull(), _in("disagreement_", F.col("forecast.disagreement"))).otherwise(
+        _in("forecast_", F.col("forecast_agreement"))
     )
-    forecast = F.concat_ws(" ", fill(_t("forecast_says"), {"season": F.col("_season"), "pct": shown}), reading, _t(F.col("forecast_rule.template")))
+    forecast = F.concat_ws(" ", fill(_t("forecast_says"), {"season": F.col("_season"), "pct": shown}), reading, F.element_at("strings", F.col("forecast_rule.template")))
     by_month = F.transform(
         "forecast.monthly",
         lambda m: F.concat_ws(
@@ -107,12 +147,11 @@ def render(facts: DataFrame, languages: DataFrame) -> DataFrame:
     )
     partial = F.when(F.col("forecast.n_months") < F.col("forecast.of_months"), fill(_t("forecast_partial"), {"n": F.col("forecast.n_months"), "of": F.col("forecast.of_months")}))
     # farming, storms, conditions
-    crop_names = F.transform("farmer.crops", lambda c: F.coalesce(F.element_at("strings", F.concat(F.lit("crops."), c)), c))
     farming = fill(
         F.when(F.col("farmer.stage") == "planting", _t("farmer_planting")).otherwise(_t("farmer_harvest")),
         {
             "dir": F.when(F.col("farmer.direction") == "wetter", _t("dir_wetter")).otherwise(_t("dir_drier")), "season": F.col("_season"),
-            "crop": list_text(crop_names, _t("list_sep"), _t("list_last")), "window": label(F.col("farmer.window")),
+            "crop": list_text(F.col("_crops"), _t("list_sep"), _t("list_last")), "window": label(F.col("farmer.window")),
         },
     )
     storms = F.concat_ws(
@@ -123,16 +162,16 @@ def render(facts: DataFrame, languages: DataFrame) -> DataFrame:
         ),
         F.when(F.col("cyclones.wnp"), _t("cyclone_wnp")),
     )
-    level = _t(F.concat(F.lit("usdm_levels."), F.col("conditions.usdm").cast("string")))
+    level = _in("usdm_levels.", F.col("conditions.usdm").cast("string"))
     conditions = F.concat_ws(
         " ",
         F.when(F.col("conditions.recent_rain_pct").isNotNull(), fill(_t("conditions_rain"), {"pct": pct(F.col("conditions.recent_rain_pct") - 100)})),
         F.when(F.col("conditions.usdm").isNotNull(), fill(_t("conditions_usdm"), {"level": level})),
     )
     # expectation, confidence, history
-    region = F.coalesce(_t(F.concat_ws(".", F.lit("regions"), F.col("region.id").cast("string"), F.lit("name"))), F.col("region.name"))
-    note = F.coalesce(_t(F.concat_ws(".", F.lit("regions"), F.col("region.id").cast("string"), F.concat(phase, F.lit("_note")))), F.col("signal.note"))
-    why = fill(F.coalesce(_t(F.concat(F.lit("agreement_"), F.col("agreement"))), _t("agreement_none")), {"conf": F.col("_conf")})
+    region = F.coalesce(_in("regions.", F.concat_ws(".", F.col("region.id").cast("string"), F.lit("name"))), F.col("region.name"))
+    note = F.coalesce(_in("regions.", F.concat_ws(".", F.col("region.id").cast("string"), F.concat(phase, F.lit("_note")))), F.col("signal.note"))
+    why = fill(F.coalesce(_in("agreement_", F.col("agreement")), _t("agreement_none")), {"conf": F.col("_conf")})
     c = F.col("consistency")
     lead = F.when(
         c.isNotNull(),
@@ -159,7 +198,7 @@ def render(facts: DataFrame, languages: DataFrame) -> DataFrame:
             "provenance",
             lambda p: fill(
                 _t("prov_chip"),
-                {"layer": F.coalesce(F.element_at("strings", F.concat(F.lit("layers."), p["layer"])), p["layer"]), "source": p["source"], "as_of": p["as_of"]},
+                {"layer": F.coalesce(_in("layers.", p["layer"]), p["layer"]), "source": p["source"], "as_of": p["as_of"]},
             ),
         ),
         " · ",
@@ -167,8 +206,8 @@ def render(facts: DataFrame, languages: DataFrame) -> DataFrame:
     blocks = [
         _block("headline", "headline", headline),
         _block("para", "neutral", F.when(noregion, _t("noregion_explain")).otherwise(_t("neutral_explain")), ~full),
-        _block("para", "risks", fill(_t("risks"), {"list": list_text(risks, _t("list_sep"), _t("list_last"))}), full & (F.size("signal.hazards") > 0)),
-        _block("para", "timing", fill(_t(timing_key), {"season": F.col("_plain"), "n": away}), full & state.isin("now", "coming", "passed")),
+        _block("para", "risks", fill(_t("risks"), {"list": list_text(F.col("_risks"), _t("list_sep"), _t("list_last"))}), full & (F.size("signal.hazards") > 0)),
+        _block("para", "timing", fill(_in("timing_", timing_key), {"season": F.col("_plain"), "n": away}), full & state.isin("now", "coming", "passed")),
         _block("para", "forecast_monthly", fill(_t("forecast_monthly"), {"list": F.array_join(by_month, ", ")}), full & (F.size("forecast.monthly") > 1)),
         _block("forecast", "forecast", forecast, full & F.col("forecast").isNotNull(), partial, F.lit("forecast")),
         _block("para", "farmer", farming, full & F.col("farmer").isNotNull()),
@@ -190,7 +229,7 @@ def render(facts: DataFrame, languages: DataFrame) -> DataFrame:
 
 
 def _step_text(step: Column) -> Column:
-    return F.coalesce(F.element_at("strings", F.concat(F.lit("steps."), step["id"], F.lit(".text"))), step["text"])
+    return F.coalesce(_in("steps.", F.concat(step["id"], F.lit(".text"))), step["text"])
 
 
 def block_text(key: str, blocks: Column | str = "blocks") -> Column:

@@ -1,7 +1,7 @@
 """Steps of the facts job that must not grow with the number of layers, or stay in one task."""
 
-from solstice.operators import spatial
-from solstice.plans import views
+from solstice.operators import cube, spatial
+from solstice.plans import briefing, views
 from solstice.plans.queries import rules as rules_q
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,3 +26,17 @@ def test_distances_are_worked_out_once_a_point(spark):
     assert plan(snapped).count("ASIN(") == 1
     rows = {r.id: (r.cell_id, r.own_is_land, r.on_land) for r in snapped.collect()}
     assert rows == {1: ("+003.0_+0001.0", False, True), 2: ("+041.0_+0041.0", False, False), 3: ("+003.0_+0001.0", False, True)}
+
+
+def test_forecast_months_are_sorted_and_added_once(spark):
+    rows = spark.createDataFrame([(1, "2026-10", 40.0, 100.0), (1, "2026-11", 50.0, 100.0), (2, "2026-10", 1.0, 2.0), (3, "2026-10", float("nan"), 90.0)], "id INT, ym STRING, anomaly DOUBLE, mean DOUBLE")
+    made = cube.forecast_reduction(rows, ["id"], 3)
+    # the filter for rows without a result is written once more
+    assert plan(made).count("array_sort(") <= 2 and plan(made).count("aggregate(") <= 4
+    assert [tuple(r) for r in made.drop("monthly").collect()] == [(1, 82, False, 2, 3, 110, 90)]
+
+
+def test_catalog_is_looked_up_once_a_language(spark):
+    looked_up = briefing._looked_up(briefing.english_catalog(spark)).first()
+    assert looked_up._fixed.ui_sources == "Sources" and looked_up._months[0] == "Jan"
+    assert set(looked_up._of.usdm_levels_) == {f"usdm_levels.{i}" for i in range(5)}
