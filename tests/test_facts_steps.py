@@ -17,7 +17,7 @@ def test_line_items_are_gathered_once_for_composites(spark):
 
 
 def test_places_of_one_file_become_many_tasks(spark):
-    assert "Repartition" in plan(rules_q.facts(views.Tables(spark, FOLDER)).select("place_id"))
+    assert "RepartitionByExpression [place_id#" in plan(rules_q.facts(views.Tables(spark, FOLDER)).select("place_id"))
 
 
 def test_distances_are_worked_out_once_a_point(spark):
