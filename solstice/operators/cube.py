@@ -283,6 +283,20 @@ def nearest_regrid(source: DataFrame, target: DataFrame, lat0: float, dlat: floa
     return dim_join(source, cells, ["si", "sj"]).drop("si", "sj")
 
 
+def middle_sum(values: Column) -> Column:
+    """Sum of a few numbers, the same in whatever order they come: each is added last once, and the middle one of these sums is taken.
+
+    Of three numbers these are all the sums there are, so the middle one rounds as most orders do.
+    """
+    placed = F.array_sort(values)
+
+    def others(i: Column) -> Column:
+        return F.aggregate(F.filter(placed, lambda _, j: j != i), F.lit(0.0), lambda s, x: s + x)
+
+    sums = F.array_sort(F.transform(placed, lambda x, i: others(i) + x))
+    return F.get(sums, F.floor((F.size(sums) - 1) / 2).cast("int"))
+
+
 def recent_share(cube: DataFrame, clim: DataFrame, n_months: int = 3, min_normal: float = 15.0) -> DataFrame:
     """``source, cell, pct_of_normal, pct_complete``: total of the last months as a whole percentage of their normal, clipped to 0..500.
 
@@ -298,7 +312,8 @@ def recent_share(cube: DataFrame, clim: DataFrame, n_months: int = 3, min_normal
     recent = dim_join(cube, months, ["source", "year", "month"], bounded=True).groupBy("source", "cell").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
     normals = (
         dim_join(clim, months.select("source", "month").distinct(), ["source", "month"], bounded=True)
-        .groupBy("source", "cell").agg(F.sum("clim").alias("normal"), F.count("clim").alias("n_normal"))
+        # at most ``n_months`` entries
+        .groupBy("source", "cell").agg(middle_sum(F.collect_list("clim")).alias("normal"), F.count("clim").alias("n_normal"))
     )
     rows = recent.join(normals, ["source", "cell"])
     complete = (F.col("n") == n_months) & (F.col("n_normal") == n_months)

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -147,3 +148,19 @@ def test_zonal_sum_and_gates(spark):
     assert [(r.cell_id, r.value) for r in spatial.zonal_sum(px, nodata=-99.0).collect()] == [("+001.0_+0001.0", 5)]
     checks = gates.range_gates(px, {"value": (0, 10)}).first()
     assert checks.value == 2.0 and not checks.ok
+
+
+def test_recent_share_does_not_depend_on_the_order_of_the_normals(spark):
+    months = [("a", cell, 2001, m, 496.0 if m == 2 else 0.0) for cell in range(6) for m in (1, 2, 3)]
+    normals = dict(zip((1, 2, 3), (282.0, 289.8, 221.8), strict=True))
+    clim = [("a", cell, m, normals[m], 5) for cell, order in enumerate(itertools.permutations((1, 2, 3))) for m in order]
+    # 100 * 496 / 793.6 is 62.5; added up in doubles, one order gives 63 and the two others 62
+    months_of = spark.createDataFrame(months, "source STRING, cell LONG, year INT, month INT, value DOUBLE")
+    clim_of = spark.createDataFrame(clim, "source STRING, cell LONG, month INT, clim DOUBLE, n LONG").coalesce(1)
+    got = cube.recent_share(months_of, clim_of).collect()
+    assert [(r["pct_of_normal"], r["pct_complete"]) for r in got] == [(62.0, 62.0)] * 6
+
+
+def test_middle_sum_of_fewer_numbers(spark):
+    rows = spark.createDataFrame([([0.1, 0.2],), ([0.3],), ([],)], "v ARRAY<DOUBLE>")
+    assert [r[0] for r in rows.select(cube.middle_sum(F.col("v"))).collect()] == [0.1 + 0.2, 0.3, None]
