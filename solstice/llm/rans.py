@@ -30,18 +30,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solstice.llm.common import id_and_text, rows_of, shared_root
-from solstice.llm.tokens import PieceEncoder
+from solstice.llm.common import id_and_text, rows_of, shared_root, texts_of
+from solstice.llm.tokens import WordIds
 
 _MAGIC = b"RANSEG01"
 _HEAD, _SIZES = "<8sBHIIQI", "<III"
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 SCALE, LANES, BLOCK = 20, 128, 1 << 16
+#: Bytes of text that are encoded at a time.
+_PORTION = 1 << 23
 
 
 def scaled(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -172,28 +175,43 @@ class Segment:
 _STORED = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("n_ids", pa.int64()), ("segment", pa.binary())])
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in portions that begin in one stretch of _PORTION bytes of text, at most 10,000 rows each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lot = (np.cumsum(sizes) - sizes) // _PORTION
+    bounds = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        for i in range(a, b, 10_000):
+            yield batch.slice(i, min(10_000, b - i))
+
+
 def _write(tokenizer: str, end_id: int, segment: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder, part, at = PieceEncoder.of_worker(tokenizer, counts=False), TaskContext.get().partitionId(), 0
-    doc_ids, coded, size = [], [], 0
-    end = struct.pack("<I", end_id)
+    encoder, part, at = WordIds.of_worker(tokenizer), TaskContext.get().partitionId(), 0
+    doc_ids, lengths, coded, size = [], [], [], 0
 
     def close() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(coded), "<u4")
-        row = [[part], [at], [len(ids)], [encode_segment(doc_ids, [len(c) // 4 for c in coded], ids)]]
+        ids = np.concatenate(coded)
+        row = [[part], [at], [len(ids)], [encode_segment(doc_ids, lengths, ids)]]
         return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(row, _STORED, strict=True)], schema=_STORED)
 
     for batch in batches:
-        for a in range(0, batch.num_rows, 500):
-            some = batch.slice(a, 500)
-            texts = ["" if t is None else t for t in some.column("text").to_pylist()]
-            for doc_id, values in zip(some.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                doc_ids.append(doc_id)
-                coded.append(b"".join(v for v in values if v) + end)
-                size += len(coded[-1]) // 4
+        for some in _portions(batch):
+            ids, n = encoder.encode(texts_of(some))
+            ends = np.cumsum(n + 1)
+            ids = np.insert(ids, np.cumsum(n), end_id)
+            first, done, named = 0, 0, some.column("doc_id").to_pylist()
+            while first < len(named):
+                # up to the document that fills the segment
+                last = min(int(np.searchsorted(ends, done + segment - size)) + 1, len(named))
+                doc_ids += named[first:last]
+                lengths += (n[first:last] + 1).tolist()
+                coded.append(ids[done : ends[last - 1]])
+                size += len(coded[-1])
+                first, done = last, int(ends[last - 1])
                 if size >= segment:
                     yield close()
                     at += size
-                    doc_ids, coded, size = [], [], 0
+                    doc_ids, lengths, coded, size = [], [], [], 0
     if doc_ids:
         yield close()
 

@@ -113,3 +113,54 @@ def test_files_of_null_and_repeated_ids(make_docs, library, spark):
     rows.sort(key=lambda r: r.start)
     assert [r.doc_id or -1 for r in rows] == sorted(i or -1 for i in ids)
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+
+
+def test_word_ids_equal_the_library_and_unknown_words_are_encoded_together():
+    from solstice.llm.tokens import WordIds
+
+    rnd = random.Random(5)
+    odd = ["a", "b", " ", " ", "\n", "Ġ", "é", "1", ".", "'s", "<|endoftext|>", "\t", "　", "日", "́", "\x1d", "᠎", "​", "\xa0"]
+    texts = ["", " ", "a\n b", "x\n\n", "b c\n\n d", "end with a line\n", "a  b", *("".join(rnd.choices(odd, k=rnd.randint(0, 30))) for _ in range(3000))]
+    texts += [" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(200)) for _ in range(50)]
+    words = WordIds(PATH)
+    ids, n = words.encode(texts)
+    ends = n.cumsum().tolist()
+    expected = [words.pieces.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[b - k : b].tolist() for b, k in zip(ends, n.tolist(), strict=True)] == expected
+
+    class Counting:
+        asked = 0
+
+        def encode_batch_fast(self, some, **options):
+            Counting.asked += len(some)
+            return library.encode_batch_fast(some, **options)
+
+    library = words.pieces.library
+    words.pieces.library = Counting()
+    words.encode([" ".join(f"x{i}y" for i in range(5000)), "and more"])
+    # 5,000 unknown words in five texts, one more for what is left, and two words without a space before them
+    assert Counting.asked <= 8
+    words._forget()
+    assert words.encode(["and more"])[0].tolist() == library.encode("and more", add_special_tokens=False).ids
+
+
+def test_segments_close_at_the_document_that_fills_them(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * (i % 7)) for i in range(100)], "doc_id LONG, text STRING").coalesce(1)
+    rans.write_tokens(docs, PATH, f"file://{tmp_path}/t", segment=20)
+    sizes = [r["n_ids"] for r in spark.read.parquet(f"file://{tmp_path}/t").select("n_ids").collect()]
+    assert sum(n < 20 for n in sizes) <= 4 and max(sizes) < 20 + 8 * 2
+    got = {r["doc_id"]: r["ids"] for r in rans.read_tokens(spark, f"file://{tmp_path}/t").collect()}
+    library = PieceEncoder(PATH, counts=False).library
+    assert got == {i: [*library.encode("word " * (i % 7), add_special_tokens=False).ids, 0] for i in range(100)}
+
+
+def test_word_ids_stay_right_when_words_are_forgotten(library, monkeypatch):
+    from solstice.llm import tokens
+
+    monkeypatch.setattr(tokens, "_REMEMBERED", 2000)
+    words, rnd = tokens.WordIds(PATH), random.Random(9)
+    for _ in range(30):
+        texts = [" ".join(rnd.choice(["often", f"rare{rnd.randint(0, 9999)}", "x.\n"]) for _ in range(rnd.randint(0, 60))) for _ in range(8)]
+        ids, n = words.encode(texts)
+        assert [a.tolist() for a in np.split(ids, n.cumsum())[:-1]] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(words.words) == len(words.sizes) == len(words.met) < 1000
