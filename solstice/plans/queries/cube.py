@@ -8,7 +8,7 @@ from solstice.operators import cube as op
 from solstice.operators import running
 from solstice.plans import sqltext as s
 from solstice.plans.registry import query
-from solstice.sources.scratch import scratch_dir
+from solstice.sources.scratch import scratch_dir, stored
 
 BASE = (1996, 2000)
 # Analysed events per phase (ordinal, phase, July-June anchor year).
@@ -171,9 +171,11 @@ def d9(t):
 def d9_running(t):
     """The same composites from sums to which the last months were added one after the other."""
     root, months = scratch_dir(t.spark, "running"), op.event_months(t.spark, event_rows(t))
+    # the line items are gathered once, for either table of every update
+    cube = stored(t.cube, "running-cube")
     at = F.col("year") * 12 + F.col("month") - 2000 * 12
     for i, cut in enumerate((at <= 10, at == 11, at >= 12)):
-        running.add_months(t.cube.where(cut), root, months, *BASE, run_id=f"{i:04d}", n_parts=8)
+        running.add_months(cube.where(cut), root, months, *BASE, run_id=f"{i:04d}", n_parts=8)
     found = op.composite(running.anomalies(t.spark, root), ("cell", "source", "phase", "k"), digits=None)
     return rounded(found, "pct", "wetter_frac", "std")
 

@@ -34,3 +34,13 @@ def test_three_added_months_give_what_the_whole_cube_gives(spark, scratch):
     before = keyed.state(spark, f"{root}/seasons").parts
     running.add_months(spark.createDataFrame([("a", 0, 2030, 1, 5.0)], whole.schema), root, months, 1996, 2000, "0009", n_parts=4)
     assert keyed.state(spark, f"{root}/seasons").parts == before
+
+
+def test_running_composite_gathers_the_line_items_once(spark, monkeypatch):
+    import __spark_entry__
+
+    read = []
+    monkeypatch.setattr(running, "add_months", lambda cube, *rest, **named: read.append(cube.inputFiles()))
+    monkeypatch.setattr(running, "anomalies", lambda *rest: spark.createDataFrame([], "cell INT, source STRING, phase STRING, k INT, pct DOUBLE"))
+    __spark_entry__.queries()["d9_running_composite"](spark, "/root/testdata/sf0.001")
+    assert len(read) == 3 and all("running-cube" in f for files in read for f in files)
