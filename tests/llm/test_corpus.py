@@ -367,3 +367,79 @@ def test_a_small_language_is_judged_beside_a_large_one(make_docs):
         docs = make_docs(texts, ["xx"] * len(small) + ["de"] * more)
         got = {x.doc_id: x.kept for x in kneser_ney.judge(docs, docs.filter("doc_id < 60").select("doc_id"), quantile=1.0, min_held=3).collect()}
         assert not got[60] and sum(got[i] for i in range(60)) >= 55
+
+
+def plain_costs(texts, fit, letters):
+    """Nats of each text by dictionaries: symbols by plain_model, then each character among those of its group, after the three before it."""
+    group = lambda c: -1 if letters is None else None if ord(c) in letters else ord(c) % 4
+    symbols = lambda t: [letters.get(ord(c), 60 + ord(c) % 4) for c in t]
+    of_symbols = plain_model(symbols, fit) if letters is not None else None
+    events = lambda t: [(group(c), *[0 if i < k else ord(t[i - k]) for k in (3, 2, 1)], ord(c)) for i, c in enumerate(t) if group(c) is not None]
+    counts = {4: Counter(e for t in fit for e in events(t))}
+    for n in (3, 2, 1):
+        counts[n] = Counter((e[0], *e[2:]) for e in counts[n + 1])
+    followers, off = Counter(), {}
+    for n, c in counts.items():
+        m = [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+        off[n] = [max(0.1, min(k * 0.95, k - (k + 1) * m[0] / (m[0] + 2 * m[1]) * m[k] / m[k - 1])) if m[0] and m[k - 1] else (0.5, 1.0, 1.2)[k - 1] for k in (1, 2, 3)]
+        for e, x in c.items():
+            followers[n, e[:-1], "all"] += x
+            followers[n, e[:-1], "off"] += off[n][min(x, 3) - 1]
+
+    def member(e):
+        p = 1 / 0x110000 if e[0] < 0 else 4 / 0x110000
+        for n in range(1, 5):
+            key, x = (e[0], *e[5 - n :]), counts[n].get((e[0], *e[5 - n :]), 0)
+            total = followers[n, key[:-1], "all"]
+            if total:
+                p = (x - off[n][min(x, 3) - 1] if x else 0) / total + followers[n, key[:-1], "off"] / total * p
+        return p
+
+    def nats(t):
+        s = [0, 0, 0, *symbols(t)] if letters is not None else []
+        return -sum(np.log(of_symbols(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) - sum(np.log(member(e)) for e in events(t))
+
+    return [nats(t) / len(t) if t else None for t in texts]
+
+
+def test_every_character_counts_as_in_dictionaries(make_docs):
+    r = random.Random(21)
+    words = ["".join(chr(0x4E00 + r.randrange(150)) for _ in range(r.randint(1, 3))) for _ in range(60)]
+    some = lambda n: "".join(r.choice(words) + r.choice([" ", "", "!", "\U0001f600"]) for _ in range(n))
+    large, small = [some(r.randint(1, 60)) for _ in range(40)], [some(4) for _ in range(25)]
+    texts = [*large, large[0], "new \u7fff\ud7ff", None, "", *small, small[0]]
+    langs = [None] * 44 + ["xx"] * 26
+    ids = [*range(40), 0, None, 42, 43, *range(44, 69), None]
+    docs = make_docs(texts, langs, ids)
+    assert sum(map(len, large)) > 1000 > sum(map(len, small)) + len(small[0])
+    trusted = docs.filter("doc_id % 4 < 3").select("doc_id")
+    letters = kneser_ney.alphabets(docs, 1000)
+    assert set(letters) == {None} and len(letters[None]) == 59
+    fit_ids = {x.doc_id for x in docs.join(trusted, "doc_id", "left_semi").filter(~kneser_ney.held_out(docs.doc_id)).collect()}
+    fit = [[t for t, x, i in zip(texts, langs, ids, strict=True) if t and x == lang and i in fit_ids] for lang in (None, "xx")]
+    plain = plain_costs(texts[:44], fit[0], letters[None]) + plain_costs(texts[44:], fit[1], None)
+    got = kneser_ney.judge(docs, trusted).collect()
+    assert len(got) == len(texts)
+    found = sorted(((x.lang or "", x.doc_id is None, x.doc_id or 0, x.nats) for x in got), key=str)
+    wanted = sorted(((x or "", i is None, i or 0, n) for x, i, n in zip(langs, ids, plain, strict=True)), key=str)
+    for a, b in zip(found, wanted, strict=True):
+        assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and (a[3] is None or abs(a[3] - b[3]) < 0.002)
+
+
+def test_rare_characters_short_texts_and_small_languages_are_judged(make_docs):
+    r = random.Random(22)
+    letters = [chr(0x4E00 + i) for i in range(600)]
+    words = ["".join(r.choice(letters) for _ in range(3)) for _ in range(200)]
+    some = lambda n: "".join(r.choice(words) for _ in range(n))
+    # Other characters of the same group for each.
+    other = lambda t: "".join(r.choice(letters[ord(c) % 4 :: 4]) for c in t)
+    texts = [some(100) for _ in range(200)] + [other(some(100)) for _ in range(5)]
+    texts += [some(r.randint(5, 30)) for _ in range(100)] + [other(some(10)) for _ in range(5)]
+    small = [" ".join(r.choice(["ko", "lumi", "ter"]) for _ in range(6)) for _ in range(25)] + ["QX#%&0918" * 5]
+    docs = make_docs(texts + small, ["zz"] * len(texts) + ["yy"] * len(small))
+    assert sum(map(len, small)) < 1000
+    trusted = docs.filter("doc_id < 200 or doc_id between 205 and 304 or doc_id between 310 and 334").select("doc_id")
+    got = {x.doc_id: x for x in kneser_ney.judge(docs, trusted, min_held=3).collect()}
+    assert all(x.nats is not None and x.threshold is not None for x in got.values())
+    assert not any(got[i].kept for i in [*range(200, 205), *range(305, 310), 335])
+    assert sum(x.kept for x in got.values()) >= 325 - 6
