@@ -62,3 +62,18 @@ def test_empty_documents_pass_through_all_stages(spark, make_docs, tmp_path):
     spark.createDataFrame([(0, prose(r, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_tells_rare_characters_apart_and_judges_short_texts(spark, make_docs, tmp_path):
+    r = random.Random(23)
+    letters = [chr(0x4E00 + i) for i in range(600)]
+    words = ["".join(r.choice(letters) for _ in range(3)) for _ in range(200)]
+    some = lambda n: "".join(r.choice(words) for _ in range(n))
+    # Other characters, whose codes leave the same rest by four.
+    other = lambda t: "".join(r.choice(letters[ord(c) % 4 :: 4]) for c in t)
+    good = [some(100) for _ in range(200)] + [some(r.randint(5, 30)) for _ in range(100)]
+    bad = [other(some(100)) for _ in range(3)] + [other(some(10)) for _ in range(3)]
+    docs = make_docs([*good, *bad, bad[0], bad[0]], ids=[*range(306), 7, None])
+    spark.createDataFrame([(i, 1, 0) for i in range(300) if i != 7], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = [x.text for x in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()]
+    assert not set(left) & set(bad) and set(left) <= set(good) and len(left) >= 294
