@@ -436,10 +436,12 @@ def test_rare_characters_short_texts_and_small_languages_are_judged(make_docs):
     texts = [some(100) for _ in range(200)] + [other(some(100)) for _ in range(5)]
     texts += [some(r.randint(5, 30)) for _ in range(100)] + [other(some(10)) for _ in range(5)]
     small = [" ".join(r.choice(["ko", "lumi", "ter"]) for _ in range(6)) for _ in range(25)] + ["QX#%&0918" * 5]
-    docs = make_docs(texts + small, ["zz"] * len(texts) + ["yy"] * len(small))
+    docs = make_docs([*texts, *small, "", None], ["zz"] * len(texts) + ["yy"] * len(small) + ["zz"] * 2)
     assert sum(map(len, small)) < 1000
     trusted = docs.filter("doc_id < 200 or doc_id between 205 and 304 or doc_id between 310 and 334").select("doc_id")
     got = {x.doc_id: x for x in kneser_ney.judge(docs, trusted, min_held=3).collect()}
+    empty = [got.pop(i) for i in (336, 337)]
+    assert all(x.kept and x.nats is None for x in empty)
     assert all(x.nats is not None and x.threshold is not None for x in got.values())
     assert not any(got[i].kept for i in [*range(200, 205), *range(305, 310), 335])
     assert sum(x.kept for x in got.values()) >= 325 - 6
